@@ -23,17 +23,17 @@ def _contains_any(text: Column, markers: tuple[str, ...]) -> Column:
 
 def blocked_reason(markdown: Column, strict_access_denied: bool = False) -> Column:
     """Why a page counts as blocked, null when it does not; the first hit wins."""
-    text = js_trim(markdown)
-    short = F.length(text) < 100
-    bot = rf"(?i)\A(?:{'|'.join(rules.BOT_PATTERNS)})"
-    denied = _contains_any(text, rules.ACCESS_DENIED_MARKERS)
+    short = F.length(js_trim(markdown)) < 100
+    ends = [p.replace(r"\z", rf"{_SPACE}*\z") for p in rules.BOT_PATTERNS]
+    bot = rf"(?i)\A{_SPACE}*(?:{'|'.join(ends)})"
+    denied = _contains_any(markdown, rules.ACCESS_DENIED_MARKERS)
     if strict_access_denied:
         denied = denied & short
     return (
-        F.when(text == "", "empty")
-        .when(_contains_any(text, rules.CLOUDFLARE_MARKERS), "cloudflare")
+        F.when(~markdown.rlike(f"[^{rules.JS_SPACE}]"), "empty")
+        .when(_contains_any(markdown, rules.CLOUDFLARE_MARKERS), "cloudflare")
         .when(denied, "access-denied")
-        .when(F.when(short, text.rlike(bot)).otherwise(F.lit(False)), "bot-detection")
+        .when(F.when(short, markdown.rlike(bot)).otherwise(F.lit(False)), "bot-detection")
     )
 
 
@@ -57,7 +57,7 @@ def _fetch_failed(status: Column, url: Column) -> Column:
 
 def md_endpoint_error(status: Column, content_type: Column, body: Column, url: Column) -> Column:
     """Why a response is not the Markdown of a page, null when it is."""
-    text = js_trim(body)
+    body = F.coalesce(body, F.lit(""))
     kind = F.coalesce(content_type, F.lit(""))
     return (
         F.when(~_is_ok(status), _fetch_failed(status, url))
@@ -67,14 +67,11 @@ def md_endpoint_error(status: Column, content_type: Column, body: Column, url: C
             "Received HTML instead of Markdown (Content-Type)",
         )
         .when(
-            text.rlike(r"(?i)\A<(?:!doctype|html|head|body)"),
+            body.rlike(rf"(?i)\A{_SPACE}*<(?:!doctype|html|head|body)"),
             "Received HTML instead of Markdown",
         )
-        .when(text.rlike(r"\A[{\[]"), "Received JSON instead of Markdown")
-        .when(
-            F.length(F.coalesce(text, F.lit(""))) < 10,
-            "Response too short to be valid Markdown",
-        )
+        .when(body.rlike(rf"\A{_SPACE}*[{{\[]"), "Received JSON instead of Markdown")
+        .when(F.length(js_trim(body)) < 10, "Response too short to be valid Markdown")
     )
 
 

@@ -72,8 +72,10 @@ def framework_signals(pages: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
-def with_scores(pages: DataFrame, html: str = "html", html_first: bool = False) -> DataFrame:
-    """Add ``scores``: framework, order and points of every framework with points.
+def _with_scores(
+    pages: DataFrame, html: str, html_first: bool
+) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Add one column of points per framework; also return ``(framework, column)`` pairs.
 
     Selectors count the full weight and patterns half of it; ``html_first`` swaps the two.
     """
@@ -83,43 +85,34 @@ def with_scores(pages: DataFrame, html: str = "html", html_first: bool = False)
         full = (kind == "html") == html_first
         weight = rule.weight if full else rule.weight // 2
         points.setdefault(rule.framework, []).append(F.when(hit, weight).otherwise(0))
-    scores = [
-        F.struct(
-            F.lit(name).alias("framework"),
-            F.lit(-i).alias("rank"),
-            reduce(lambda a, b: a + b, cols).alias("score"),
-        )
-        for i, (name, cols) in enumerate(points.items(), 1)
-    ]
-    df = df.withColumn("__all", F.array(*scores)).drop("__tags")
-    return df.withColumn("scores", F.filter("__all", lambda s: s["score"] > 0)).drop("__all")
+    names = [(name, f"__score_{i}") for i, name in enumerate(points)]
+    sums = {col: reduce(lambda a, b: a + b, points[name]) for name, col in names}
+    return df.withColumns(sums).drop("__tags"), names
 
 
 def framework_scores(pages: DataFrame, html: str = "html", html_first: bool = False) -> DataFrame:
     """One row per page and framework with points."""
-    df = with_scores(pages, html, html_first).drop(html)
-    return df.select("*", F.explode("scores").alias("__s")).select(
-        *[c for c in df.columns if c != "scores"],
-        F.col("__s.framework").alias("framework"),
-        F.col("__s.score").alias("score"),
-    )
+    df, names = _with_scores(pages, html, html_first)
+    rows = [F.struct(F.lit(n).alias("framework"), F.col(c).alias("score")) for n, c in names]
+    out = [c for c in pages.columns if c != html]
+    return df.select(*out, F.inline(F.array(*rows))).filter("score > 0")
 
 
 def detect_framework(pages: DataFrame, html: str = "html", html_first: bool = False) -> DataFrame:
     """Add ``framework, score, confidence``: the best score, ties to the earlier rule."""
-    df = with_scores(pages, html, html_first)
-    best = F.array_max(
-        F.transform("scores", lambda s: F.struct(s["score"], s["rank"], s["framework"]))
+    df, names = _with_scores(pages, html, html_first)
+    df = df.withColumn("score", F.greatest(*[F.col(c) for _, c in names]))
+    best = reduce(
+        lambda acc, row: acc.when(F.col(row[1]) == F.col("score"), row[0]),
+        names,
+        F.when(F.col("score") == 0, "custom"),
     )
-    df = df.withColumn("__best", best).drop("scores")
-    score = F.coalesce(F.col("__best.score"), F.lit(0))
     return df.withColumns(
         {
-            "framework": F.coalesce(F.col("__best.framework"), F.lit("custom")),
-            "score": score,
-            "confidence": F.least(F.round(score / rules.FULL_SCORE, 4), F.lit(1.0)),
+            "framework": best,
+            "confidence": F.least(F.round(F.col("score") / rules.FULL_SCORE, 4), F.lit(1.0)),
         }
-    ).drop("__best")
+    ).drop(*[c for _, c in names])
 
 
 def with_effective_config(

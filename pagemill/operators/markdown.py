@@ -36,7 +36,7 @@ _HEADINGS = tuple(f"h{i}" for i in range(1, 7))
 
 
 def with_reference(tokens: DataFrame, base: str) -> DataFrame:
-    """Add ``ref``: the absolute link target or image source of a tag.
+    """Add ``ref``, the absolute link target or image source of a tag, ``title`` and ``alt``.
 
     ``base`` is the prefix of the page's URL parts, which are dropped here so that they do
     not travel with every token.
@@ -46,15 +46,35 @@ def with_reference(tokens: DataFrame, base: str) -> DataFrame:
         opens & (tag == "img"), selectors.attribute(text, "src")
     )
     df = tokens.withColumn("__raw", F.when(raw != "", raw))
+    titled = opens & tag.isin("a", "img") & text.contains("title")
+    df = df.withColumns(
+        {
+            "title": F.when(titled, selectors.attribute(text, "title")),
+            "alt": F.when(opens & (tag == "img"), selectors.attribute(text, "alt")),
+        }
+    )
     kept = F.when(tag == "a", F.col("__raw").rlike(r"\A(?:http|mailto|#)")).otherwise(
         F.col("__raw").rlike(r"\A(?:http|data:)")
     )
     df = df.withColumn("__rel", F.when(~kept, F.col("__raw")))
     df = urls.with_resolved(df, base, "__rel", "__to_")
-    df = df.withColumn("ref", content.decode_entities(F.coalesce("__to_url", "__raw")))
+    # One decoding for all attribute values of a tag; a value cannot hold the separator.
+    values = [F.coalesce("__to_url", "__raw"), F.col("title"), F.col("alt")]
+    df = df.withColumn("__values", F.concat_ws("\x1f", *[F.coalesce(v, F.lit("")) for v in values]))
+    df = df.withColumn(
+        "__values", F.when(F.col("kind") != "text", content.decode_entities(F.col("__values")))
+    )
+    part = lambda i: F.split_part("__values", F.lit("\x1f"), F.lit(i))
+    df = df.withColumns(
+        {
+            "ref": F.when(F.col("__raw").isNotNull(), part(1)),
+            "title": F.when(F.col("title") != "", part(2)),
+            "alt": F.when(F.col("alt").isNotNull(), part(3)),
+        }
+    )
     parts = ("scheme", "host", "port", "path", "query", "fragment")
     return df.drop(
-        "__raw", "__rel", "__to_url", *[f"{p}{n}" for p in ("__to_", base) for n in parts]
+        "__raw", "__rel", "__to_url", "__values", *[f"{p}{n}" for p in ("__to_", base) for n in parts]
     )
 
 
@@ -125,7 +145,6 @@ def _running(df: DataFrame, key: str) -> DataFrame:
     fenced = (F.col("__next_tag") == "code") & (F.col("text") == "")
     ends = lambda t: opens & (tag == t)
     tick = F.when(F.col("text").contains("`"), "``").otherwise("`")
-    title = selectors.attribute(text, "title")
     df = df.withColumns(
         {
             "__fenced": F.coalesce(latest(pre, F.coalesce(fenced, F.lit(False))), F.lit(False))
@@ -134,10 +153,7 @@ def _running(df: DataFrame, key: str) -> DataFrame:
             "__tick": latest(ends("code"), tick),
             "__link": latest(
                 ends("a"),
-                F.struct(
-                    F.col("ref").alias("ref"),
-                    F.when(title != "", content.decode_entities(title)).alias("title"),
-                ),
+                F.struct("ref", "title"),
             ),
             "__list_at": latest(tag.isin("ul", "ol", "menu") & opens & (F.col("__lists") == 1), F.col("pos")),
             "__quote_at": latest(ends("blockquote") & (F.col("__quotes") == 1), F.col("pos")),
@@ -165,38 +181,49 @@ def _running(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("__number", F.col("__items") - base + F.col("__list.start") - 1)
 
 
-def _pieces(df: DataFrame) -> Column:
-    """The text that a token adds to the page."""
-    tag, kind, lists = F.col("tag"), F.col("kind"), F.col("__lists")
-    opens, closes = kind == "open", kind == "close"
-    quotes = F.col("__quotes")
-    lit, cat = F.lit, F.concat
+def _prefixed(df: DataFrame) -> DataFrame:
+    """Add the line prefix of each token and the breaks that carry it."""
+    quotes, lists = F.col("__quotes"), F.col("__lists")
+    quote_first = F.coalesce(F.col("__quote_at") < F.col("__list_at"), F.lit(True))
 
     def prefix(levels: Column) -> Column:
-        quote_first = F.coalesce(F.col("__quote_at") < F.col("__list_at"), lit(True))
-        q, i = F.repeat(lit(QUOTE), quotes), F.repeat(lit(INDENT), levels)
-        return F.when(quote_first, cat(q, i)).otherwise(cat(i, q))
+        q, i = F.repeat(F.lit(QUOTE), quotes), F.repeat(F.lit(INDENT), levels)
+        return F.when(quote_first, F.concat(q, i)).otherwise(F.concat(i, q))
 
+    deep = (quotes > 0) | (lists > 0)
+    item = F.when(deep, prefix(F.greatest(lists - 1, F.lit(0)))).otherwise("")
+    df = df.withColumns(
+        {"__pre": F.when(deep, prefix(lists)).otherwise(""), "__item_pre": item}
+    )
     in_cell = F.col("__cells") > 0
-    pre = prefix(lists)
-    para = F.when(quotes > 0, lit(QPARA)).otherwise(lit(PARA))
-    block = F.when(in_cell, lit(" ")).otherwise(cat(para, pre))
-    outer = F.when(in_cell, lit(" ")).otherwise(cat(lit(PARA), pre))
-    line = cat(lit(LINE), pre)
-    nested_list = F.when(opens, lists > 1).otherwise(lists > 0)
+    para = F.when(quotes > 0, QPARA).otherwise(PARA)
+    return df.withColumns(
+        {
+            "__block": F.when(in_cell, " ").otherwise(F.concat(para, F.col("__pre"))),
+            "__outer": F.when(in_cell, " ").otherwise(F.concat(F.lit(PARA), F.col("__pre"))),
+            "__line": F.when(in_cell, " ").otherwise(F.concat(F.lit(LINE), F.col("__pre"))),
+        }
+    )
+
 
+def _markup(df: DataFrame) -> Column:
+    """What the tag of a token turns into."""
+    tag, kind, lists = F.col("tag"), F.col("kind"), F.col("__lists")
+    opens, closes = kind == "open", kind == "close"
+    lit, cat = F.lit, F.concat
+    pre, block, line = F.col("__pre"), F.col("__block"), F.col("__line")
+    in_cell = F.col("__cells") > 0
+    nested_list = F.when(opens, lists > 1).otherwise(lists > 0)
     fenced = F.col("__fenced")
-    was_fence = closes & (tag == "pre")
-    inside_code = F.col("__codes") > 0
     blank_open = opens & F.col("__blank") & (F.col("__next_end") == tag)
     blank_close = closes & (F.col("__prev_blank") == tag)
     empty = F.coalesce(blank_open | blank_close, lit(False))
 
+    def titled(title: Column) -> Column:
+        text = F.replace(title, lit('"'), lit('\\"'))
+        return F.coalesce(cat(lit(' "'), text, lit('"')), lit(""))
+
     href = F.regexp_replace(F.col("__link.ref"), r"([()])", r"\\$1")
-    title = F.when(
-        F.col("__link.title").isNotNull(),
-        cat(lit(' "'), F.replace(F.col("__link.title"), lit('"'), lit('\\"')), lit('"')),
-    ).otherwise("")
     lang = F.coalesce(
         F.when(F.col("__next_lang") != "", F.col("__next_lang")), F.col("parent_lang"), lit("")
     )
@@ -204,29 +231,24 @@ def _pieces(df: DataFrame) -> Column:
         F.coalesce(F.col("__list.tag") == "ol", lit(False)),
         cat(F.col("__number").cast("string"), lit("." + SPACE * 2)),
     ).otherwise(lit("-" + SPACE * 3))
-    attr = lambda n: selectors.attribute(F.col("tag_text"), n)
-    alt_title = attr("title")
     image = cat(
-        lit("!["), content.decode_entities(attr("alt")), lit("]("), F.col("ref"),
-        F.when(alt_title != "", cat(lit(' "'), content.decode_entities(alt_title), lit('"'))).otherwise(""),
-        lit(")"),
+        lit("!["), F.col("alt"), lit("]("), F.col("ref"), titled(F.col("title")), lit(")")
     )
-    checkbox = (attr("type") == "checkbox") & (lists > 0)
+    checkbox = F.col("tag_text").rlike(r"""(?i)\stype\s*=\s*["']?checkbox""") & (lists > 0)
     checked = F.col("tag_text").rlike(r"(?i)\schecked[\s=/>]")
+    first_row = F.col("__rows") == F.col("__row0") + 1
+    width = F.greatest(F.col("__cols") - F.col("__col0"), lit(0))
 
-    piece = F.when(tag.isNull() | (kind == "text"), "")
-    piece = piece.when(
+    piece = F.when(tag.isNull() | (kind == "text"), "").when(
         tag == "pre",
         F.when(opens & fenced, cat(block, lit("```"), lang, lit("\n"), pre))
         .when(closes & F.col("__was_fenced"), cat(lit("\n"), pre, lit("```"), block))
         .otherwise(block),
     )
-    piece = piece.when(fenced, "")
-    piece = piece.when(
-        tag == "code",
-        F.when(empty, "").when(opens, F.col("__tick")).when(closes, F.col("__tick")).otherwise(""),
+    piece = piece.when(fenced, "").when(
+        tag == "code", F.when(empty | (kind == "void"), "").otherwise(F.col("__tick"))
     )
-    piece = piece.when(inside_code, "")
+    piece = piece.when(F.col("__codes") > 0, "")
     for tags, i in _INLINE_TAGS:
         start, end, _ = INLINE[i]
         piece = piece.when(
@@ -237,7 +259,7 @@ def _pieces(df: DataFrame) -> Column:
         F.when(opens & F.col("ref").isNotNull(), LINK)
         .when(
             closes & F.col("__link.ref").isNotNull(),
-            cat(lit(LINK_MID + "("), href, title, lit(")" + LINK_END)),
+            cat(lit(LINK_MID + "("), href, titled(F.col("__link.title")), lit(")" + LINK_END)),
         )
         .otherwise(""),
     )
@@ -245,26 +267,23 @@ def _pieces(df: DataFrame) -> Column:
     piece = piece.when(tag == "br", F.when(in_cell, " ").otherwise(cat(lit(BR), pre)))
     piece = piece.when((tag == "input") & checkbox, F.when(checked, "[x] ").otherwise("[ ] "))
     piece = piece.when(tag == "hr", cat(block, lit("* * *"), block))
-    for i, name in enumerate(_HEADINGS, 1):
-        piece = piece.when(
-            tag == name,
-            F.when(opens & ~empty, cat(block, lit("#" * i + SPACE))).otherwise(block),
-        )
-    piece = piece.when(tag == "blockquote", outer)
     piece = piece.when(
-        tag.isin("ul", "ol", "menu"), F.when(nested_list & ~in_cell, line).otherwise(block)
+        tag.isin(*_HEADINGS),
+        F.when(
+            opens & ~empty,
+            cat(block, F.repeat(lit("#"), F.substr(tag, lit(2), lit(1)).cast("int")), lit(SPACE)),
+        ).otherwise(block),
+    )
+    piece = piece.when(tag == "blockquote", F.col("__outer"))
+    piece = piece.when(
+        tag.isin("ul", "ol", "menu"), F.when(nested_list, line).otherwise(block)
     )
     piece = piece.when(
         tag == "li",
         F.when(in_cell, " ")
-        .when(
-            opens,
-            cat(lit(LINE), prefix(F.greatest(lists - 1, lit(0))), bullet, lit(BULLET_END)),
-        )
+        .when(opens, cat(lit(LINE), F.col("__item_pre"), bullet, lit(BULLET_END)))
         .when(closes, cat(lit(ITEM_END), pre)),
     )
-    first_row = F.col("__rows") == F.col("__row0") + 1
-    width = F.greatest(F.col("__cols") - F.col("__col0"), lit(0))
     piece = piece.when(
         tag == "tr",
         F.when(opens, cat(line, lit("|"))).when(
@@ -272,24 +291,33 @@ def _pieces(df: DataFrame) -> Column:
         ),
     )
     piece = piece.when(tag.isin("td", "th"), F.when(opens, " ").otherwise(" |"))
-    piece = piece.when(tag.isin(*rules.BLOCK_TAGS), block).otherwise("")
+    return F.coalesce(piece.when(tag.isin(*rules.BLOCK_TAGS), block), lit(""))
+
 
+def _with_pieces(df: DataFrame) -> DataFrame:
+    """Add ``__out``: what a token adds to the page, its tag and the text behind it."""
+    df = _prefixed(df).withColumn("__markup", _markup(df))
+    fenced, in_pre, inside_code = F.col("__fenced"), F.col("__pres") > 0, F.col("__codes") > 0
     raw = F.translate(F.col("text"), _CONTROL, "")
-    flat = F.regexp_replace(raw, r"[ \t\r\n\f]+", " ")
-    lines = F.replace(
-        F.translate(content.decode_entities(F.replace(raw, lit("\r\n"), lit("\n"))), " ", SPACE),
-        lit("\n"),
-        cat(lit("\n"), pre),
-    )
-    in_pre = F.col("__pres") > 0
-    text = (
+    kept = F.translate(F.replace(raw, F.lit("\r\n"), F.lit("\n")), " ", SPACE)
+    df = df.withColumn(
+        "__text",
         F.when(F.col("text") == "", "")
-        .when(fenced, lines)
-        .when(inside_code, content.decode_entities(flat))
-        .when(in_pre, content.escape_markdown(lines))
-        .otherwise(content.escape_markdown(content.decode_entities(flat)))
+        .when(in_pre, kept)
+        .otherwise(F.regexp_replace(raw, r"[ \t\r\n\f]+", " ")),
+    )
+    df = df.withColumn("__text", content.decode_entities(F.col("__text")))
+    df = df.withColumn(
+        "__text",
+        F.when(fenced | inside_code, F.col("__text")).otherwise(
+            content.escape_markdown(F.col("__text"))
+        ),
+    )
+    lines = F.replace("__text", F.lit("\n"), F.concat(F.lit("\n"), F.col("__pre")))
+    return df.withColumn(
+        "__out",
+        F.concat("__markup", F.when(in_pre & (F.col("__pre") != "") , lines).otherwise(F.col("__text"))),
     )
-    return F.concat(F.coalesce(piece, lit("")), text)
 
 
 def _settle(text: Column) -> Column:
@@ -337,7 +365,7 @@ def html_to_markdown(
     df = df.withColumn(
         "__was_fenced", F.coalesce(F.lag("__fenced").over(in_order), F.lit(False))
     )
-    df = df.withColumn("__out", _pieces(df))
+    df = _with_pieces(df)
     pieces = F.array_sort(F.collect_list(F.when(F.col("__out") != "", F.struct("pos", "__out"))))
     df = df.groupBy(key).agg(
         pieces.alias("__pieces"), *[F.first(c).alias(c) for c in carry]

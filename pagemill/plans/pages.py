@@ -12,9 +12,19 @@ from pagemill.functions import content, urls
 from pagemill.operators import frameworks, markdown, regions, tokens
 
 
+def spread(pages: DataFrame, key: str) -> DataFrame:
+    """Hash pages by key over all shuffle partitions.
+
+    The number is given, so that a small input is not put back into few tasks: what follows is
+    bound by CPU, not by the bytes that Spark would otherwise size the tasks by.
+    """
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.repartition(n, F.col(key))
+
+
 def page_tokens(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Pages spread by key, then exploded: the token windows need no shuffle of their own."""
-    return regions.with_regions(tokens.html_tokens(pages.repartition(F.col(key))), key)
+    return regions.with_regions(tokens.html_tokens(spread(pages, key)), key)
 
 
 def main_tokens(
@@ -27,7 +37,7 @@ def main_tokens(
     ``pages`` has the key, ``url`` and ``html``. Adds the page's ``config_key``, ``framework``
     and ``host`` to its tokens.
     """
-    df = pages.select(key, "url", "html").repartition(F.col(key))
+    df = spread(pages.select(key, "url", "html"), key)
     df = urls.with_url_parts(df, "url", "from_").withColumn("host", F.col("from_host"))
     df = frameworks.with_effective_config(df, configs=configs).drop("confidence", "score")
     df = markdown.with_reference(tokens.html_tokens(df), "from_")

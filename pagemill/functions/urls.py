@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill import rules
+from pagemill.functions.let import let
 
 _URL = r"(?is)\A(https?):[/\\]*([^/?#\\]*)([^?#]*)(\?[^#]*)?(#.*)?\z"
 _HOST = r"\A[a-z0-9_.~!$&'()*+,;=-]+\z"
@@ -112,9 +113,8 @@ def with_url_parts(df: DataFrame, url: str, prefix: str = "") -> DataFrame:
     df = df.withColumns(
         {f"{p}__ok": F.coalesce(valid, F.lit(False)), f"{p}port": F.when(default_port, "").otherwise(port)}
     )
-    return df.withColumns(
-        {f"{p}{n}": keep(n) for n in ("scheme", "host", "port", "path", "query", "fragment")}
-    ).drop(raw, authority, f"{p}__ok")
+    names = ("scheme", "host", "port", "path", "query", "fragment")
+    return let(df, {f"{p}{n}": keep(n) for n in names}).drop(raw, authority, f"{p}__ok")
 
 
 def origin(prefix: str = "") -> Column:
@@ -147,9 +147,7 @@ def with_url_key(df: DataFrame, url: str = "url", out: str = "url_key") -> DataF
     """Add the dedup key of a URL column; null for what is no http(s) URL."""
     parts = ("scheme", "host", "port", "path", "query", "fragment")
     return (
-        with_url_parts(df, url, "_k_")
-        .withColumn(out, key("_k_"))
-        .drop(*[f"_k_{n}" for n in parts])
+        let(with_url_parts(df, url, "_k_"), {out: key("_k_")}).drop(*[f"_k_{n}" for n in parts])
     )
 
 
@@ -224,14 +222,9 @@ def with_resolved(df: DataFrame, base: str, raw: str, prefix: str = "to_") -> Da
     )
     df = with_url_parts(df, f"{p}__abs", p)
     is_other = F.when(b("host").isNotNull() & F.col(f"{p}__abs").isNull(), F.col(f"{p}__r"))
-    return df.withColumn(
-        f"{p}url",
-        F.coalesce(
-            F.concat(
-                normalized(p),
-                _escape(F.col(f"{p}query"), _QUERY_KEPT),
-                _escape(F.col(f"{p}fragment"), _FRAGMENT_KEPT),
-            ),
-            is_other,
-        ),
-    ).drop(f"{p}__r", f"{p}__abs")
+    full = F.concat(
+        normalized(p),
+        _escape(F.col(f"{p}query"), _QUERY_KEPT),
+        _escape(F.col(f"{p}fragment"), _FRAGMENT_KEPT),
+    )
+    return let(df, {f"{p}url": F.coalesce(full, is_other)}).drop(f"{p}__r", f"{p}__abs")

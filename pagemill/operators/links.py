@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill import rules
 from pagemill.functions import urls
+from pagemill.functions.let import let
 
 _MARKDOWN_LINK = r"\[[^\]]+\]\(([^)]+)\)"
 _HREF = r"""href=["']([^"']+)["']"""
@@ -41,7 +42,7 @@ def extract_links(
     raw = F.regexp_replace(raw, rf"\A[{rules.JS_SPACE}]+|[{rules.JS_SPACE}]+\z", "")
     if strip_titles:
         raw = F.regexp_replace(raw, r"\s+[\"'].*\z", "")
-    df = df.withColumn("raw", raw).drop("__raw")
+    df = let(df, {"raw": raw}).drop("__raw")
     r = F.col("raw")
     df = df.filter((r != "") & ~r.rlike(r"\A(?:mailto:|javascript:|<|%3C)"))
     df = urls.with_resolved(df, "from_", "raw").filter(F.col("to_url").isNotNull())
@@ -60,11 +61,12 @@ def extract_links(
     df = df.filter(~F.coalesce(F.col("to_path"), F.col("to_url")).rlike(files))
     plain = F.regexp_replace(F.col("to_url"), r"(?s)[?#].*\z", "")
     slash = urls.key_path(F.col("to_path"))
-    return df.withColumns(
+    return let(
+        df,
         {
             "dst_url": plain,
             "dst_key": F.coalesce(F.concat(urls.origin("to_"), slash), plain),
-        }
+        },
     ).drop(*_parts("from_"), *_parts("to_"), "to_url", "base_path")
 
 
@@ -82,7 +84,7 @@ def _into_base_path(df: DataFrame) -> DataFrame:
         movable,
         urls.fold_dots(urls.escape_path(F.concat(F.regexp_replace(base, r"/\z", ""), bare))),
     )
-    df = df.withColumns({"__outside": outside, "__moved": moved})
+    df = let(df, {"__outside": outside, "__moved": moved})
     df = df.filter(~F.col("__outside") | F.coalesce(F.col("__moved").startswith(base), F.lit(False)))
     new = F.col("__moved")
     return df.withColumns(

@@ -14,7 +14,7 @@ _SPACE = f"[{rules.JS_SPACE}]"
 
 def js_trim(text: Column) -> Column:
     """Trim every kind of white space, no-break space included."""
-    return F.regexp_replace(text, rf"\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(text, F.lit(rules.JS_SPACE_CHARS))
 
 
 def _contains_any(text: Column, markers: tuple[str, ...]) -> Column:

@@ -140,8 +140,12 @@ def page_has(tags_of_page: Column, selector: str) -> Column:
     for chain in parse(selector):
         if len(chain) > 1:
             raise ValueError(f"combinators are not supported here: {selector!r}")
-        looks = "".join(
-            rf"(?=[^\x1e]*?{_regex(*c)})" for c in chain[0].conditions()
-        )
-        tests.append(tags_of_page.rlike(rf"\x1e{looks}"))
+        conditions = chain[0].conditions()
+        looks = "".join(rf"(?=[^\x1e]*?{_regex(*c)})" for c in conditions)
+        # Names of classes and values stand in the page as they are: a cheap test goes first.
+        words = [n if kind == "class" else v for kind, n, _, v in conditions]
+        test = tags_of_page.rlike(rf"\x1e{looks}")
+        for word in filter(None, words):
+            test = tags_of_page.contains(word) & test
+        tests.append(test)
     return reduce(lambda a, b: a | b, tests)

@@ -38,38 +38,46 @@ def with_site_config(
     return df.join(F.broadcast(config_table(pages.sparkSession, configs)), "config_key")
 
 
+def _searchable(pages: DataFrame, html: str) -> DataFrame:
+    """Add the page's opening tags and its text in lower case, both made once."""
+    return pages.withColumns(
+        {"__tags": tokens.open_tags(F.col(html)), "__lower": F.lower(F.col(html))}
+    )
+
+
 def signal_columns(
-    html: str, tags: str, rule_set: Sequence[rules.FrameworkRule] = rules.FRAMEWORK_RULES
+    html: str, rule_set: Sequence[rules.FrameworkRule] = rules.FRAMEWORK_RULES
 ) -> list[tuple[rules.FrameworkRule, str, int, str, Column]]:
-    """``(rule, kind, order, pattern, found)`` for every signal of every framework."""
+    """``(rule, kind, order, pattern, found)`` for every signal of every framework.
+
+    Patterns are searched only in pages that hold one of the words they need.
+    """
     out = []
     for rule in rule_set:
         for i, s in enumerate(rule.selectors, 1):
-            out.append((rule, "selector", i, s, selectors.page_has(F.col(tags), s)))
+            out.append((rule, "selector", i, s, selectors.page_has(F.col("__tags"), s)))
+        words = [F.col("__lower").contains(w) for w in rule.hints] or [F.lit(True)]
+        hinted = reduce(lambda a, b: a | b, words)
         for i, rx in enumerate(rule.html, 1):
-            out.append((rule, "html", i, rx, F.col(html).rlike(rx)))
+            out.append((rule, "html", i, rx, hinted & F.col(html).rlike(rx)))
     return out
 
 
 def framework_signals(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per signal that a page shows."""
-    df = pages.withColumn("__tags", tokens.open_tags(F.col(html)))
+    df = _searchable(pages, html)
     found = [
-        F.when(
-            hit,
-            F.struct(
-                F.lit(rule.framework).alias("framework"),
-                F.lit(kind).alias("kind"),
-                F.lit(i).alias("ord"),
-                F.lit(pattern).alias("pattern"),
-            ),
+        F.struct(
+            F.lit(rule.framework).alias("framework"),
+            F.lit(kind).alias("kind"),
+            F.lit(i).alias("ord"),
+            F.lit(pattern).alias("pattern"),
+            hit.alias("__hit"),
         )
-        for rule, kind, i, pattern, hit in signal_columns(html, "__tags")
+        for rule, kind, i, pattern, hit in signal_columns(html)
     ]
-    df = df.withColumn("__hits", F.array_compact(F.array(*found))).drop(html, "__tags")
-    return df.select("*", F.explode("__hits").alias("__hit")).select(
-        *[c for c in df.columns if c != "__hits"], "__hit.*"
-    )
+    kept = [c for c in pages.columns if c != html]
+    return df.select(*kept, F.inline(F.array(*found))).filter("__hit").drop("__hit")
 
 
 def _with_scores(
@@ -79,15 +87,15 @@ def _with_scores(
 
     Selectors count the full weight and patterns half of it; ``html_first`` swaps the two.
     """
-    df = pages.withColumn("__tags", tokens.open_tags(F.col(html)))
+    df = _searchable(pages, html)
     points: dict[str, list[Column]] = {}
-    for rule, kind, _, _, hit in signal_columns(html, "__tags"):
+    for rule, kind, _, _, hit in signal_columns(html):
         full = (kind == "html") == html_first
         weight = rule.weight if full else rule.weight // 2
         points.setdefault(rule.framework, []).append(F.when(hit, weight).otherwise(0))
     names = [(name, f"__score_{i}") for i, name in enumerate(points)]
     sums = {col: reduce(lambda a, b: a + b, points[name]) for name, col in names}
-    return df.withColumns(sums).drop("__tags"), names
+    return df.withColumns(sums).drop("__tags", "__lower"), names
 
 
 def framework_scores(pages: DataFrame, html: str = "html", html_first: bool = False) -> DataFrame:

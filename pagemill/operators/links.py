@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill import rules
 from pagemill.functions import urls
+from pagemill.functions.content import js_trim
 from pagemill.functions.let import let
 
 _MARKDOWN_LINK = r"\[[^\]]+\]\(([^)]+)\)"
@@ -38,8 +39,7 @@ def extract_links(
     df = urls.with_url_parts(pages, url, "from_")
     df = df.withColumn("__raws", raw_links(F.col(content))).drop(content)
     df = df.select("*", F.posexplode("__raws").alias("pos", "__raw")).drop("__raws")
-    raw = F.trim(F.split_part(F.col("__raw"), F.lit("#"), F.lit(1)))
-    raw = F.regexp_replace(raw, rf"\A[{rules.JS_SPACE}]+|[{rules.JS_SPACE}]+\z", "")
+    raw = js_trim(F.split_part(F.col("__raw"), F.lit("#"), F.lit(1)))
     if strip_titles:
         raw = F.regexp_replace(raw, r"\s+[\"'].*\z", "")
     df = let(df, {"raw": raw}).drop("__raw")

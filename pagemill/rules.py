@@ -65,6 +65,12 @@ DEFAULT_ADVICE = "Try using --use-jina flag or check if the site is accessible."
 # --- fixed values: white space as ECMAScript's \s sees it, for Java regex classes
 JS_SPACE = r"\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 _W = f"[{JS_SPACE}]"
+# The same characters one by one, for trimming without a search.
+JS_SPACE_CHARS = "".join(
+    chr(c)
+    for c in (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F)
+    + (0x205F, 0x3000, 0xFEFF)
+)
 
 # --- fixed values: footer text removed from Markdown, in order
 _NEXT_HEADING = r"\n## |\n# "
@@ -221,6 +227,9 @@ class FrameworkRule:
     selectors: tuple[str, ...]
     html: tuple[str, ...] = field(default=())
     weight: int = 10
+    # Lower-case words of which every page that matches an html pattern holds at least one; none
+    # means that the patterns are always tried.
+    hints: tuple[str, ...] = field(default=())
 
 
 # --- fixed values: framework signals, in tie-break order
@@ -237,6 +246,7 @@ FRAMEWORK_RULES = (
             r"/@docusaurus/",
             r"docusaurus\.config",
         ),
+        hints=("docusaurus",),
     ),
     FrameworkRule(
         "vitepress",
@@ -247,6 +257,7 @@ FRAMEWORK_RULES = (
             r"vitepress\.css",
             r"__VP_",
         ),
+        hints=("vitepress", "__vp_"),
     ),
     FrameworkRule(
         "starlight",
@@ -257,6 +268,7 @@ FRAMEWORK_RULES = (
             r"Starlight",
             r"@astrojs/starlight",
         ),
+        hints=("starlight", "astro"),
     ),
     FrameworkRule(
         "mkdocs",
@@ -267,6 +279,7 @@ FRAMEWORK_RULES = (
             r"(?i)material-?for-?mkdocs",
             r"mkdocs\.yml",
         ),
+        hints=("mkdocs",),
     ),
     FrameworkRule(
         "sphinx",
@@ -284,6 +297,7 @@ FRAMEWORK_RULES = (
             r"(?i)furo\.css",
             r"(?i)Made with.*Sphinx",
         ),
+        hints=("sphinx", "furo"),
     ),
     FrameworkRule(
         "gitbook",
@@ -300,6 +314,7 @@ FRAMEWORK_RULES = (
             r"(?i)Powered by GitBook",
             r"gitbook\.io",
         ),
+        hints=("gitbook",),
     ),
 )
 # A framework's own configuration is used from this confidence on; full confidence is at 30 points.

@@ -79,16 +79,20 @@ def attribute(tag_text: Column, name: str) -> Column:
     ).otherwise("")
 
 
+def _class_regex(*names: str) -> str:
+    w = f"(?:{'|'.join(re.escape(n) for n in names)})"
+    return (
+        rf"""[\s"'/](?i:class)\s*=\s*(?:"(?:[^"]*\s)?{w}[\s"]|'(?:[^']*\s)?{w}[\s']|{w}[\s>])"""
+    )
+
+
 def _regex(kind: str, name: str, op: str, value: str) -> str:
     v = re.escape(value)
     attr = rf"(?i:{re.escape(name)})"
     if kind == "tag":
         return rf"<(?i:{re.escape(name)})(?=[\s/>])"
     if kind == "class":
-        w = re.escape(name)
-        return (
-            rf"""[\s"'/](?i:class)\s*=\s*(?:"(?:[^"]*\s)?{w}[\s"]|'(?:[^']*\s)?{w}[\s']|{w}[\s>])"""
-        )
+        return _class_regex(name)
     if op == "=":
         return rf"""[\s"'/]{attr}\s*=\s*(?:"{v}"|'{v}'|{v}[\s>])"""
     if op == "*=":
@@ -111,6 +115,7 @@ def tag_matches(tag: Column, tag_text: Column, compound: Compound) -> Column:
 def matches_any(tag: Column, tag_text: Column, selectors: tuple[str, ...]) -> Column:
     """The element matches one of several selectors without combinators."""
     tags: list[str] = []
+    classes: list[str] = []
     tests: list[Column] = []
     for selector in selectors:
         for chain in parse(selector):
@@ -119,8 +124,13 @@ def matches_any(tag: Column, tag_text: Column, selectors: tuple[str, ...]) -> Co
             conditions = chain[0].conditions()
             if len(conditions) == 1 and conditions[0][0] == "tag":
                 tags.append(conditions[0][1])
+            elif len(conditions) == 1 and conditions[0][0] == "class":
+                classes.append(conditions[0][1])
             else:
                 tests.append(tag_matches(tag, tag_text, chain[0]))
+    # All plain tags are one test and so are all plain classes.
+    if classes:
+        tests.insert(0, (F.length(tag_text) > 9) & tag_text.rlike(_class_regex(*classes)))
     if tags:
         tests.insert(0, tag.isin(*dict.fromkeys(tags)))
     return reduce(lambda a, b: a | b, tests, F.lit(False))

@@ -19,7 +19,9 @@ from pagemill import rules
 from pagemill.functions.let import let
 
 _URL = r"(?is)\A(https?):[/\\]*([^/?#\\]*)([^?#]*)(\?[^#]*)?(#.*)?\z"
-_HOST = r"\A[a-z0-9_.~!$&'()*+,;=-]+\z"
+_CUT = "\x1f"
+_AUTHORITY = r"\A[a-z0-9_.~!$&'()*+,;=-]+(?::\d{0,5})?\z"
+_CONTROLS = "".join(chr(c) for c in range(33))
 # Characters that a path, a query or a fragment keeps as they are; all others are escaped.
 _PATH_KEPT = r"\x21\x23-\x3B\x3D\x3F-\x5D\x5F\x61-\x7A\x7C\x7E"
 _QUERY_KEPT = r"\x21\x24-\x26\x28-\x3B\x3D\x3F-\x7E"
@@ -31,7 +33,9 @@ _DOTS = r"(?i)/(?:\.|%2e){1,2}(?:/|\z)"
 
 def trimmed(u: Column) -> Column:
     """The URL text without outer blanks and without line breaks and tabs inside."""
-    return F.regexp_replace(u, r"\A[\x00-\x20]+|[\x00-\x20]+\z|[\t\n\r]", "")
+    t = F.btrim(u, F.lit(_CONTROLS))
+    broken = t.contains("\n") | t.contains("\r") | t.contains("\t")
+    return F.when(broken, F.translate(t, "\t\n\r", "")).otherwise(t)
 
 
 def _escape(text: Column, kept: str) -> Column:
@@ -48,7 +52,8 @@ def _is_kept(ch: str, kept: str) -> bool:
 
 def escape_path(path: Column) -> Column:
     """Percent-encode what a path may not hold; backslashes count as slashes."""
-    return _escape(F.translate(path, "\\", "/"), _PATH_KEPT)
+    slashed = F.when(path.contains("\\"), F.translate(path, "\\", "/")).otherwise(path)
+    return _escape(slashed, _PATH_KEPT)
 
 
 def fold_dots(path: Column) -> Column:
@@ -67,7 +72,7 @@ def fold_dots(path: Column) -> Column:
     )
     ends_in_dots = path.rlike(r"(?i)/(?:\.|%2e){1,2}\z")
     return F.when(
-        path.rlike(_DOTS),
+        (path.contains("/.") | path.contains("/%2")) & path.rlike(_DOTS),
         F.when(ends_in_dots | (folded == ""), F.concat(folded, F.lit("/"))).otherwise(folded),
     ).otherwise(path)
 
@@ -79,23 +84,29 @@ def with_url_parts(df: DataFrame, url: str, prefix: str = "") -> DataFrame:
     dot segments. Query and fragment are added as ``query`` and ``fragment``, unescaped.
     """
     p = prefix
-    raw, authority = f"{p}__raw", f"{p}__auth"
-    df = df.withColumn(raw, trimmed(F.col(url)))
-    part = lambda i: F.regexp_extract(F.col(raw), _URL, i)
+    cut, authority = f"{p}__cut", f"{p}__auth"
+    # One match for all parts: they are put side by side with a separator and split again.
+    side_by_side = F.regexp_replace(
+        F.translate(trimmed(F.col(url)), _CUT, ""), _URL, _CUT.join(f"${i}" for i in range(1, 6))
+    )
+    df = df.withColumn(cut, F.split(side_by_side, _CUT))
+    part = lambda i: F.get(F.col(cut), F.lit(i))
+    is_url = F.size(F.col(cut)) == 5
     df = df.withColumns(
         {
-            f"{p}scheme": F.lower(part(1)),
-            authority: F.lower(part(2)),
-            f"{p}path": escape_path(part(3)),
-            f"{p}query": part(4),
-            f"{p}fragment": part(5),
+            f"{p}scheme": F.when(is_url, F.lower(part(0))),
+            authority: F.lower(part(1)),
+            f"{p}path": escape_path(part(2)),
+            f"{p}query": part(3),
+            f"{p}fragment": part(4),
         }
     )
     a = F.col(authority)
+    port = F.when(a.contains(":"), F.regexp_extract(a, r":(\d+)\z", 1)).otherwise("")
     df = df.withColumns(
         {
-            f"{p}host": F.regexp_extract(a, r"\A([^:]*)", 1),
-            f"{p}port": F.regexp_extract(a, r":(\d+)\z", 1),
+            f"{p}host": F.split_part(a, F.lit(":"), F.lit(1)),
+            f"{p}port": port,
             f"{p}path": F.when(F.col(f"{p}path") == "", "/").otherwise(
                 fold_dots(F.col(f"{p}path"))
             ),
@@ -103,18 +114,20 @@ def with_url_parts(df: DataFrame, url: str, prefix: str = "") -> DataFrame:
     )
     scheme, port = F.col(f"{p}scheme"), F.col(f"{p}port")
     valid = (
-        (scheme != "")
-        & F.col(f"{p}host").rlike(_HOST)
-        & a.rlike(r"\A[^:]*(?::\d{0,5})?\z")
-        & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535)
+        scheme.isNotNull()
+        & a.rlike(_AUTHORITY)
+        & (F.when(port == "", 0).otherwise(port.try_cast("int")) <= 65535)
     )
     default_port = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
     keep = lambda name: F.when(F.col(f"{p}__ok"), F.col(f"{p}{name}"))
     df = df.withColumns(
-        {f"{p}__ok": F.coalesce(valid, F.lit(False)), f"{p}port": F.when(default_port, "").otherwise(port)}
+        {
+            f"{p}__ok": F.coalesce(valid, F.lit(False)),
+            f"{p}port": F.when(default_port, "").otherwise(port),
+        }
     )
     names = ("scheme", "host", "port", "path", "query", "fragment")
-    return let(df, {f"{p}{n}": keep(n) for n in names}).drop(raw, authority, f"{p}__ok")
+    return let(df, {f"{p}{n}": keep(n) for n in names}).drop(cut, authority, f"{p}__ok")
 
 
 def origin(prefix: str = "") -> Column:
@@ -135,7 +148,8 @@ def normalized(prefix: str = "") -> Column:
 
 def key_path(path: Column) -> Column:
     """The path without one trailing slash, unless it is the root."""
-    return F.when(path == "/", path).otherwise(F.regexp_replace(path, r"/\z", ""))
+    short = F.left(path, F.length(path) - 1)
+    return F.when((path != "/") & path.endswith("/"), short).otherwise(path)
 
 
 def key(prefix: str = "") -> Column:

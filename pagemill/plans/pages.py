@@ -12,13 +12,13 @@ from pagemill.functions import content, urls
 from pagemill.operators import frameworks, markdown, regions, tokens
 
 
-def spread(pages: DataFrame, key: str) -> DataFrame:
-    """Hash pages by key over all shuffle partitions.
+def spread(pages: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Hash pages by key over ``partitions`` tasks, by default all shuffle partitions.
 
     The number is given, so that a small input is not put back into few tasks: what follows is
     bound by CPU, not by the bytes that Spark would otherwise size the tasks by.
     """
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return pages.repartition(n, F.col(key))
 
 
@@ -31,13 +31,18 @@ def main_tokens(
     pages: DataFrame,
     key: str = "page_id",
     configs: Sequence[rules.SiteConfig] = rules.SITE_CONFIGS,
+    partitions: int | None = None,
+    partitioned: bool = False,
 ) -> DataFrame:
     """The tokens of the main content of each page, links made absolute.
 
     ``pages`` has the key, ``url`` and ``html``. Adds the page's ``config_key``, ``framework``
-    and ``host`` to its tokens.
+    and ``host`` to its tokens. ``partitioned`` says that an aggregate or a join has just hashed
+    the pages by key, so that they need not be spread again.
     """
-    df = spread(pages.select(key, "url", "html"), key)
+    df = pages.select(key, "url", "html")
+    if not partitioned:
+        df = spread(df, key, partitions)
     df = urls.with_url_parts(df, "url", "from_").withColumn("host", F.col("from_host"))
     df = frameworks.with_effective_config(df, configs=configs).drop("confidence", "score")
     df = markdown.with_reference(tokens.html_tokens(df), "from_")
@@ -54,9 +59,11 @@ def pages_to_markdown(
     key: str = "page_id",
     configs: Sequence[rules.SiteConfig] = rules.SITE_CONFIGS,
     strict_access_denied: bool = False,
+    partitions: int | None = None,
+    partitioned: bool = False,
 ) -> DataFrame:
     """Cleaned Markdown of every page with its ``framework`` and ``blocked_reason``."""
-    df = main_tokens(pages, key, configs)
+    df = main_tokens(pages, key, configs, partitions, partitioned)
     df = markdown.html_to_markdown(df, key, carry=("url", "host", "framework", "config_key"))
     df = df.withColumn("markdown", content.clean_markdown(F.col("markdown")))
     return df.withColumn(

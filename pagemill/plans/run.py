@@ -27,7 +27,7 @@ def page_content(pages: DataFrame) -> DataFrame:
     """Each captured page once, as Markdown under its key, with its blocked reason."""
     df = urls.with_url_key(pages, "url")
     df = dedup.dedup_pages(df, ["page_id"])
-    md = page_plan.pages_to_markdown(df, key="url_key")
+    md = page_plan.pages_to_markdown(df, key="url_key", partitioned=True)
     return md.withColumn("error", F.lit(None).cast("string"))
 
 

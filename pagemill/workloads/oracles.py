@@ -458,14 +458,43 @@ def _text(t):
     return f"regexp_replace(regexp_replace({esc}, '^(-|[+] |=+|#{{1,6}} |~~~|>)', '\\\\\\1'), '^([0-9]+)[.] ', '\\1\\\\. ')"
 
 
-o(
-    "html_to_markdown",
-    f"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS title,
+_PLAIN = f"""a AS (SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS title,
   regexp_extract(html, '(?s)<article>.*?</h1>(.*?)(?:</article>|$)', 1) AS body FROM pages),
 p AS (SELECT page_id, title, list_filter(list_transform(string_split(regexp_replace(body, '(?s)<!--.*?-->|<ul>.*?</ul>|<br>|</p>', '', 'g'), '<p>'),
   lambda x: CASE WHEN starts_with(x, '<b>') THEN '**' || {_text("replace(replace(x, '<b>', ''), '</b>', '')")} || '**' ELSE {_text('x')} END),
-  lambda y: y <> '') AS paras FROM a)
-SELECT page_id, array_to_string(list_prepend('# ' || {_text('title')}, paras), chr(10) || chr(10)) AS markdown FROM p""",
+  lambda y: y <> '') AS paras FROM a),
+plain AS (SELECT page_id, array_to_string(list_prepend('# ' || {_text('title')}, paras), chr(10) || chr(10)) AS markdown FROM p)"""
+o("html_to_markdown", f"WITH {_PLAIN} SELECT page_id, markdown FROM plain")
+o(
+    "markdown_sink",
+    f"""WITH {_PLAIN}, h AS (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS host FROM pages)
+SELECT host, count(*) AS n_pages, sum(length(markdown)) AS n_chars FROM plain JOIN h USING (page_id) GROUP BY host""",
+)
+# What the added content turns into, and which parts of a page each configuration keeps.
+_SNIPPET_MD = """concat('## Part ', page_id, e'\\n\\n-   one\\n-   two _x_\\n    -   deep\\n\\n3.  a\\n4.  b\\n\\n```js\\nlet a = ', page_id,
+ e';\\n```\\n\\n```py\\nx_1 < ', page_id, e'\\n```\\n\\n```\\nplain\\n```\\n\\n| A | B |\\n| --- | --- |\\n| 1 | 2 |\\n\\n> q1\\n> \\n> q2\\n\\n* * *\\n\\n',
+ '[link](https://', host, '/p?a=1 "T") [r](https://', host, '/docs/rel/', page_id, ') [f](#f) ![pic](https://', host,
+ '/docs/i.png) ![](data:x) [s](https://', host, '/single) `c_d` ~old~')"""
+o(
+    "pages_to_markdown",
+    f"""WITH {_SITES}, {_scored()}, {_PLAIN},
+cfg AS (SELECT page_id, host, framework, CASE WHEN host IN ('developers.cloudflare.com', 'platform.openai.com', 'docs.x.ai', 'ai.google.dev')
+  THEN host WHEN score >= 9 AND framework <> 'custom' THEN '__' || framework || '__' ELSE '__default__' END AS config_key FROM found JOIN sites USING (page_id)),
+edge AS (SELECT page_id, {_text("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")} AS ad,
+  {_text("regexp_extract(html, '(?s)<footer>(.*?)(?:</footer>|$)', 1)")} AS foot FROM pages),
+kept AS (SELECT *, config_key IN ('platform.openai.com', 'developers.cloudflare.com') AND page_id % 10 <> 6 AS is_body FROM cfg),
+txt AS (SELECT page_id, host, framework, config_key, [
+  CASE WHEN is_body THEN ad END,
+  CASE WHEN is_body AND page_id % 10 = 5 THEN '[s](https://www.sphinx-doc.org/x)' END,
+  CASE WHEN is_body AND page_id % 10 = 9 THEN concat('no', chr(10), chr(10), 'tie') END,
+  CASE WHEN page_id % 10 = 1 AND config_key NOT IN ('__docusaurus__', 'developers.cloudflare.com') THEN 'pn' END,
+  CASE WHEN page_id % 10 = 4 AND config_key <> '__mkdocs__' THEN '_mn_' END,
+  CASE WHEN config_key IN ('developers.cloudflare.com', '__docusaurus__', '__vitepress__', '__mkdocs__', '__sphinx__', '__gitbook__')
+    THEN concat('side', chr(10), chr(10), 'bar') END,
+  {_SNIPPET_MD}, markdown, CASE WHEN page_id % 10 = 6 AND config_key = '__gitbook__' THEN foot END] AS parts
+  FROM kept JOIN plain USING (page_id) JOIN edge USING (page_id))
+SELECT page_id, host, framework, config_key, array_to_string(list_filter(parts, lambda x: x IS NOT NULL AND x <> ''), chr(10) || chr(10)) AS markdown,
+  CAST(NULL AS VARCHAR) AS blocked_reason FROM txt""",
 )
 o(
     "code_blocks",

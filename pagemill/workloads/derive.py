@@ -120,6 +120,20 @@ INDEX_BODY = """concat('<sitemapindex><sitemap><loc>https://maps.example.org/pag
   '<sitemap><loc>https://maps.example.org/index-', page_id, '.xml</loc></sitemap></sitemapindex>')"""
 
 
+
+
+def site_page(p: str) -> str:
+    """The URL of page ``p`` on one of forty made-up sites, in one of three directories."""
+    return (
+        f"concat('https://site', ({p}) % 40, '.example.com/docs/',"
+        f" CAST(floor(({p}) / 40) AS BIGINT) % 3, '/', {p})"
+    )
+
+
+# Each page leads to the next page of its site and to the one three further on.
+SITE_LINKS = f"""concat(html, '<a href="', {site_page('page_id + 40')}, '">n</a> <a href="', {site_page('page_id + 120')}, '#x">f</a>')"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -575,3 +575,30 @@ o(
 FROM tries WHERE url NOT IN (SELECT url FROM win) GROUP BY url""",
 )
 o("adapter_counts", f"WITH {_WIN} SELECT adapter, count(*) AS n_pages FROM win GROUP BY adapter")
+
+
+# --- the whole run: page numbers give the links between pages, the navigation leads nowhere
+_NAV = "'https://site' || page_id % 40 || '.example.com/docs' || " + encoded("rtrim(raw, '/')")
+_RUN = f"""pg AS (SELECT page_id, {d.site_page('page_id')} AS url_key FROM pages),
+e AS (SELECT page_id, {_NAV} AS dst FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=["'']([^"'']+)["'']', 1)) AS raw FROM pages)
+  UNION SELECT page_id, {d.site_page('page_id + 40')} FROM pages UNION SELECT page_id, {d.site_page('page_id + 120')} FROM pages),
+walk AS (SELECT page_id % 40 AS site, {d.site_page('min(page_id)')} AS url_key, 0 AS depth FROM pages GROUP BY page_id % 40
+  UNION SELECT site, dst, depth + 1 FROM walk JOIN pg USING (url_key) JOIN e USING (page_id) WHERE depth < 2),
+reached AS (SELECT 'site' || site || '.example.com' AS crawl_id, url_key, min(depth) AS depth FROM walk GROUP BY site, url_key)"""
+o(
+    "full_run",
+    f"""WITH RECURSIVE {_RUN} SELECT crawl_id, count(*) AS visited, count(page_id) AS saved, 0 AS blocked,
+  count(*) - count(page_id) AS failed FROM reached LEFT JOIN pg USING (url_key) GROUP BY crawl_id""",
+)
+# A page reached at depth 2 has the smaller of its possible parents; numbers follow depth, parent and place.
+o(
+    "run_files",
+    f"""WITH RECURSIVE {_RUN}, {_PLAIN},
+par AS (SELECT r.crawl_id, r.url_key, r.depth, pg.page_id, min(q.url_key) AS parent,
+  arg_min(CASE WHEN q.page_id + 40 = pg.page_id THEN 0 ELSE 1 END, q.url_key) AS pos
+  FROM reached r JOIN pg USING (url_key) LEFT JOIN (SELECT s.crawl_id, s.depth, p.* FROM reached s JOIN pg p USING (url_key)) q
+  ON q.crawl_id = r.crawl_id AND q.depth = r.depth - 1 AND pg.page_id IN (q.page_id + 40, q.page_id + 120) GROUP BY ALL),
+num AS (SELECT *, regexp_extract(url_key, 'docs/(.*)/', 1) AS dir, row_number() OVER (PARTITION BY crawl_id, dir ORDER BY depth, parent, pos, url_key) AS n FROM par)
+SELECT crawl_id, dir || '/' || lpad(n::VARCHAR, 2, '0') || '-' || page_id || '.md' AS local_path, url_key AS url, length(markdown) AS n_chars
+FROM num JOIN plain USING (page_id)""",
+)

@@ -549,20 +549,26 @@ def adapter_counts(spark, sf):
     return responses.adapter_counts(_chosen(spark, sf))
 
 
+def crawl_run(spark: SparkSession, sf: str, depth: int = 2, numbered: bool = True):
+    """Crawl forty sites from their first page; pages link to later pages of their site."""
+    pages = d.table(spark, sf, "pages").select(
+        "page_id", F.expr(d.site_page("page_id")).alias("url"), F.expr(d.SITE_LINKS).alias("html")
+    )
+    site = urls.with_url_parts(pages.select("page_id", "url"), "url")
+    entries = site.groupBy(F.col("host").alias("crawl_id")).agg(
+        F.min_by("url", "page_id").alias("url")
+    )
+    return run_plan.run(pages, entries, depth=depth, numbered=numbered)
+
+
 @query
 def full_run(spark, sf):
-    """A whole link crawl over pages that link to their neighbours."""
+    """The report of a whole link crawl."""
     return crawl_run(spark, sf).report
 
 
-def crawl_run(spark: SparkSession, sf: str, depth: int = 2, numbered: bool = True):
-    """Pages get links to their two neighbours, then every host is crawled from its entry."""
-    pages = d.doc_pages(spark, sf)
-    targets = pages.select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("prev_url"))
-    linked = pages.join(targets, "page_id", "left")
-    own = F.regexp_extract("url", "^([a-z]+://[^/]+)", 1)
-    same = F.concat(own, F.regexp_extract("prev_url", "^[a-z]+://[^/]+(/.*)", 1))
-    link = F.concat(F.lit('<a href="'), F.coalesce("prev_url", F.lit("/")), F.lit('">p</a><a href="'), F.coalesce(same, F.lit("/")), F.lit('">q</a>'))
-    linked = linked.select("page_id", "url", F.concat("html", link).alias("html"))
-    entries = d.entries(spark, sf).select("crawl_id", "url")
-    return run_plan.run(linked, entries, depth=depth, numbered=numbered)
+@query
+def run_files(spark, sf):
+    """The files of a whole link crawl: numbered paths and text lengths."""
+    files = crawl_run(spark, sf).files
+    return files.select("crawl_id", "local_path", "url", F.length("markdown").alias("n_chars"))

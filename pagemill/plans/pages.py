@@ -33,14 +33,15 @@ def main_tokens(
     configs: Sequence[rules.SiteConfig] = rules.SITE_CONFIGS,
     partitions: int | None = None,
     partitioned: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """The tokens of the main content of each page, links made absolute.
 
     ``pages`` has the key, ``url`` and ``html``. Adds the page's ``config_key``, ``framework``
-    and ``host`` to its tokens. ``partitioned`` says that an aggregate or a join has just hashed
-    the pages by key, so that they need not be spread again.
+    and ``host`` to its tokens. ``partitioned`` says that the pages are already spread by
+    key; the columns in ``carry`` stay.
     """
-    df = pages.select(key, "url", "html")
+    df = pages.select(key, "url", "html", *carry)
     if not partitioned:
         df = spread(df, key, partitions)
     df = urls.with_url_parts(df, "url", "from_").withColumn("host", F.col("from_host"))
@@ -61,10 +62,11 @@ def pages_to_markdown(
     strict_access_denied: bool = False,
     partitions: int | None = None,
     partitioned: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Cleaned Markdown of every page with its ``framework`` and ``blocked_reason``."""
-    df = main_tokens(pages, key, configs, partitions, partitioned)
-    df = markdown.html_to_markdown(df, key, carry=("url", "host", "framework", "config_key"))
+    df = main_tokens(pages, key, configs, partitions, partitioned, carry)
+    df = markdown.html_to_markdown(df, key, carry=("url", "host", "framework", "config_key", *carry))
     df = df.withColumn("markdown", content.clean_markdown(F.col("markdown")))
     return df.withColumn(
         "blocked_reason", content.blocked_reason(F.col("markdown"), strict_access_denied)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,19 +17,50 @@ from pagemill.session import materialize
 
 @dataclass
 class RunResult:
-    """Tables of one run."""
+    """Tables of one run; the files are worked out when they are asked for."""
 
     outcomes: DataFrame
-    files: DataFrame
-    report: DataFrame
+    content: DataFrame
+    numbered: bool
+
+    @property
+    def report(self) -> DataFrame:
+        return report.crawl_report(self.outcomes)
+
+    @cached_property
+    def files(self) -> DataFrame:
+        """Saved pages with their ``local_path`` and Markdown, one per path and crawl."""
+        saved = self.outcomes.filter(F.col("status") == "saved")
+        files = urls.with_url_parts(saved, "url").withColumn(
+            "local_path", paths.local_path(F.col("path"))
+        )
+        order = ["depth", "parent_key", "pos", "url_key"]
+        files = files.select("crawl_id", "url", "host", *order, "local_path")
+        if self.numbered:
+            files = numbering.numbered_paths(files, ["crawl_id"], order)
+            files = files.drop("local_path", "dir", "number").withColumnRenamed(
+                "numbered_path", "local_path"
+            )
+        files = dedup.resolve_collisions(files, ["crawl_id", "local_path"], order)
+        return files.join(self.content.select("url_key", "markdown"), "url_key")
 
 
 def page_content(pages: DataFrame) -> DataFrame:
-    """Each captured page once, as Markdown under its key, with its blocked reason."""
-    df = urls.with_url_key(pages, "url")
-    df = dedup.dedup_pages(df, ["page_id"])
-    md = page_plan.pages_to_markdown(df, key="url_key", partitioned=True)
-    return md.withColumn("error", F.lit(None).cast("string"))
+    """Each captured page once, as Markdown under its key, with its blocked reason.
+
+    Which capture of a key is kept (the lowest number) is settled on numbers and keys alone.
+    The pages themselves are shuffled once, by number, which serves both the join with the kept
+    numbers and the page pipeline; a key with very many captures is no hot spot in it.
+    """
+    keyed = urls.with_url_key(pages.select("page_id", "url"), "url").filter(
+        F.col("url_key").isNotNull()
+    )
+    kept = keyed.groupBy("url_key").agg(F.min("page_id").alias("page_id"))
+    # A semi-join never builds on the pages, so they stay spread by number whatever Spark picks.
+    df = page_plan.spread(pages, "page_id").join(kept.select("page_id"), "page_id", "left_semi")
+    df = urls.with_url_key(df, "url")
+    md = page_plan.pages_to_markdown(df, partitioned=True, carry=("url_key",))
+    return md.drop("page_id").withColumn("error", F.lit(None).cast("string"))
 
 
 def page_edges(pages: DataFrame, content: str = "html") -> DataFrame:
@@ -101,17 +133,4 @@ def run(
     else:
         raise ValueError(f"unknown mode: {mode!r}")
     outcomes = materialize(bfs.outcomes(reached, content))
-    saved = outcomes.filter(F.col("status") == "saved")
-    files = urls.with_url_parts(saved, "url").withColumn(
-        "local_path", paths.local_path(F.col("path"))
-    )
-    files = files.select("crawl_id", "url_key", "url", "host", "depth", "parent_key", "pos", "local_path")
-    if numbered:
-        files = numbering.numbered_paths(
-            files, ["crawl_id"], ["depth", "parent_key", "pos", "url_key"]
-        ).drop("local_path", "dir", "number").withColumnRenamed("numbered_path", "local_path")
-    files = dedup.resolve_collisions(
-        files, ["crawl_id", "local_path"], ["depth", "parent_key", "pos", "url_key"]
-    )
-    files = files.join(content.select("url_key", "markdown"), "url_key")
-    return RunResult(outcomes, files, report.crawl_report(outcomes))
+    return RunResult(outcomes, content, numbered)

@@ -144,6 +144,16 @@ def test_pipeline_has_one_shuffle_and_no_python(spark):
     assert "Python" not in text and "Join" not in text
 
 
+def test_run_shuffles_pages_once(spark):
+    text = plan_text(run_plan.page_content(site(spark)))
+    # One exchange for the pages; the others only move numbers and keys, to find the capture to
+    # keep. The token windows add none.
+    assert text.count("Exchange hashpartitioning") <= 3
+    assert "Exchange hashpartitioning(page_id" in text and ", tag" not in "".join(
+        x for x in text.splitlines() if "Exchange" in x
+    )
+
+
 def test_links_are_extracted_without_a_shuffle(spark):
     text = plan_text(links.extract_links(site(spark)))
     assert "Exchange" not in text and "Python" not in text

@@ -39,3 +39,12 @@ def op9_sentencepiece(spark, sf):
         F.sha2(joined, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op8_mixing(spark, sf):
+    from pagemill.llm import mixing
+
+    documents, segments = mixing.mix(table(spark, sf, "documents"))
+    out = mixing.taken(documents, segments)
+    return out.select("doc_id", "size", "source_size", "target", "taken")

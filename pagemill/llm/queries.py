@@ -48,3 +48,40 @@ def op8_mixing(spark, sf):
     documents, segments = mixing.mix(table(spark, sf, "documents"))
     out = mixing.taken(documents, segments)
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op7_line_dedup(spark, sf):
+    from pagemill.llm import lines
+
+    out = lines.remove_repeats(table(spark, sf, "documents"))
+    return out.select(
+        "doc_id",
+        F.col("removed_lines").cast("long").alias("removed_lines"),
+        F.length("text").cast("long").alias("kept_chars"),
+        F.md5("text").alias("kept_md5"),
+    )
+
+
+ORACLES["op7_line_dedup"] = r"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(range(len(l))) AS lo, l FROM docs WHERE text <> ''),
+counted AS (SELECT doc_id, lo, l, l[lo + 1] AS a, l[lo + 2] AS b, l[lo + 3] AS c,
+  len(regexp_extract_all(coalesce(l[lo + 1], ''), '[^\x20\x09-\x0D]+')) AS na,
+  len(regexp_extract_all(coalesce(l[lo + 2], ''), '[^\x20\x09-\x0D]+')) AS nb,
+  len(regexp_extract_all(coalesce(l[lo + 3], ''), '[^\x20\x09-\x0D]+')) AS nc FROM lines),
+windows AS (
+  SELECT doc_id, lo, lo + 2 AS hi, [a, b, c] AS w FROM counted WHERE lo + 2 < len(l) AND na + nb + nc > 0
+  UNION ALL SELECT doc_id, lo, lo, [a] FROM counted WHERE na >= 50
+  UNION ALL SELECT doc_id, lo, lo + 1, [a, b] FROM counted WHERE na < 50 AND lo + 1 < len(l) AND na + nb >= 50),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, lo) AS r FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS i FROM ranked WHERE r > 1),
+kept AS (SELECT d.doc_id, d.lo AS i, d.l[d.lo + 1] AS line FROM lines d
+  LEFT JOIN gone g ON g.doc_id = d.doc_id AND g.i = d.lo WHERE g.i IS NULL),
+texts AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM kept GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS removed_lines,
+  length(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t, '') END)::BIGINT AS kept_chars,
+  md5(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t, '') END) AS kept_md5
+FROM documents d LEFT JOIN texts USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""

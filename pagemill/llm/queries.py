@@ -85,3 +85,10 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS removed_lines,
   md5(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t, '') END) AS kept_md5
 FROM documents d LEFT JOIN texts USING (doc_id) LEFT JOIN counts USING (doc_id)
 """
+
+
+@query
+def op2_jaccard_join(spark, sf):
+    from pagemill.llm import jaccard
+
+    return jaccard.linked(table(spark, sf, "documents"))

@@ -92,3 +92,19 @@ def op2_jaccard_join(spark, sf):
     from pagemill.llm import jaccard
 
     return jaccard.linked(table(spark, sf, "documents"))
+
+
+def _scored(spark, sf):
+    from pagemill.llm import toxicity
+
+    docs = table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+
+
+@query
+def op5_toxicity(spark, sf):
+    from pagemill.llm.common import crc_mod
+
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    flag = (F.col("score") >= 0.5).cast("int")
+    return _scored(spark, sf).select("doc_id", held_out.alias("held_out"), "score", flag.alias("predicted"))

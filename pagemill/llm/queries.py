@@ -108,3 +108,16 @@ def op5_toxicity(spark, sf):
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
     flag = (F.col("score") >= 0.5).cast("int")
     return _scored(spark, sf).select("doc_id", held_out.alias("held_out"), "score", flag.alias("predicted"))
+
+
+@query
+def op1_language_id(spark, sf):
+    from pagemill.llm import langid
+    from pagemill.llm.common import crc_mod
+
+    docs = table(spark, sf, "documents")
+    fold = crc_mod(F.col("doc_id"), 3)
+    model = langid.fit(docs, where=fold != 1)
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
+    out = langid.predict(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")

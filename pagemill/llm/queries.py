@@ -121,3 +121,10 @@ def op1_language_id(spark, sf):
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
     out = langid.predict(docs, model)
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query
+def op3_embedding_dedup(spark, sf):
+    from pagemill.llm import pivots
+
+    return pivots.linked(table(spark, sf, "embeddings"))

@@ -128,3 +128,10 @@ def op3_embedding_dedup(spark, sf):
     from pagemill.llm import pivots
 
     return pivots.linked(table(spark, sf, "embeddings"))
+
+
+@query
+def op10_nearest_neighbours(spark, sf):
+    from pagemill.llm import forest
+
+    return forest.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)

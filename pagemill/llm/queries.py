@@ -171,3 +171,10 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(length(f))::BIGINT AS formatted_chars
 FROM parts GROUP BY conv_id
 """
+
+
+@query
+def op4_license_scan(spark, sf):
+    from pagemill.llm import licenses
+
+    return licenses.scan(table(spark, sf, "documents"))

@@ -1,21 +1,68 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again.
+
+Toxic documents go, repeated passages are taken out of texts, one document of each near-duplicate
+group stays, the sources are mixed to their target weights, and what is left is encoded. Each stage reads
+what its predecessor kept, whole; nothing of it is limited or sampled but for the labelled rows
+that the toxicity classifier learns from.
+
+A document with a null or empty text passes every filter; it is never taken into the mix, which counts words.
+Repeated rows count as documents of their own until the near-duplicate stage leaves one of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagemill.llm import pieces
+from pagemill.llm import jaccard, lines, mixing, pieces
+from pagemill.llm import toxicity as toxic
 from pagemill.llm.common import Scratch
 from pagemill.llm.queries import piece_model
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose restored words are not toxic."""
+    model = toxic.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxic.without_toxic(docs, model)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines of passages that an earlier one has."""
+    return _counted(lines.remove_repeats(docs).drop("removed_lines"), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group."""
+    return jaccard.one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, the last of a source cut at its target."""
+    _, segments = mixing.mix(docs)
+    return _counted(mixing.mixed_texts(docs, segments).drop("shard", "place"), docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, the end id included."""
+    """Token ids of every row, the end id included, and the text they decode to."""
     return pieces.encode(docs, piece_model(), decoded=True)
 
 
-STAGES = [("sentencepiece", encode)]
+def _counted(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` with the number of characters of changed texts."""
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mix),
+    ("SentencePiece encoding and decoding", encode),
+]
 
+#: The classifier, the hashed permutations of the mix and the encoder can't be said in SQL; see tests/llm.
 ORACLE_SQL = None
 
 

@@ -210,21 +210,27 @@ def _word_rows(shared):
     return run
 
 
-def _flag_rows(shared):
-    """Rows (id, toxic weight): log of what the lexicon words of a text leave."""
+def _weigher(model):
+    """A function of a text: the log of what its lexicon words leave."""
+    costs, lexicon = model
+    restorer, stems = Restorer(costs), {f[1:4] for f in lexicon if f[0] == "^"}
+
+    def weigh(text: str | None) -> float:
+        left = 0.0
+        for w in restorer.words(text or "") if lexicon else ():
+            if w[:3] in stems or w in lexicon:
+                left += min(lexicon.get(f, 0.0) for f in features(w))
+        return left
+
+    return weigh
 
+
+def _flag_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        costs, lexicon = shared.value
-        restorer, stems = Restorer(costs), {f[1:4] for f in lexicon if f[0] == "^"}
+        weigh = _weigher(shared.value)
         for batch in batches:
-            scores = []
-            for text in batch.column(1):
-                left = 0.0
-                for w in restorer.words(text.as_py() or "") if lexicon else ():
-                    if w[:3] in stems or w in lexicon:
-                        left += min(lexicon.get(f, 0.0) for f in features(w))
-                scores.append(left)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["id", "left"])
+            left = [weigh(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.float64())], ["id", "left"])
 
     return run
 
@@ -302,3 +308,18 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     out = rows.mapInArrow(_flag_rows(shared), f"id {kind}, `left` double")
     value = F.when(F.col("left") < 0, 1 - F.exp("left")).otherwise(F.lit(model.base))
     return out.select(F.col("id").alias(key), value.alias("score"))
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` whose text scores below the threshold, in one pass without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.costs, model.lexicon))
+    at, base = docs.columns.index(text), model.base
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = _weigher(shared.value)
+        for batch in batches:
+            left = np.array([weigh(t.as_py()) for t in batch.column(at)], float)
+            scores = np.where(left < 0, 1 - np.exp(left), base)
+            yield batch.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

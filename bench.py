@@ -32,6 +32,10 @@ HEADLINE = (
     "crawl_bfs",
     "sitemap_expand",
     "numbered_paths",
+    "crawl_sitemap",
+    "markdown_sink",
+    "full_run",
+    "run_files",
 )
 
 

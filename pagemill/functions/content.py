@@ -135,13 +135,16 @@ def decode_entities(text: Column) -> Column:
 
 
 def _numeric(text: Column) -> Column:
-    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(&#[xX]?[0-9a-fA-F]{1,6};|&|[^&]+)"), F.lit(1))
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(&#[xX][0-9a-fA-F]+;|&#[0-9]+;|&|[^&]+)"), F.lit(1))
 
     def decoded(piece: Column) -> Column:
         hexa = F.regexp_extract(piece, r"\A&#[xX]([0-9a-fA-F]+);", 1)
-        code = F.when(hexa != "", F.conv(hexa, 16, 10)).otherwise(
-            F.regexp_extract(piece, r"\A&#([0-9]+);", 1)
-        ).try_cast("int")
+        # Leading zeros mean nothing; a number too long for an int is no character.
+        digits = F.regexp_extract(piece, r"\A&#0*([0-9]+);", 1)
+        hexa = F.regexp_replace(hexa, r"\A0+(?=.)", "")
+        code = F.when((hexa != "") & (F.length(hexa) <= 7), F.conv(hexa, 16, 10)).when(hexa == "", digits).try_cast("int")
+        windows = F.array(*map(F.lit, rules.WINDOWS_1252))
+        code = F.when(code.between(128, 159), F.get(windows, code - 128)).otherwise(code)
         as_hex = lambda c: F.lpad(F.hex(c), 4, "0")
         utf16 = F.when(code < 0x10000, as_hex(code)).otherwise(
             F.concat(
@@ -150,8 +153,10 @@ def _numeric(text: Column) -> Column:
             )
         )
         usable = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        # Control characters mark structure in what follows; decoded ones go.
+        control = (code < 32) & ~code.isin(9, 10, 13)
         # A decoded "&" must not start a second reference, so it stays a reference itself.
-        return F.when(code == 38, "&amp;").when(
+        return F.when(code == 38, "&amp;").when(control, "").when(
             usable, F.decode(F.unhex(utf16), "UTF-16BE")
         ).otherwise(piece)
 

@@ -108,9 +108,21 @@ def _running(df: DataFrame, key: str) -> DataFrame:
     opens, closes = kind == "open", kind == "close"
     now = regions.up_to(key)
 
-    def nest(*tags: str) -> Column:
+    nested = {"lists": ("ul", "ol", "menu"), "quotes": ("blockquote",), "pres": ("pre",), "codes": ("code",)}
+    sums = {}
+    for name, tags in nested.items():
         step = F.when(opens & tag.isin(*tags), 1).when(closes & tag.isin(*tags), -1).otherwise(0)
-        return F.greatest(F.sum(step).over(now), F.lit(0))
+        sums[f"__sum_{name}"] = F.sum(step).over(now)
+    df = df.withColumns(sums)
+
+    def nest(name: str) -> Column:
+        """Open elements, where an end tag without a start counts for nothing."""
+        total = F.col(f"__sum_{name}")
+        return total - F.least(F.lit(0), F.min(total).over(now))
+
+    # A cell ends at its end tag and, where that is left out, at the next cell, row or table part.
+    edge = tag.isin("tr", "thead", "tbody", "tfoot") | (closes & tag.isin("td", "th", "table"))
+    cell = F.when(opens & tag.isin("td", "th"), 1).when((opens | closes) & edge, 0)
 
     def latest(hit: Column, value: Column) -> Column:
         return F.last(F.when(hit, value), ignorenulls=True).over(now)
@@ -132,15 +144,15 @@ def _running(df: DataFrame, key: str) -> DataFrame:
             ),
             "__blank": blank,
             "__lang": F.when(opens & (tag == "code"), lang),
-            "__lists": nest("ul", "ol", "menu"),
-            "__quotes": nest("blockquote"),
-            "__pres": nest("pre"),
-            "__codes": nest("code"),
-            "__cells": nest("td", "th"),
+            "__lists": nest("lists"),
+            "__quotes": nest("quotes"),
+            "__pres": nest("pres"),
+            "__codes": nest("codes"),
+            "__cells": F.coalesce(F.last(cell, ignorenulls=True).over(now), F.lit(0)),
             "__rows": count(opens & (tag == "tr")),
             "__cols": count(opens & tag.isin("td", "th")),
         }
-    )
+    ).drop(*sums)
     pre = opens & (tag == "pre")
     fenced = (F.col("__next_tag") == "code") & (F.col("text") == "")
     ends = lambda t: opens & (tag == t)

@@ -126,19 +126,21 @@ def drop_regions(df: DataFrame, key: str, flag: str = "remove") -> DataFrame:
     """Drop the elements whose opening tag is flagged.
 
     The closing tag goes with its element, but the text behind it stays, on a token without
-    a tag.
+    a tag. The first token of a page stays as an empty one, so that no page vanishes.
     """
     gone = F.max(F.when(F.col(flag), F.col("region_end"))).over(up_to(key))
-    df = df.withColumn("__gone", F.coalesce(gone, F.lit(-1)))
-    df = df.filter(F.col("__gone") <= F.col("pos"))
-    last = F.col("__gone") == F.col("pos")
+    first = F.lag("pos").over(Window.partitionBy(key).orderBy("pos")).isNull()
+    df = df.withColumns({"__gone": F.coalesce(gone, F.lit(-1)), "__first": first})
+    df = df.filter((F.col("__gone") <= F.col("pos")) | F.col("__first"))
+    last = F.col("__gone") >= F.col("pos")
+    df = df.withColumn("text", F.when(F.col("__gone") > F.col("pos"), "").otherwise(F.col("text")))
     return df.withColumns(
         {
             "kind": F.when(last, "text").otherwise(F.col("kind")),
             "tag": F.when(~last, F.col("tag")),
             "tag_text": F.when(last, "").otherwise(F.col("tag_text")),
         }
-    ).drop("__gone", flag)
+    ).drop("__gone", "__first", flag)
 
 
 def cut_content(

@@ -38,13 +38,14 @@ def child_sitemaps(sitemaps: DataFrame) -> DataFrame:
 
 
 def expand_sitemaps(
-    sitemaps: DataFrame, roots: DataFrame, max_levels: int = 50
+    sitemaps: DataFrame, roots: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Follow indexes from root sitemaps.
 
     ``roots`` has ``crawl_id, sitemap_url``. Returns ``(reached, missing)``: the plain
     sitemaps of each crawl, and the sitemaps that were named but not captured. Every level is
-    an equi-join; sitemaps seen before are left out, so cycles end. Only addresses take part in
+    an equi-join; sitemaps seen before are left out, so cycles end,
+    and the loop goes as deep as the indexes do. Only addresses take part in
     the loop, the bodies are joined by the caller.
     """
     edges = materialize(
@@ -57,7 +58,7 @@ def expand_sitemaps(
     )
     level = materialize(roots.select("crawl_id", "sitemap_url").distinct())
     seen = level
-    for _ in range(max_levels):
+    while True:
         nxt = (
             level.join(edges, "sitemap_url")
             .select("crawl_id", F.col("child").alias("sitemap_url"))
@@ -68,8 +69,6 @@ def expand_sitemaps(
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
-    else:
-        raise ValueError(f"sitemap indexes are nested more than {max_levels} levels deep")
     known = seen.join(kinds, "sitemap_url", "left")
     reached = known.filter(~F.col("is_index")).drop("is_index")
     return reached, known.filter(F.col("is_index").isNull()).drop("is_index")

@@ -39,7 +39,10 @@ def html_tokens(pages: DataFrame, html: str = "html") -> DataFrame:
     Adds ``pos``, ``tag_text`` (the markup), ``text`` (what follows it), ``tag`` (lower-case
     name, null for text and comments) and ``kind``: ``open``, ``close``, ``void`` or ``text``.
     """
-    df = pages.withColumn("__toks", F.regexp_extract_all(F.col(html), F.lit(_TOKEN), F.lit(0)))
+    found = F.regexp_extract_all(F.col(html), F.lit(_TOKEN), F.lit(0))
+    # A page of nothing is one empty token, so that it stays a page in all that follows.
+    found = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
+    df = pages.withColumn("__toks", found)
     df = df.drop(html).select("*", F.posexplode("__toks").alias("pos", "__tok")).drop("__toks")
     df = df.withColumn("text", F.regexp_replace("__tok", rf"(?s)\A{_MARKUP}", ""))
     df = df.withColumn(

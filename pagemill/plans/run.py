@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import paths, urls
@@ -60,7 +60,7 @@ def page_content(pages: DataFrame) -> DataFrame:
     df = page_plan.spread(pages, "page_id").join(kept.select("page_id"), "page_id", "left_semi")
     df = urls.with_url_key(df, "url")
     md = page_plan.pages_to_markdown(df, partitioned=True, carry=("url_key",))
-    return md.drop("page_id").withColumn("error", F.lit(None).cast("string"))
+    return md.withColumn("error", F.lit(None).cast("string"))
 
 
 def page_edges(pages: DataFrame, content: str = "html") -> DataFrame:
@@ -71,16 +71,39 @@ def page_edges(pages: DataFrame, content: str = "html") -> DataFrame:
     return links.link_edges(found)
 
 
-def sitemap_reach(pages: DataFrame, sitemap_bodies: DataFrame, responses: DataFrame, entries: DataFrame) -> DataFrame:
-    """Pages named by the sitemaps of the entry sites, limited to the entry's base path.
+def lost_entries(entries: DataFrame, url: str, error: Column, where: Column) -> DataFrame:
+    """Failed outcomes of entries that lead nowhere."""
+    return entries.filter(where).select(
+        "crawl_id",
+        "url_key",
+        F.col(url).alias("url"),
+        F.lit(0).alias("depth"),
+        F.lit(None).cast("string").alias("parent_key"),
+        F.lit(0).alias("pos"),
+        F.lit("entry_failed").alias("status"),
+        F.lit(None).cast("string").alias("reason"),
+        error.alias("error"),
+    )
+
+
+def sitemap_reach(
+    pages: DataFrame, sitemap_bodies: DataFrame, responses: DataFrame, entries: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Pages named by the sitemaps of the entry sites, limited to the entry's base path, and the
+    outcomes of entries that have no sitemap or whose sitemap or a part of it was not captured.
 
     No link is followed and other hosts are allowed. A URL is fetched with its query, but a key
     only once.
     """
     chosen = sitemaps.choose_sitemap(entries.withColumnRenamed("url", "entry_url"), responses)
-    reached, _ = sitemaps.expand_sitemaps(
+    reached, absent = sitemaps.expand_sitemaps(
         sitemap_bodies, chosen.filter(F.col("sitemap_url").isNotNull())
     )
+    none = chosen.filter(F.col("sitemap_url").isNull()).select("crawl_id", "entry_url", "error")
+    gone = F.concat(F.lit("Sitemap not captured: "), F.col("sitemap_url"))
+    absent = absent.join(chosen.select("crawl_id", "entry_url"), "crawl_id").select("crawl_id", "entry_url", gone.alias("error"))
+    failed = none.unionByName(absent).withColumn("url_key", F.lit(None).cast("string"))
+    failed = lost_entries(failed, "entry_url", F.col("error"), F.lit(True))
     found = sitemaps.sitemap_pages(sitemap_bodies, reached)
     base = urls.with_url_parts(entries, "url", "e_").select(
         "crawl_id", urls.base_path(F.col("e_path")).alias("base_path")
@@ -88,7 +111,7 @@ def sitemap_reach(pages: DataFrame, sitemap_bodies: DataFrame, responses: DataFr
     found = found.join(base, "crawl_id")
     found = sitemaps.filter_base_path(found, "path", "base_path")
     found = found.withColumn("url_key", urls.key())
-    return dedup.first_per_key(
+    named = dedup.first_per_key(
         found.select("crawl_id", "url_key", "sitemap_url", "pos", F.col("loc").alias("url")),
         ["crawl_id", "url_key"],
         [F.col("sitemap_url"), F.col("pos"), F.col("url")],
@@ -100,6 +123,7 @@ def sitemap_reach(pages: DataFrame, sitemap_bodies: DataFrame, responses: DataFr
         F.col("sitemap_url").alias("parent_key"),
         F.col("pos").cast("int").alias("pos"),
     )
+    return named, failed
 
 
 def run(
@@ -107,30 +131,36 @@ def run(
     entries: DataFrame,
     mode: str = "links",
     depth: int = 1,
-    link_source: str = "html",
+    link_source: str = "markdown",
     numbered: bool = False,
     sitemap_bodies: DataFrame | None = None,
     responses: DataFrame | None = None,
 ) -> RunResult:
     """Crawl captured pages from entries and turn what is reached into files.
 
-    ``entries`` has ``crawl_id, url``. Links come from the page source or, with
-    ``link_source='markdown'``, from the converted text.
+    ``entries`` has ``crawl_id, url``. Links come from the converted text, from which navigation
+    is cut, or with ``link_source='html'`` from the page source. Entries without a usable URL
+    and, in sitemap mode, entries without a captured sitemap are failed outcomes.
     """
     content = materialize(page_content(pages))
     entries = urls.with_url_key(entries, "url")
+    lost = lost_entries(entries, "url", urls.url_error(F.col("url"), F.lit(None).cast("string")), F.col("url_key").isNull())
+    entries = entries.filter(F.col("url_key").isNotNull())
     if mode == "sitemap":
-        reached = sitemap_reach(pages, sitemap_bodies, responses, entries)
+        reached, missing = sitemap_reach(pages, sitemap_bodies, responses, entries)
+        lost = lost.unionByName(missing)
     elif mode == "links":
         if link_source == "markdown":
             source = content.select("url_key", "url", "markdown")
             edges = page_edges(source, "markdown")
         else:
-            source = urls.with_url_key(pages, "url")
-            edges = page_edges(source)
+            # Captures that gave way to another one of their key lead nowhere.
+            kept = pages.join(content.select("page_id"), "page_id", "left_semi")
+            edges = page_edges(urls.with_url_key(kept, "url"))
         edges = materialize(bfs.follow_content(edges, content))
         reached = bfs.crawl(edges, entries, depth)
     else:
         raise ValueError(f"unknown mode: {mode!r}")
-    outcomes = materialize(bfs.outcomes(reached, content))
+    outcomes = bfs.outcomes(reached, content)
+    outcomes = materialize(outcomes.unionByName(lost.select(outcomes.columns)))
     return RunResult(outcomes, content, numbered)

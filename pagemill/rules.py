@@ -344,3 +344,9 @@ ENTITIES = (
     ("&rarr;", "→"), ("&uarr;", "↑"), ("&darr;", "↓"), ("&check;", "✓"), ("&zwj;", "\N{ZERO WIDTH JOINER}"),
     ("&amp;", "&"),
 )
+
+# --- fixed values: characters that the numeric references 128 to 159 stand for, as in Windows-1252
+WINDOWS_1252 = (
+    0x20AC, 0x81, 0x201A, 0x0192, 0x201E, 0x2026, 0x2020, 0x2021, 0x02C6, 0x2030, 0x0160, 0x2039, 0x0152, 0x8D, 0x017D, 0x8F,
+    0x90, 0x2018, 0x2019, 0x201C, 0x201D, 0x2022, 0x2013, 0x2014, 0x02DC, 0x2122, 0x0161, 0x203A, 0x0153, 0x9D, 0x017E, 0x0178,
+)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from pagemill.functions import urls
 from pagemill.operators import dedup
@@ -33,11 +32,10 @@ def convert_arrivals(stream: DataFrame, target: str, checkpoint: str) -> Streami
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = dedup.dedup_pages(urls.with_url_key(batch, "url"), ["page_id"])
-        try:
-            done = spark.read.parquet(target).filter(F.col("batch") != batch_id)
-            new = new.join(done.select("url_key"), "url_key", "left_anti")
-        except AnalysisException:
-            pass  # nothing written yet
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            done = spark.read.schema("url_key string, batch long").parquet(target)
+            new = new.join(done.filter(F.col("batch") != batch_id).select("url_key"), "url_key", "left_anti")
         out = page_plan.pages_to_markdown(new, key="url_key")
         out.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 

@@ -558,7 +558,7 @@ def crawl_run(spark: SparkSession, sf: str, depth: int = 2, numbered: bool = Tru
     entries = site.groupBy(F.col("host").alias("crawl_id")).agg(
         F.min_by("url", "page_id").alias("url")
     )
-    return run_plan.run(pages, entries, depth=depth, numbered=numbered)
+    return run_plan.run(pages, entries, depth=depth, link_source="html", numbered=numbered)
 
 
 @query

@@ -123,6 +123,8 @@ def _running(df: DataFrame, key: str) -> DataFrame:
     # A cell ends at its end tag and, where that is left out, at the next cell, row or table part.
     edge = tag.isin("tr", "thead", "tbody", "tfoot") | (closes & tag.isin("td", "th", "table"))
     cell = F.when(opens & tag.isin("td", "th"), 1).when((opens | closes) & edge, 0)
+    part_ends = closes & tag.isin("table", "thead", "tbody", "tfoot")
+    row = F.when(opens & (tag == "tr"), 1).when((closes & (tag == "tr")) | part_ends, 0)
 
     def latest(hit: Column, value: Column) -> Column:
         return F.last(F.when(hit, value), ignorenulls=True).over(now)
@@ -149,6 +151,7 @@ def _running(df: DataFrame, key: str) -> DataFrame:
             "__pres": nest("pres"),
             "__codes": nest("codes"),
             "__cells": F.coalesce(F.last(cell, ignorenulls=True).over(now), F.lit(0)),
+            "__row": F.coalesce(F.last(row, ignorenulls=True).over(now), F.lit(0)),
             "__rows": count(opens & (tag == "tr")),
             "__cols": count(opens & tag.isin("td", "th")),
         }
@@ -173,6 +176,16 @@ def _running(df: DataFrame, key: str) -> DataFrame:
             "__col0": latest(ends("tr"), F.col("__cols")),
         }
     )
+    # What is still open where an end tag has been left out.
+    before = lambda name: F.lag(name).over(in_order)
+    implied = (opens & tag.isin("td", "th")) | ((opens | closes) & edge & ~tag.isin("td", "th"))
+    df = df.withColumns(
+        {
+            "__cell_ends": F.coalesce((before("__cells") == 1) & implied, F.lit(False)),
+            "__row_ends": F.coalesce((before("__row") == 1) & ((opens & (tag == "tr")) | part_ends), F.lit(False)),
+            "__row_width": F.when(before("__rows") == before("__row0") + 1, before("__cols") - before("__col0")),
+        }
+    )
     # The innermost list of an item and its number there.
     level = (
         Window.partitionBy(key, "__lists")
@@ -303,7 +316,13 @@ def _markup(df: DataFrame) -> Column:
         ),
     )
     piece = piece.when(tag.isin("td", "th"), F.when(opens, " ").otherwise(" |"))
-    return F.coalesce(piece.when(tag.isin(*rules.BLOCK_TAGS), block), lit(""))
+    piece = F.coalesce(piece.when(tag.isin(*rules.BLOCK_TAGS), block), lit(""))
+    head = cat(line, lit("|"), F.repeat(lit(" --- |"), F.col("__row_width").cast("int")))
+    ends = cat(
+        F.when(F.col("__cell_ends"), " |").otherwise(""),
+        F.when(F.col("__row_ends") & (F.col("__row_width") > 0), head).otherwise(""),
+    )
+    return cat(ends, piece)
 
 
 def _with_pieces(df: DataFrame) -> DataFrame:

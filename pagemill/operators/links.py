@@ -12,14 +12,11 @@ from pagemill.functions import urls
 from pagemill.functions.content import js_trim
 from pagemill.functions.let import let
 
-_MARKDOWN_LINK = r"\[[^\]]+\]\(([^)]+)\)"
-_HREF = r"""href=["']([^"']+)["']"""
-
 
 def raw_links(content: Column) -> Column:
     """All link targets of a text: Markdown links first, then href attributes."""
     find = lambda rx: F.regexp_extract_all(content, F.lit(rx), F.lit(1))
-    return F.concat(find(_MARKDOWN_LINK), find(_HREF))
+    return F.concat(find(rules.MARKDOWN_LINK), find(rules.HREF))
 
 
 def extract_links(

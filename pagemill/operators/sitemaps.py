@@ -9,9 +9,6 @@ from pagemill import rules
 from pagemill.functions import urls
 from pagemill.session import materialize
 
-_PAGE = r"<url>\s*<loc>([^<]+)</loc>"
-_CHILD = r"<sitemap>\s*<loc>([^<]+)</loc>"
-
 
 def is_index(body: Column) -> Column:
     """The body is an index of other sitemaps."""
@@ -27,13 +24,13 @@ def _locations(sitemaps: DataFrame, pattern: str) -> DataFrame:
 
 def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
     """Page URLs of plain sitemaps: ``pos, loc`` and the URL's parts; other text is dropped."""
-    df = _locations(sitemaps.filter(~is_index(F.col("body"))), _PAGE)
+    df = _locations(sitemaps.filter(~is_index(F.col("body"))), rules.SITEMAP_PAGE)
     return urls.with_url_parts(df, "loc").filter(F.col("host").isNotNull())
 
 
 def child_sitemaps(sitemaps: DataFrame) -> DataFrame:
     """Child sitemap URLs of indexes: ``pos, loc``."""
-    df = _locations(sitemaps.filter(is_index(F.col("body"))), _CHILD)
+    df = _locations(sitemaps.filter(is_index(F.col("body"))), rules.SITEMAP_CHILD)
     return df.filter(F.col("loc") != "")
 
 
@@ -97,7 +94,7 @@ def choose_sitemap(entries: DataFrame, responses: DataFrame) -> DataFrame:
             "sitemap_url"
         )
     )
-    message = F.concat(F.lit("No sitemap found for "), F.col("origin"))
+    message = F.concat(F.lit(rules.NO_SITEMAP), F.col("origin"))
     return out.withColumn("error", F.when(F.col("sitemap_url").isNull(), message)).drop("origin")
 
 

@@ -317,7 +317,9 @@ FRAMEWORK_RULES = (
         hints=("gitbook",),
     ),
 )
-# A framework's own configuration is used from this confidence on; full confidence is at 30 points.
+
+# --- fixed values: a framework's own configuration is used from this confidence on; full
+# confidence is at this score
 MIN_CONFIDENCE = 0.3
 FULL_SCORE = 30
 
@@ -350,3 +352,10 @@ WINDOWS_1252 = (
     0x20AC, 0x81, 0x201A, 0x0192, 0x201E, 0x2026, 0x2020, 0x2021, 0x02C6, 0x2030, 0x0160, 0x2039, 0x0152, 0x8D, 0x017D, 0x8F,
     0x90, 0x2018, 0x2019, 0x201C, 0x201D, 0x2022, 0x2013, 0x2014, 0x02DC, 0x2122, 0x0161, 0x203A, 0x0153, 0x9D, 0x017E, 0x0178,
 )
+
+# --- fixed values: patterns of links and sitemaps, and the message of a site without one
+MARKDOWN_LINK = r"\[[^\]]+\]\(([^)]+)\)"
+HREF = r"""href=["']([^"']+)["']"""
+SITEMAP_PAGE = r"<url>\s*<loc>([^<]+)</loc>"
+SITEMAP_CHILD = r"<sitemap>\s*<loc>([^<]+)</loc>"
+NO_SITEMAP = "No sitemap found for "

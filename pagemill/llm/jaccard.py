@@ -11,14 +11,15 @@
    some 256 around a common document, then stars of those).
 3. *Verify.* Both sets of each pair are brought together and compared.
 4. *Expand.* Where the documents of a long list are in one component by now, every link among
-   them is inside it. In the others each document outside the largest component meets all documents
-   of the list that are in other components; these pairs are tested and verified too. So no link
+   them is inside it. In the others each document outside the largest component meets first a few central
+   documents of that, and then, if it is still outside, all documents of the list that are in other
+   components; these pairs are tested and verified too. So no link
    between components is lost, and near copies cost no pairs beyond their stars.
 
 Rows: null, empty and wordless texts have no shingles, link with nothing and are their own component.
 Repeated rows, and rows that share an id, are one node of the graph; each row has the count of its
 own text. Rows with a null id are returned without a component. Other columns may have any name.
-Empty tables give empty tables. A list of one shingle (24 bytes for each distinct set) is held by
+Empty tables give empty tables. A list of one shingle (26 bytes for each distinct set) is held by
 one task; the rare-first order keeps what many different documents share out of the lists.
 """
 
@@ -36,9 +37,9 @@ from pagemill.llm.common import Scratch, components, hot_join
 from pagemill.llm.shingles import mixed, shingles
 
 #: Counters of the sketch, and how many are in a row; longest list all of whose pairs are tried;
-#: fan-out of a star; entries of a bucket and entries a task gathers before it hands them on.
+#: documents for one head of a star; entries of a bucket and entries a task gathers before it hands them on.
 _CELLS, _ROW = 1 << 20, 1 << 12
-_SHORT, _FAN = 32, 256
+_SHORT, _FAN = 6, 256
 _BUCKET, _FLUSH = 1_000_000, 1_000_000
 
 
@@ -76,17 +77,18 @@ def _sum_rows(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) ->
 
 
 def _deal_prefixes(order: np.ndarray, buckets: int):
-    """Rows (bucket, entries): packed shingles, document ids, set sizes and positions."""
+    """Rows (bucket, entries): packed shingles, document ids, set sizes, positions and how many
+    odd shingles the document has, which are much rarer than those in the middle of its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, parts, size = set(), [], 0
 
         def flush():
-            token, doc, n, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+            token, doc, n, pos, odd = (np.concatenate(c) for c in zip(*parts, strict=True))
             b = (mixed(token) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(b, kind="stable")
             cuts = np.flatnonzero(np.diff(b[by])) + 1
-            packed = [_pack(token[i], doc[i], n[i], pos[i]) for i in np.split(by, cuts)]
+            packed = [_pack(token[i], doc[i], n[i], pos[i], odd[i]) for i in np.split(by, cuts)]
             firsts = b[by][np.concatenate(([0], cuts))]
             return pa.RecordBatch.from_arrays([pa.array(firsts), pa.array(packed, pa.binary())], ["bucket", "entries"])
 
@@ -100,8 +102,10 @@ def _deal_prefixes(order: np.ndarray, buckets: int):
                 rank = order[(x & np.uint64(_CELLS - 1)).astype(np.int64)]
                 n, k = len(x), _prefix(len(x))
                 # x ascends, so equal ranks keep the order of the shingles themselves.
-                x = x[np.argsort(rank, kind="stable")[:k]]
-                parts.append((x, np.full(k, key.as_py(), np.int64), np.full(k, n, np.uint32), np.arange(k, dtype=np.uint32)))
+                first = np.argsort(rank, kind="stable")[:k]
+                odd = min(65535, int((rank[first] < rank[first[k // 2]] / 2).sum()))
+                sizes, places = np.full(k, n, np.uint32), np.arange(k, dtype=np.uint32)
+                parts.append((x[first], np.full(k, key.as_py(), np.int64), sizes, places, np.full(k, odd, np.uint16)))
                 size += k
                 if size >= _FLUSH:
                     yield flush()
@@ -112,7 +116,7 @@ def _deal_prefixes(order: np.ndarray, buckets: int):
     return run
 
 
-_KINDS = (np.uint64, np.int64, np.uint32, np.uint32)
+_KINDS = (np.uint64, np.int64, np.uint32, np.uint32, np.uint16)
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -120,7 +124,7 @@ def _pack(*columns: np.ndarray) -> bytes:
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
-    n, out, at = len(data) // 24, [], 0
+    n, out, at = len(data) // 26, [], 0
     for k in _KINDS:
         out.append(np.frombuffer(data, k, n, at))
         at += n * np.dtype(k).itemsize
@@ -134,28 +138,20 @@ def _possible(n1, p1, n2, p2):
     return (100 * np.minimum(n1, n2) >= 75 * np.maximum(n1, n2)) & (175 * left >= 75 * (n1 + n2))
 
 
-def _stars(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that join all documents through common ones: parts of some 256 by a hash, each around
-    its first, and the same again with these. The hash makes most lists choose the same ones."""
-    a, b = [], []
-    docs = np.unique(docs)
-    h = mixed(docs.astype(np.uint64))
-    while len(docs) > 1:
-        order = np.argsort(h, kind="stable")
-        docs, h = docs[order], h[order]
-        bits = max(0, int(np.ceil(np.log2(len(docs) / _FAN))))
-        part = h >> np.uint64(64 - bits) if bits else np.zeros(len(docs), np.uint64)
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        head = first[np.cumsum(np.concatenate(([True], part[1:] != part[:-1]))) - 1]
-        rest = head != np.arange(len(docs))
-        a.append(docs[head[rest]])
-        b.append(docs[rest])
-        if len(first) == len(docs):  # can't shrink further: one star
-            a.append(np.full(len(docs) - 1, docs[0]))
-            b.append(docs[1:])
-            break
-        docs, h = docs[first], h[first]
-    return np.concatenate(a), np.concatenate(b)
+def _central(docs: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Places of documents, those with the fewest odd shingles first: in a group of near copies these
+    are nearest to all others. The order is the same in every list."""
+    return np.lexsort((mixed(docs.astype(np.uint64)), odd))
+
+
+def _stars(docs: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in ``docs`` that join all of them: each with one of the most central, one for some
+    256, and these with the first of them."""
+    order = _central(docs, odd)
+    heads = 1 << max(0, int(np.ceil(np.log2(len(docs) / _FAN))))
+    rest = order[heads:]
+    own = order[(mixed(docs[rest].astype(np.uint64)) & np.uint64(heads - 1)).astype(np.int64)]
+    return np.concatenate((np.full(heads - 1, order[0]), own)), np.concatenate((order[1:heads], rest))
 
 
 def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +175,7 @@ def _first_round(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
     """Pairs of a bucket (kind 0), its long lists as they are (1) and the documents in these (2)."""
     bucket = key[0].as_py()
     parts = [_unpack(x.as_py()) for b in batches for x in b.column("entries")]
-    token, doc, n, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+    token, doc, n, pos, odd = (np.concatenate(c) for c in zip(*parts, strict=True))
     del parts
     by = np.lexsort((doc, token))
     token = token[by]
@@ -197,15 +193,47 @@ def _first_round(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
         ok = _possible(n[x], pos[x], n[y], pos[y])
         a_all.append(doc[x[ok]])
         b_all.append(doc[y[ok]])
-    long_docs = []
-    for i in np.flatnonzero(lengths > _SHORT):
+    long_docs, parent = [], {}
+
+    def root(i: int) -> int:
+        while (up := parent.get(i, i)) != i:
+            parent[i] = i = parent.get(up, up)
+        return i
+
+    sorted_token, waiting = token, []
+    token = np.empty_like(sorted_token)
+    token[by] = sorted_token
+
+    def lists() -> pa.RecordBatch:
+        """Whole lists, one after the other."""
+        i = np.concatenate(waiting)
+        waiting.clear()
+        data = _pack(token[i], doc[i], n[i], pos[i], odd[i])
+        cols = [pa.array([1], pa.int32()), pa.array([bucket]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([data], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, schema=_FOUND)
+
+    long_ = np.flatnonzero(lengths > _SHORT)
+    for i in long_[np.argsort(-lengths[long_], kind="stable")]:
         own = by[starts[i] : starts[i] + lengths[i]]
-        x, y = _stars(doc[own])
-        a_all.append(x)
-        b_all.append(y)
+        # Most lists of a group of near copies hold what earlier lists have joined already; of
+        # documents that are joined the most central one stands for all.
+        order = _central(doc[own], odd[own])
+        first = order[np.unique([root(d) for d in doc[own[order]].tolist()], return_index=True)[1]]
+        if len(first) > 1:
+            x, y = _stars(doc[own[first]], odd[own[first]])
+            x, y = own[first[x]], own[first[y]]
+            ok = _possible(n[x], pos[x], n[y], pos[y])
+            x, y = doc[x[ok]], doc[y[ok]]
+            a_all.append(x)
+            b_all.append(y)
+            for c, d in zip(x.tolist(), y.tolist(), strict=True):
+                parent[root(d)] = root(c)
         long_docs.append(doc[own])
-        data = _pack(np.full(len(own), token[starts[i]], np.uint64), doc[own], n[own], pos[own])
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([bucket]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([data], pa.binary())], schema=_FOUND)
+        waiting.append(own)
+        if sum(map(len, waiting)) > 50_000:
+            yield lists()
+    if waiting:
+        yield lists()
     if long_docs:
         ids = np.unique(np.concatenate(long_docs))
         m = len(ids)
@@ -214,25 +242,35 @@ def _first_round(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
         yield _pairs_batch(bucket, *_unique_pairs(np.concatenate(a_all), np.concatenate(b_all)))
 
 
-def _second_round(key: tuple[pa.Scalar, ...], lists: pa.Table, comps: pa.Table) -> pa.Table:
-    """Pairs of a bucket's long lists whose documents are in different components."""
-    ids = comps.column("a").to_numpy()
-    comp = comps.column("component").to_numpy()
-    by = np.argsort(ids)
-    ids, comp = ids[by], comp[by]
-    a_all, b_all = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for data in lists.column("data"):
-        _, doc, n, pos = _unpack(data.as_py())
-        c = comp[np.searchsorted(ids, doc)]
-        names, counts = np.unique(c, return_counts=True)
-        if len(names) < 2:
-            continue
-        for i in np.flatnonzero(c != names[counts.argmax()]):
-            other = np.flatnonzero((c != c[i]) & _possible(np.broadcast_to(n[i], n.shape), np.broadcast_to(pos[i], pos.shape), n, pos))
-            a_all.append(np.full(len(other), doc[i]))
-            b_all.append(doc[other])
-    a, b = _unique_pairs(np.concatenate(a_all), np.concatenate(b_all))
-    return pa.table({"a": a, "b": b})
+def _between(hubs: int | None):
+    """Pairs of a bucket's long lists whose documents are in different components: those outside the
+    largest component of a list with its most central documents in there, or with all others of the list."""
+
+    def run(key: tuple[pa.Scalar, ...], lists: pa.Table, comps: pa.Table) -> pa.Table:
+        ids = comps.column("a").to_numpy()
+        by = np.argsort(ids)
+        ids, comp = ids[by], comps.column("component").to_numpy()[by]
+        a_all, b_all = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for data in lists.column("data"):
+            columns = _unpack(data.as_py())
+            cuts = np.flatnonzero(np.diff(columns[0])) + 1
+            for _, doc, n, pos, odd in zip(*(np.split(x, cuts) for x in columns), strict=True):
+                c = comp[np.searchsorted(ids, doc)]
+                names, counts = np.unique(c, return_counts=True)
+                if len(names) < 2:
+                    continue
+                main = c == names[counts.argmax()]
+                order = _central(doc, odd)
+                most = order[main[order]][:hubs] if hubs else order
+                for i in np.flatnonzero(~main):
+                    possible = _possible(np.broadcast_to(n[i], most.shape), np.broadcast_to(pos[i], most.shape), n[most], pos[most])
+                    other = most[(c[most] != c[i]) & possible]
+                    a_all.append(np.full(len(other), doc[i]))
+                    b_all.append(doc[other])
+        a, b = _unique_pairs(np.concatenate(a_all), np.concatenate(b_all))
+        return pa.table({"a": a, "b": b})
+
+    return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,20 +283,41 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["id", "x"])
+def _sets(shared):
+    """Sets of the documents whose place in the filter is taken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            hit = np.flatnonzero(shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            data = [shingles(t.as_py()).tobytes() for t in batch.column("text").take(pa.array(hit))]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(hit)), pa.array(data, pa.binary())], ["id", "x"])
+
+    return run
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs whose sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = scratch.keep(rows.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, x binary"))
+    """The pairs whose sets reach the threshold.
+
+    A filter of bits, eight for each document of a pair but 2^27 (16 MB) at most, goes to every task, so
+    that texts outside the pairs are left where they are; the join with the pairs is exact whatever it lets through.
+    """
+    spark = rows.sparkSession
+    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    bits = min(1 << 27, max(1 << 15, 1 << (8 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    number = place + 1  # the functions below count from one
+    maps = ids.groupBy(F.bitmap_bucket_number(number).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+    taken = np.zeros(bits // 8, np.uint8)
+    for r in maps.toLocalIterator():
+        taken[(r.row - 1) * 4096 : r.row * 4096] = np.frombuffer(r.bits, np.uint8)
+    shared = spark.sparkContext.broadcast(taken)
+    sets = rows.withColumn("place", place).mapInArrow(_sets(shared), "id long, x binary")
+    sets = scratch.keep(sets.join(ids, "id", "left_semi"))
     both = pairs.join(sets.withColumnRenamed("id", "a"), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").select("a", "b", "x", "y")
     links = scratch.keep(both.mapInArrow(_compare, "a long, b long"))
-    scratch.drop(sets)
+    scratch.drop(sets, ids)
     return links
 
 
@@ -298,17 +357,21 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         return out.filter("a <> b").distinct()
 
     pairs = scratch.keep(by_class(found.filter("kind = 0").select("a", "b")))
-    links = _verified(rows, pairs, scratch).unionByName(again)
+    links = _verified(valid, pairs, scratch).unionByName(again)
     comps = scratch.keep(components(links, scratch))
     lists = found.filter("kind = 1").select("bucket", "data")
     inside = found.filter("kind = 2").select("bucket", "a")
-    if not lists.isEmpty():
+    # First the documents outside with a few of the most central ones, then what is left with all.
+    for hubs in (8, None) if not lists.isEmpty() else ():
         place = inside.join(named.withColumnRenamed("id", "a"), "a").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
         place = place.groupBy("bucket", "a").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-        more = lists.groupBy("bucket").cogroup(place.withColumnRenamed("bucket", "cell").groupBy("cell")).applyInArrow(_second_round, "a long, b long")
+        place = place.withColumnRenamed("bucket", "cell").groupBy("cell")
+        more = lists.groupBy("bucket").cogroup(place).applyInArrow(_between(hubs), "a long, b long")
         more = scratch.keep(by_class(more).join(pairs, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            comps = scratch.keep(components(links.unionByName(_verified(rows, more, scratch)), scratch))
+        if more.isEmpty():
+            continue
+        pairs, links = pairs.unionByName(more), links.unionByName(_verified(valid, more, scratch))
+        comps = scratch.keep(components(links, scratch))
     scratch.drop(found)
     classes = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("sig", "rows", F.coalesce("component", "rep").alias("component"))

@@ -1,6 +1,7 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Reference points (pivots) are a bounded sample of the vectors. A vector is described by its
+Reference points (pivots) are a bounded sample of the vectors, thinned so that no two are ``close``: a group
+of near copies would otherwise have pivots enough of its own, and their order is noise. A vector is described by its
 ``near`` nearest pivots in order; similar vectors have similar orders. Inverted lists are kept for
 pairs of pivots: a list holds the vectors that have both among their nearest, so whatever meets in a list
 shares two pivots at least. Within a list the shared pivots of two vectors are counted; those with
@@ -49,6 +50,19 @@ def nearest(m: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
     return top.astype(np.int32)
 
 
+def thinned(m: np.ndarray, near: int, close: float) -> np.ndarray:
+    """Rows of which no two have a cosine above ``close``, the first ones kept; ``near`` rows at least, if there are as many."""
+    kept = np.empty_like(m)
+    chosen, dropped = [], []
+    for i, row in enumerate(m):
+        if len(chosen) and (kept[: len(chosen)] @ row).max() > close:
+            dropped.append(i)
+        else:
+            kept[len(chosen)] = row
+            chosen.append(i)
+    return m[sorted(chosen + dropped[: max(0, near - len(chosen))])]
+
+
 def _describe(shared, near: int):
     """Rows (id, v, weight, dim, pivots): the permutation of each vector."""
 
@@ -90,35 +104,49 @@ def _link(threshold: float, shared: int):
         one_hot = np.zeros((len(ids), len(names)), np.float32)
         one_hot[np.arange(len(ids))[:, None], inverse.reshape(perms.shape)] = 1
         before = one_hot[:, (names < q) & (names != p)]  # a shared one of these: another list's pair
-        n = np.zeros(len(ids), np.int64)
-        edges: list[tuple[int, int]] = []
-        parent = np.arange(len(ids))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
+        # Two that share the commonest of these are never met here, so those that hold it come last and meet the others only.
+        late = before[:, before.sum(axis=0).argmax()] > 0 if before.shape[1] else np.zeros(len(ids), bool)
+        left, right = (x[np.argsort(late[x], kind="stable")] for x in (left, right))
+        rest = right[: len(right) - late[right].sum()]
+        n, weights = np.zeros(len(ids)), w.astype(float)
+        edges: list[np.ndarray] = []
+        group = np.arange(len(ids))  # smallest place of the rows linked so far
         for at in range(0, len(left), 512):
             rows = left[at : at + 512]
-            ok = one_hot[rows] @ one_hot[right].T >= shared
-            ok &= before[rows] @ before[right].T == 0
-            ok &= u[rows] @ u[right].T >= threshold - 1e-9
-            ok &= ids[rows][:, None] < ids[right] if same else True
-            x, y = (a[i] for a, i in zip((rows, right), np.nonzero(ok), strict=True))
-            good = np.einsum("ij,ij->i", u[x], u[y]) >= threshold
-            x, y = x[good], y[good]
-            np.add.at(n, x, w[y])
-            np.add.at(n, y, w[x])
-            for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                a, b = root(i), root(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    edges.append((i, j))
+            if late[rows[0]]:
+                against = right[:0] if same else rest
+            else:
+                against = right[at:] if same else right
+            if not len(against):
+                continue
+            dots = u[rows] @ u[against].T
+            ok = dots >= threshold - 1e-9
+            i, j = np.nonzero(ok & (dots < threshold + 1e-9))
+            ok[i, j] = np.einsum("ij,ij->i", u[rows[i]], u[against[j]]) >= threshold
+            ok &= one_hot[rows] @ one_hot[against].T >= shared
+            ok &= before[rows] @ before[against].T == 0
+            ok &= ids[rows][:, None] != ids[against]
+            if same:
+                ok &= np.arange(len(rows))[:, None] < np.arange(len(against))
+            met = ok.astype(float)
+            n[rows] += met @ weights[against]
+            n[against] += weights[rows] @ met
+            while True:  # one link from each group to a smaller one, until none is left
+                i, j = np.nonzero(ok & (group[rows][:, None] != group[against]))
+                if not len(i):
+                    break
+                x, y = rows[i], against[j]
+                high, low = np.maximum(group[x], group[y]), np.minimum(group[x], group[y])
+                high, first = np.unique(high, return_index=True)
+                edges.append(np.stack((x[first], y[first])))
+                to = np.arange(len(ids))
+                to[high] = low[first]
+                while (to != to[to]).any():
+                    to = to[to]
+                group = to[group]
+        n = np.rint(n).astype(np.int64)
         got = np.flatnonzero(n)
-        a = np.array([i for i, _ in edges], np.int64)
-        b = np.array([j for _, j in edges], np.int64)
+        a, b = np.concatenate(edges, axis=1) if edges else np.zeros((2, 0), np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate((ids[got], ids[a]))), pa.array(np.concatenate((n[got], np.zeros(len(a), np.int64)))),
              pa.array(np.concatenate((ids[got], ids[b])))],
@@ -137,6 +165,7 @@ def linked(
     shared: int = 2,
     max_pivots: int = 4096,
     block: int = 2048,
+    close: float = 0.7,
 ) -> DataFrame:
     """One row per vector: key, n_links, component_id and kept (it is the smallest id of its component)."""
     spark = df.sparkSession
@@ -152,7 +181,7 @@ def linked(
     sample = classes.withColumn("dim", F.size("v")).orderBy(F.xxhash64("v"), "id").limit(wanted).collect()
     pivots: dict[int, np.ndarray] = {}
     for dim in sorted({r.dim for r in sample}):
-        pivots[dim] = unit(np.array([r.v for r in sample if r.dim == dim]))
+        pivots[dim] = thinned(unit(np.array([r.v for r in sample if r.dim == dim])), near, close)
     for dim in [r.dim for r in classes.select(F.size("v").alias("dim")).distinct().collect() if r.dim not in pivots]:
         few = classes.filter(F.size("v") == dim).orderBy(F.xxhash64("v"), "id").limit(near).collect()
         pivots[dim] = unit(np.array([r.v for r in few]))

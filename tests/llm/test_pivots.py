@@ -45,6 +45,35 @@ def test_groups_and_blocks(spark, block):
     assert sum(got.values()) >= 0.99 * sum(truth.values()) and all(got[i] <= truth[i] for i in got)
 
 
+def dense_group(n, d=64, seed=7):
+    """A third of the rows are near copies of one vector, a tenth near copies of one other row each."""
+    rng = np.random.default_rng(seed)
+    v = pivots.unit(rng.normal(size=(n, d)))
+    g, h = n // 3, n // 10
+    v[:g] = v[0] + pivots.unit(rng.normal(size=(g, d))) * rng.uniform(0.14, 0.31, size=(g, 1))
+    v[-h:] = v[g : g + h] + pivots.unit(rng.normal(size=(h, d))) * 0.35
+    return pivots.unit(v)[rng.permutation(n)]
+
+
+def recall_in_dense_group(spark, n):
+    v = dense_group(n)
+    truth = np.concatenate([(v[i : i + 1000] @ v.T >= 0.9).sum(axis=1) - 1 for i in range(0, n, 1000)])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in pivots.linked(df).collect()}
+    assert all(got[i] <= truth[i] for i in got)
+    return sum(got.values()) / truth.sum()
+
+
+def test_near_copies_that_hold_a_third_of_the_rows(spark):
+    assert recall_in_dense_group(spark, 3000) >= 0.99
+
+
+def test_few_pivots_are_left_of_one_group(spark):
+    v = pivots.unit(np.ones((60, 8)) + np.random.default_rng(1).normal(size=(60, 8)) * 0.05)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    assert {(r.n_links, r.component_id) for r in pivots.linked(df).collect()} == {(59, 0)}
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

@@ -1,5 +1,7 @@
 """Notices in supplied texts against a search for their wording, and blocks made by hand."""
 
+import textwrap
+
 import pytest
 
 from pagemill.llm import licenses, queries
@@ -53,6 +55,14 @@ def test_compression_ranks_the_template_first(scanner):
         assert name in [n for _, n in ranked[:3]] and ranked[0][0] > 0.3
 
 
+def test_wrapped_and_neighbouring_notices(spark):
+    texts = ["\n".join(textwrap.wrap(licenses.TEMPLATES[n], 78, initial_indent="# ", subsequent_indent="# ")) for n in ("MIT-grant", "BSD-grant", "ISC-grant")]
+    texts += ["x\nReleased under the MIT License.\nLicensed under CC BY 4.0.\ny", "All rights\nreserved."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.line, r.license) for r in licenses.scan(df).collect())
+    assert got == [(0, 0, "MIT-grant"), (1, 0, "BSD-grant"), (2, 0, "ISC-grant"), (3, 1, "MIT-notice"), (3, 2, "CC-BY-4.0-notice"), (4, 0, "all-rights-reserved")]
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "x\nReleased under the MIT License."), (3, "license " * 20000), (4, "no notice"), (4, "All rights reserved.")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, license int")

@@ -1,5 +1,7 @@
 """Notices in supplied texts against a search for their wording, and blocks made by hand."""
 
+import random
+import re
 import textwrap
 
 import pytest
@@ -63,6 +65,16 @@ def test_wrapped_and_neighbouring_notices(spark):
     assert got == [(0, 0, "MIT-grant"), (1, 0, "BSD-grant"), (2, 0, "ISC-grant"), (3, 1, "MIT-notice"), (3, 2, "CC-BY-4.0-notice"), (4, 0, "all-rights-reserved")]
 
 
+def test_notices_in_very_long_lines(scanner):
+    rng = random.Random(5)
+    some = [w for d in ("river stone apple the of and to in house walks slowly green under this work".split(),) for w in d]
+    for name, text in licenses.TEMPLATES.items():
+        noise = [rng.choice(some) + rng.choice(["", "", "s", "ing"]) + str(rng.randrange(300) or "") for _ in range(10_000)]
+        line = " ".join([*noise[:6000], text, *noise[6000:]])
+        rows = licenses._rows(scanner, line, re.compile(licenses._TRIGGER).finditer, 0.34)
+        assert [r[3] for r in rows] == [name]
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "x\nReleased under the MIT License."), (3, "license " * 20000), (4, "no notice"), (4, "All rights reserved.")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, license int")

@@ -3,7 +3,7 @@
 A disguised word is read as a noisy copy of a plain one: digits and signs stand for letters
 (``1d10t``), letters are spread (``i d i o t``, ``i.d.i.o.t``) or repeated (``idiooot``). Each suspicious stretch of
 a text becomes a lattice of characters: a sign may be a letter or a word end, a run of equal
-letters may be one, two or all of them, a spread-out stretch may be one word. The Viterbi path through it
+letters may be one, two or all of them, each separator of a spread-out stretch may be a word end or nothing. The Viterbi path through it
 under a character language model and the costs of the channel is the restored word. Stretches with one
 reading only (plain words, nearly all) need no decoding.
 
@@ -53,7 +53,7 @@ _PART = 64
 _TRIPLE = re.compile(r"([^\W\d_])\1\1", re.UNICODE)
 #: Single letters or signs, three or more, each set apart by the same few separators.
 _SPREAD = re.compile(r"(?<![^\W_])(?:[^\W_@$!|+]|[@$!|+])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+])(?![^\W_])){2,}", re.UNICODE)
-_SEPARATORS = re.compile(r"[ .\-_*]+")
+_SEPARATORS = re.compile(r"([ .\-_*]+)")
 
 
 def _codes(text: str) -> np.ndarray:
@@ -113,6 +113,40 @@ def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return -np.log(p).astype(np.float32)
 
 
+def _readings(c: str, n: int) -> list[tuple[str, float]]:
+    """What a run of one character may be: (letters, cost)."""
+    if c.isalpha():
+        return [(c * n, 0.0)] if n < 3 else [(c, _COLLAPSE), (c * 2, _COLLAPSE)]
+    options = [(" ", 0.0 if not c.isdigit() else 1.0), ("", _DROP * min(n, 3))]
+    for letter in SIGNS.get(c, ""):
+        options += [(letter * k, _SWAP * k) for k in range(1, min(n, 2) + 1)]
+    return options
+
+
+def _steps(token: str) -> list[list[tuple[str, float]]]:
+    return [_readings(m[1], len(m[0])) for m in re.finditer(r"(.)\1*", token, re.DOTALL)]
+
+
+def _spread_steps(stretch: str) -> list[list[tuple[str, float]]]:
+    """Readings of single characters and of the separators between them, by turns."""
+    parts = _SEPARATORS.split(stretch)
+    signs, gaps = parts[::2], [(len(g), " " in g) for g in parts[1::2]]
+    wide = [g > min(gaps[max(0, i - 1) : i + 2]) for i, g in enumerate(gaps)]
+    steps, i = [], 0
+    while i < len(signs):
+        c, n = signs[i], 1
+        while c.isalpha() and i + n < len(signs) and signs[i + n] == c and not wide[i + n - 1]:
+            n += 1
+        options = _readings(c, n)
+        for a in (1, 2):  # one of the separators within a run of equal letters may be a word end
+            options += [(c * a + " " + c * b, 0.0 if a + b == n else _COLLAPSE) for b in (1, 2) if a + b <= n]
+        steps.append(options)
+        i += n
+        if i < len(signs):
+            steps.append([(" ", 0.0), ("", _DROP)] if wide[i - 1] else [("", 0.0), (" ", 0.0)])
+    return steps
+
+
 class Restorer:
     """Words of a text, the disguised ones decoded."""
 
@@ -125,7 +159,7 @@ class Restorer:
         text = text.lower()
         found: set[str] = set()
         for m in _SPREAD.finditer(text):
-            found.update(self.decode(_SEPARATORS.sub("", m[0])).split())
+            found.update(self.decode(m[0], spread=True).split())
         triple = _TRIPLE.search if _TRIPLE.search(text) else lambda _: None
         for token in set(text.split()):
             if not token.isalpha():
@@ -137,27 +171,16 @@ class Restorer:
                     found.update(self.decode(token[i : i + _PART]).split())
         return found
 
-    def decode(self, token: str) -> str:
-        """The cheapest path through the lattice of a token; memory is bounded."""
-        known = self.memo.get(token)
+    def decode(self, token: str, spread: bool = False) -> str:
+        """The cheapest path through the lattice of a token or spread-out stretch; memory is bounded."""
+        known = self.memo.get((token, spread))
         if known is None:
             if len(self.memo) >= 200_000:
                 self.memo.clear()
-            known = self.memo[token] = self._viterbi(token)
+            known = self.memo[token, spread] = self._viterbi(_spread_steps(token) if spread else _steps(token))
         return known
 
-    def _viterbi(self, token: str) -> str:
-        # Runs of one character are one step with several readings: (letters, cost).
-        steps: list[list[tuple[str, float]]] = []
-        for m in re.finditer(r"(.)\1*", token, re.DOTALL):
-            c, n = m[1], len(m[0])
-            if c.isalpha():
-                options = [(c * n, 0.0)] if n < 3 else [(c, _COLLAPSE), (c * 2, _COLLAPSE)]
-            else:
-                options = [(" ", 0.0 if not c.isdigit() else 1.0), ("", _DROP * min(n, 3))]
-                for letter in SIGNS.get(c, ""):
-                    options += [(letter * k, _SWAP * k) for k in range(1, min(n, 2) + 1)]
-            steps.append(options)
+    def _viterbi(self, steps: list[list[tuple[str, float]]]) -> str:
         # States are the last three letters; few are alive at a time.
         alive: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
         for options in [*steps, [(" ", 0.0)]]:

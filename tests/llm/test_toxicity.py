@@ -26,6 +26,11 @@ def test_disguised_words(model):
     assert r.words("108.51.216.133 ### --") == set() and "é" in r.words("é")
 
 
+@pytest.mark.parametrize("text", ["such a i d i o t here", "y o u a r e a n i d i o t", "y o u  a r e  a n  i d i o t", "y.o.u i.d.i.o.o.o.t"])
+def test_spread_words_in_spread_sentences(model, text):
+    assert "idiot" in toxicity.Restorer(model.costs).words(text)
+
+
 def test_viterbi_finds_the_cheapest_path():
     """Against all readings of short tokens under random costs."""
     rng = np.random.default_rng(3)

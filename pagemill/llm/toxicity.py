@@ -46,9 +46,9 @@ _ROW = _LETTERS**2
 #: What a sign or digit may stand for, and the cost of each change, in nats.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 _SWAP, _COLLAPSE, _DROP = 1.0, 0.5, 2.0
-#: Signs before a word that stand for no letter; longest stretch that is decoded at once.
-_OPENING = "".join(c for c in string.punctuation if c not in SIGNS)
-_PART = 64
+#: Signs around a word that stand for no letter; longest stretch whose reading is remembered.
+_AROUND = "".join(c for c in string.punctuation if c not in SIGNS)
+_SHORT = 64
 
 _TRIPLE = re.compile(r"([^\W\d_])\1\1", re.UNICODE)
 #: Single letters or signs, three or more, each set apart by the same few separators.
@@ -152,7 +152,7 @@ class Restorer:
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs
-        self.memo: dict[str, str] = {}
+        self.memo: dict[tuple[str, bool], str] = {}
 
     def words(self, text: str) -> set[str]:
         """Distinct restored words; spread-out stretches give their word besides the rest."""
@@ -163,12 +163,11 @@ class Restorer:
         triple = _TRIPLE.search if _TRIPLE.search(text) else lambda _: None
         for token in set(text.split()):
             if not token.isalpha():
-                token = token.rstrip(string.punctuation).lstrip(_OPENING)
+                token = token.strip(_AROUND)
             if token.isalpha() and not triple(token):
                 found.add(token)
             elif token:
-                for i in range(0, len(token), _PART):
-                    found.update(self.decode(token[i : i + _PART]).split())
+                found.update(self.decode(token).split())
         return found
 
     def decode(self, token: str, spread: bool = False) -> str:
@@ -177,17 +176,19 @@ class Restorer:
         if known is None:
             if len(self.memo) >= 200_000:
                 self.memo.clear()
-            known = self.memo[token, spread] = self._viterbi(_spread_steps(token) if spread else _steps(token))
+            known = self._viterbi(_spread_steps(token) if spread else _steps(token))
+            if len(token) <= _SHORT:
+                self.memo[token, spread] = known
         return known
 
     def _viterbi(self, steps: list[list[tuple[str, float]]]) -> str:
-        # States are the last three letters; few are alive at a time.
-        alive: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
+        # States are the last three letters; few are alive at a time. Paths are chains (earlier, letters) with common beginnings.
+        alive: dict[tuple[int, int, int], tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
         for options in [*steps, [(" ", 0.0)]]:
-            after: dict[tuple[int, int, int], tuple[float, str]] = {}
-            for state, (cost, text) in alive.items():
+            after: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
+            for state, (cost, path) in alive.items():
                 for letters, extra in options:
-                    s, total, out = state, cost + extra, text
+                    s, total, out = state, cost + extra, ""
                     for c in letters:
                         code = 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27
                         if code == 0 and s[2] == 0:
@@ -196,10 +197,13 @@ class Restorer:
                         out += c
                         s = (s[1], s[2], code)
                     if s not in after or total < after[s][0]:
-                        after[s] = (total, out)
-            # Bounded work for long stretches: keep the cheapest states.
-            alive = after if len(after) <= 64 else dict(sorted(after.items(), key=lambda x: x[1][0])[:64])
-        return min(alive.values(), key=lambda x: x[0])[1]
+                        after[s] = (total, (path, out) if out else path)
+            alive = after
+        path, parts = min(alive.values(), key=lambda x: x[0])[1], []
+        while path is not None:
+            path, out = path
+            parts.append(out)
+        return "".join(reversed(parts))
 
 
 def features(word: str) -> list[str]:

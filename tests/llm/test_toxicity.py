@@ -31,6 +31,31 @@ def test_spread_words_in_spread_sentences(model, text):
     assert "idiot" in toxicity.Restorer(model.costs).words(text)
 
 
+@pytest.mark.parametrize("text", ["idio+", "an idio+.", "with," * 12 + "1d10t,of", ",".join(["with"] * 9 + ["1d10t"] + ["by"] * 9)])
+def test_signs_at_the_end_and_long_tokens(model, text):
+    assert "idiot" in toxicity.Restorer(model.costs).words(text)
+
+
+def test_no_state_is_dropped():
+    """A token of ambiguous signs against all its readings, under random costs."""
+    for seed in range(3):
+        costs = np.random.default_rng(seed).random((28,) * 4).astype(np.float32) * 5
+        readings = [toxicity._readings(c, 1) for c in "1|!1+0|1"]
+        paths: dict[tuple, float] = {(0, 0, 0, ""): 0.0}  # by text: no text is given up
+        for options in [*readings, [(" ", 0.0)]]:
+            after: dict[tuple, float] = {}
+            for (a, b, c, text), cost in paths.items():
+                for letter, extra in options:
+                    code = 0 if letter == " " else ord(letter) - 96 if letter else None
+                    if code is None or (code == 0 and c == 0):
+                        key, total = (a, b, c, text), cost + extra
+                    else:
+                        key, total = (b, c, code, text + letter), cost + extra + float(costs[a, b, c, code])
+                    after[key] = min(total, after.get(key, 1e9))
+            paths = after
+        assert toxicity.Restorer(costs).decode("1|!1+0|1") == min(paths, key=paths.get)[3]
+
+
 def test_viterbi_finds_the_cheapest_path():
     """Against all readings of short tokens under random costs."""
     rng = np.random.default_rng(3)

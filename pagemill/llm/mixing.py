@@ -35,6 +35,10 @@ from pagemill.llm.common import WORD, Scratch
 _ROUNDS, _STEP = 20, 1000
 
 
+def _source_key(source: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, repeat: int) -> DataFrame:
     """One row per source key: source_size and target."""
     by = sizes.groupBy("s").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"))
@@ -136,7 +140,7 @@ def mix(
     """The mix as (documents, segments).
 
     documents: key, h, copy, size, source_size, target; a row per input row, where ``h`` is a hash
-    of the text and ``copy`` numbers equal rows. segments: key, h, copy, pass, shard, place,
+    of the text and ``copy`` numbers the rows of an id and text, by source. segments: key, h, copy, pass, shard, place,
     words; the first ``words`` words of the document stand at ``place`` of the shard.
     """
     spark = docs.sparkSession
@@ -148,8 +152,12 @@ def mix(
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
     rows = rows.groupBy("id", "h", "source", "size").agg(F.count("*").alias("n"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("n")
-    rows = rows.withColumn("s", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")))
+    rows = rows.withColumn("s", _source_key("source"))
+    # Copies are numbered over all sources of an id and text.
+    earlier = W.partitionBy("id", "h").orderBy("s", "size").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("to", F.coalesce(F.sum("n").over(earlier), F.lit(0)) + F.col("n"))
+    copies = F.sequence((F.col("to") - F.col("n") + 1).cast("int"), F.col("to").cast("int"))
+    rows = rows.select("*", F.explode(copies).alias("copy")).drop("n", "to")
     order = F.xxhash64(F.lit(seed), F.col("id").cast("string"), "h", "copy")
     sizes = scratch.keep(rows.withColumn("o", order))
 
@@ -216,13 +224,15 @@ def taken(documents: DataFrame, segments: DataFrame, key: str = "doc_id") -> Dat
     return out.select(*[f"d.{c}" for c in documents.columns], F.coalesce("t.taken", F.lit(0).cast("long")).alias("taken"))
 
 
-def mixed_texts(docs: DataFrame, segments: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def mixed_texts(
+    docs: DataFrame, segments: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source"
+) -> DataFrame:
     """Rows of ``docs`` as the mix takes them: repeated, cut where a target ends, with the columns
     shard and place. A text taken whole is unchanged; a cut one ends after its last word."""
     cut = F.expr(f"array_join(slice(regexp_extract_all({text}, r'[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, int(__words)), '')")
-    # Equal rows are numbered within their id and text, which is how segments name them.
+    # Rows are numbered within their id and text, by source, which is how segments name them.
     mine = docs.withColumn("__h", F.xxhash64(text))
-    mine = mine.withColumn("__copy", F.row_number().over(W.partitionBy(key, "__h").orderBy(F.lit(1))))
+    mine = mine.withColumn("__copy", F.row_number().over(W.partitionBy(key, "__h").orderBy(_source_key(source))))
     seg = segments.select(*[F.col(c).alias(f"__{c}") for c in ("h", "copy", "shard", "place", "words")], F.col(key).alias("__id"))
     same = F.col(key).eqNullSafe(F.col("__id")) & (mine["__h"] == seg["__h"]) & (mine["__copy"] == seg["__copy"])
     out = mine.join(seg, same)

@@ -109,3 +109,16 @@ def test_odd_rows(spark):
 def test_no_python_on_the_main_path(spark):
     plan = queries.op8_mixing(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_one_id_and_text_in_two_sources(spark):
+    rows = [(i, f"only {i} " + "w " * 30, s) for i in range(12) for s in ("a", "b", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    documents, segments = mixing.mix(df, block_words=64)
+    got = mixing.taken(documents, segments).collect()
+    assert len(got) == 36 and all(0 <= r.taken <= 2 * r["size"] for r in got)
+    assert sum(r.taken for r in got) == sum(s.words for s in segments.collect())
+    goal, out = wanted({s: 12 * 32 for s in ("a", "b", None)}), Counter()
+    for r in mixing.mixed_texts(df, segments).collect():
+        out[r.source] += words(r.text)
+    assert all(abs(out[s] - goal[s]) <= 1 for s in goal)

@@ -178,3 +178,17 @@ def op4_license_scan(spark, sf):
     from pagemill.llm import licenses
 
     return licenses.scan(table(spark, sf, "documents"))
+
+
+@query
+def op13_pii(spark, sf):
+    from pagemill.llm import pii
+
+    out = pii.with_spans(table(spark, sf, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select(
+        "doc_id",
+        *[count(kind) for kind in pii.BASE],
+        F.sha2(pii.joined(pii.base(F.col("pii"))), 256).alias("base_sha256"),
+        pii.joined(F.col("pii")).alias("spans"),
+    )

@@ -192,3 +192,67 @@ def op13_pii(spark, sf):
         F.sha2(pii.joined(pii.base(F.col("pii"))), 256).alias("base_sha256"),
         pii.joined(F.col("pii")).alias("spans"),
     )
+
+
+@query
+def op11_source_divergence(spark, sf):
+    from pagemill.llm import divergence
+
+    return divergence.audit(table(spark, sf, "documents"))
+
+
+ORACLES["op11_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+w AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS c FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+n AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(c)::HUGEINT AS nl FROM kept GROUP BY lang),
+g AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS ng FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN n USING (lang, source) GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 5)) // (ng + 5 * v.v) AS p, 1 + (1000000000::HUGEINT * (k.c + 5)) // (v.nl + 5 * v.v) AS q
+  FROM g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source)
+SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value,
+  row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT,
+  row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term)::INT AS rank FROM p WHERE n > 0 AND p > q QUALIFY rank <= 50
+"""
+
+
+@query
+def op12_vector_codes(spark, sf):
+    from pagemill.llm import codes
+
+    out, books = codes.compress(table(spark, sf, "embeddings"), carry=["label"])
+    out = codes.label_errors(codes.with_books(out, books), F.col("r.c0"))
+    return out.select(F.col("r.key").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    nearest = """a{i} AS MATERIALIZED (SELECT x.r, x.p, b.e, x.a,
+  list_sum(list_transform(list_zip(x.a, b.a), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT AS d
+  FROM x JOIN b{i} b USING (p) QUALIFY row_number() OVER (PARTITION BY x.r, x.p ORDER BY d, b.e) = 1)"""
+    moved = """s{i} AS (SELECT p, e, j, sum(a[j + 1])::HUGEINT AS s, count(*) AS c FROM a{i}, LATERAL (SELECT unnest(range(len(a))) AS j) GROUP BY p, e, j),
+n{i} AS (SELECT p, e, list((s - ((s % c) + c) % c) // c ORDER BY j) AS a FROM s{i} GROUP BY p, e),
+b{next} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.a, b.a) AS a FROM b{i} b LEFT JOIN n{i} n USING (p, e))"""
+    steps = [f.format(i=i, next=i + 1) for i in range(rounds) for f in (nearest, moved)] + [nearest.format(i=rounds)]
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, len(embedding) // 8 AS w,
+  list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::HUGEINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, p, v[p * w + 1 : (p + 1) * w] AS a FROM k, range(8) t(p)),
+b0 AS (SELECT p, r - 1 AS e, a FROM x WHERE r <= 16),
+{", ".join(steps)},
+codes AS (SELECT r, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+book AS (SELECT sha256(string_agg(array_to_string(a, ','), ',' ORDER BY p, e)) AS h FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM k JOIN codes USING (r), book
+"""
+
+
+ORACLES["op12_vector_codes"] = _codes_sql()

@@ -174,7 +174,7 @@ def _tile(key, rows):
     return pa.table([lang, names.take(first[i]), names.take(second[j]), total[i, j]], names=["lang", "a", "b", "v"])
 
 
-def source_pairs(terms: DataFrame, groups: DataFrame) -> DataFrame:
+def source_pairs(terms: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """How far the sources of each language are apart: rows (lang, source, other, value), both ways round.
 
     ``terms`` has (lang, source, term, p), ``groups`` every (lang, source) with ``base``, the
@@ -184,10 +184,12 @@ def source_pairs(terms: DataFrame, groups: DataFrame) -> DataFrame:
     sizes = terms.groupBy("lang").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
     tiles = tiles.join(sizes, "lang", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     tile = F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int").alias("tile")
-    heads = groups.join(tiles, "lang").select("lang", "source", tile, "tiles", F.lit(None).cast("string").alias("term"),
+    # Written, so that its size is known: joined by group, never by language alone.
+    dealt = scratch.keep(groups.join(tiles, "lang").select("lang", "source", "base", "vocabulary", tile, "tiles", "blocks"))
+    heads = dealt.select("lang", "source", "tile", "tiles", F.lit(None).cast("string").alias("term"),
         F.col("base").alias("p"), "vocabulary", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    body = terms.join(tiles, "lang").select("lang", "source", tile, "tiles", "term", "p", F.lit(None).cast("long").alias("vocabulary"),
-        F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"))
+    body = terms.join(dealt.drop("base", "vocabulary"), ["lang", "source"]).select("lang", "source", "tile", "tiles", "term", "p",
+        F.lit(None).cast("long").alias("vocabulary"), F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"))
     rows = heads.unionByName(body).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.withColumns({"left": F.least("tile", "t"), "right": F.greatest("tile", "t")}).drop("t", "tiles")
     sums = rows.groupBy("lang", "left", "right", "block").applyInArrow(_tile, "lang string, a string, b string, v long")
@@ -233,7 +235,7 @@ def audit(
     terms = kept.join(groups, ["lang", "source"])
     terms = scratch.keep(terms.select("lang", "source", "term", "n", "c", share("n", "total").alias("p"), share("c", "lang_total").alias("q")))
 
-    pairs = source_pairs(terms, groups)
+    pairs = source_pairs(terms, groups, scratch)
     order = W.partitionBy("lang", "source").orderBy(F.desc("value"), "other")
     pairs = pairs.withColumn("rank", F.row_number().over(order))
     best = top_terms(terms.filter(F.col("p") > F.col("q")), scratch, top)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -126,43 +127,53 @@ def clean_markdown(markdown: Column) -> Column:
     return collapse_blank(fix_headings(clean_footer(markdown)))
 
 
-def decode_entities(text: Column) -> Column:
-    """Decode the known named references and all numeric ones."""
-    named = reduce(
-        lambda acc, row: F.replace(acc, F.lit(row[0]), F.lit(row[1])), rules.ENTITIES, _numeric(text)
-    )
-    return F.when(text.contains("&"), named).otherwise(text)
+#: Characters of all named references, and the names that count without a semicolon, too: HTML's own table.
+_NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+_BARE = sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True)
+
+
+def decode_entities(text: Column, attribute: bool = False) -> Column:
+    """Decode all named and numeric references, each once: what comes out starts no second one.
 
+    A name without its semicolon is decoded in text only, where the longest name that fits counts; in an ``attribute`` it is a part of an address.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(&#[xX][0-9a-fA-F]+;|&#[0-9]+;|&[a-zA-Z][a-zA-Z0-9]*;?|&|[^&]+)"), F.lit(1))
+    # One constant, folded into a map when the plan is made.
+    names = F.str_to_map(F.lit("\x1e".join(f"{n}\x1f{t}" for n, t in _NAMED.items())), F.lit("\x1e"), F.lit("\x1f"))
 
-def _numeric(text: Column) -> Column:
-    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(&#[xX][0-9a-fA-F]+;|&#[0-9]+;|&|[^&]+)"), F.lit(1))
+    def named(piece: Column) -> Column:
+        known = F.try_element_at(names, F.regexp_extract(piece, r"\A&([a-zA-Z][a-zA-Z0-9]*);\z", 1))
+        if attribute:
+            return F.coalesce(known, piece)
+        bare = F.regexp_extract(piece, rf"\A&({'|'.join(_BARE)})", 1)
+        rest = F.substr(piece, F.length(bare) + 2)
+        return F.coalesce(known, F.when(bare != "", F.concat(F.try_element_at(names, bare), rest)), piece)
 
     def decoded(piece: Column) -> Column:
-        hexa = F.regexp_extract(piece, r"\A&#[xX]([0-9a-fA-F]+);", 1)
-        # Leading zeros mean nothing; a number too long for an int is no character.
-        digits = F.regexp_extract(piece, r"\A&#0*([0-9]+);", 1)
-        hexa = F.regexp_replace(hexa, r"\A0+(?=.)", "")
-        code = F.when((hexa != "") & (F.length(hexa) <= 7), F.conv(hexa, 16, 10)).when(hexa == "", digits).try_cast("int")
-        windows = F.array(*map(F.lit, rules.WINDOWS_1252))
-        code = F.when(code.between(128, 159), F.get(windows, code - 128)).otherwise(code)
-        as_hex = lambda c: F.lpad(F.hex(c), 4, "0")
-        utf16 = F.when(code < 0x10000, as_hex(code)).otherwise(
-            F.concat(
-                as_hex(F.lit(0xD800) + F.shiftright(code - 0x10000, 10)),
-                as_hex(F.lit(0xDC00) + (code - 0x10000).bitwiseAND(0x3FF)),
-            )
+        return F.when(piece.startswith("&#"), _numeric(piece)).when(piece.rlike(r"\A&[a-zA-Z]"), named(piece)).otherwise(piece)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, decoded), "")).otherwise(text)
+
+
+def _numeric(piece: Column) -> Column:
+    hexa = F.regexp_extract(piece, r"\A&#[xX]([0-9a-fA-F]+);", 1)
+    # Leading zeros mean nothing; a number too long for an int is no character.
+    digits = F.regexp_extract(piece, r"\A&#0*([0-9]+);", 1)
+    hexa = F.regexp_replace(hexa, r"\A0+(?=.)", "")
+    code = F.when((hexa != "") & (F.length(hexa) <= 7), F.conv(hexa, 16, 10)).when(hexa == "", digits).try_cast("int")
+    windows = F.array(*map(F.lit, rules.WINDOWS_1252))
+    code = F.when(code.between(128, 159), F.get(windows, code - 128)).otherwise(code)
+    as_hex = lambda c: F.lpad(F.hex(c), 4, "0")
+    utf16 = F.when(code < 0x10000, as_hex(code)).otherwise(
+        F.concat(
+            as_hex(F.lit(0xD800) + F.shiftright(code - 0x10000, 10)),
+            as_hex(F.lit(0xDC00) + (code - 0x10000).bitwiseAND(0x3FF)),
         )
-        usable = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        # Control characters mark structure in what follows; decoded ones go.
-        control = (code < 32) & ~code.isin(9, 10, 13)
-        # A decoded "&" must not start a second reference, so it stays a reference itself.
-        return F.when(code == 38, "&amp;").when(control, "").when(
-            usable, F.decode(F.unhex(utf16), "UTF-16BE")
-        ).otherwise(piece)
-
-    return F.when(text.contains("&#"), F.array_join(F.transform(pieces, decoded), "")).otherwise(
-        text
     )
+    usable = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    # Control characters mark structure in what follows; decoded ones go.
+    control = (code < 32) & ~code.isin(9, 10, 13)
+    return F.when(control, "").when(usable, F.decode(F.unhex(utf16), "UTF-16BE")).otherwise(piece)
 
 
 def escape_markdown(text: Column) -> Column:

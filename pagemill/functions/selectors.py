@@ -8,6 +8,7 @@ comma lists. Anything else raises, so that no rule is silently ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,6 +23,9 @@ _SIMPLE = re.compile(
 )
 
 
+_COMMA = r",(?![^\[]*\])"
+
+
 @dataclass(frozen=True)
 class Compound:
     """Conditions on one element; ``link`` says how it relates to the one before it."""
@@ -51,7 +55,7 @@ class Compound:
 def parse(selector: str) -> list[list[Compound]]:
     """A comma list as chains of compounds, ancestors first."""
     chains = []
-    for part in re.split(r",(?![^\[]*\])", selector):
+    for part in re.split(_COMMA, selector):
         words = re.findall(r">|(?:\[[^\]]*\]|[^\s>\[])+", part.strip())
         if not words:
             raise ValueError(f"unsupported selector: {selector!r}")
@@ -68,6 +72,15 @@ def parse(selector: str) -> list[list[Compound]]:
     return chains
 
 
+def split_combined(selectors: Sequence[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Selectors without and with combinators; comma lists are taken apart."""
+    plain, combined = [], []
+    for selector in selectors:
+        for part in re.split(_COMMA, selector):
+            (plain if len(parse(part)[0]) == 1 else combined).append(part.strip())
+    return tuple(plain), tuple(combined)
+
+
 def attribute(tag_text: Column, name: str) -> Column:
     """The value of an attribute in the text of a tag, empty when absent."""
     found = F.regexp_extract(

@@ -9,7 +9,6 @@ control characters, which HTML text may not hold and which are removed from the
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,7 +61,7 @@ def with_reference(tokens: DataFrame, base: str) -> DataFrame:
     values = [F.coalesce("__to_url", "__raw"), F.col("title"), F.col("alt")]
     df = df.withColumn("__values", F.concat_ws("\x1f", *[F.coalesce(v, F.lit("")) for v in values]))
     df = df.withColumn(
-        "__values", F.when(F.col("kind") != "text", content.decode_entities(F.col("__values")))
+        "__values", F.when(F.col("kind") != "text", content.decode_entities(F.col("__values"), attribute=True))
     )
     part = lambda i: F.split_part("__values", F.lit("\x1f"), F.lit(i))
     df = df.withColumns(
@@ -102,7 +101,7 @@ def absolutize_urls(tokens: DataFrame, base: str) -> DataFrame:
     return df
 
 
-def _running(df: DataFrame, key: str) -> DataFrame:
+def _running(df: DataFrame, key: regions.Key) -> DataFrame:
     """Running counts and the latest list, link, code and table starts of each token."""
     tag, kind = F.col("tag"), F.col("kind")
     opens, closes = kind == "open", kind == "close"
@@ -132,7 +131,7 @@ def _running(df: DataFrame, key: str) -> DataFrame:
     def count(hit: Column) -> Column:
         return F.sum(F.when(hit, 1).otherwise(0)).over(now)
 
-    in_order = Window.partitionBy(key).orderBy("pos")
+    in_order = Window.partitionBy(*regions.keys(key)).orderBy("pos")
     text = F.col("tag_text")
     blank = content.js_trim(F.col("text")) == ""
     lang = F.regexp_extract(selectors.attribute(text, "class"), r"language-([A-Za-z0-9_]+)", 1)
@@ -188,7 +187,7 @@ def _running(df: DataFrame, key: str) -> DataFrame:
     )
     # The innermost list of an item and its number there.
     level = (
-        Window.partitionBy(key, "__lists")
+        Window.partitionBy(*regions.keys(key), "__lists")
         .orderBy("pos")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -384,7 +383,7 @@ def _settle(text: Column) -> Column:
 
 
 def html_to_markdown(
-    tokens: DataFrame, key: str, carry: Sequence[str] = (), out: str = "markdown"
+    tokens: DataFrame, key: regions.Key, carry: Sequence[str] = (), out: str = "markdown"
 ) -> DataFrame:
     """One Markdown text per page from its tokens.
 
@@ -392,21 +391,24 @@ def html_to_markdown(
     tokens of a page and are kept. Pages without any token are not in the result.
     """
     df = _running(tokens, key)
-    in_order = Window.partitionBy(key).orderBy("pos")
+    in_order = Window.partitionBy(*regions.keys(key)).orderBy("pos")
     df = df.withColumn(
         "__was_fenced", F.coalesce(F.lag("__fenced").over(in_order), F.lit(False))
     )
     df = _with_pieces(df)
     pieces = F.array_sort(F.collect_list(F.when(F.col("__out") != "", F.struct("pos", "__out"))))
-    df = df.groupBy(key).agg(
+    df = df.groupBy(*regions.keys(key)).agg(
         pieces.alias("__pieces"), *[F.first(c).alias(c) for c in carry]
     )
     df = df.withColumn("__joined", F.array_join(F.col("__pieces.__out"), ""))
     return df.withColumn(out, _settle(F.col("__joined"))).drop("__pieces", "__joined")
 
 
-def code_blocks(tokens: DataFrame, key: str) -> DataFrame:
-    """One row per fenced code block: ``pos`` of its ``pre``, ``language`` and ``code``."""
+def code_blocks(tokens: DataFrame, key: regions.Key, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per fenced code block: ``pos`` of its ``pre``, ``language`` and ``code``.
+
+    The columns in ``carry`` are the same on all tokens of a page and are kept.
+    """
     df = _running(tokens, key)
     tag, opens = F.col("tag"), F.col("kind") == "open"
     at = F.last(F.when(opens & (tag == "pre"), F.col("pos")), ignorenulls=True)
@@ -417,10 +419,11 @@ def code_blocks(tokens: DataFrame, key: str) -> DataFrame:
     df = df.filter("__fenced")
     pieces = F.array_sort(F.collect_list(F.struct("pos", "text")))
     return (
-        df.groupBy(key, F.col("__pre").alias("pos"))
+        df.groupBy(*regions.keys(key), F.col("__pre").alias("pos"))
         .agg(
             F.min(F.when(F.col("pos") == F.col("__pre"), F.col("__language"))).alias("language"),
             pieces.alias("__pieces"),
+            *[F.first(c).alias(c) for c in carry],
         )
         .withColumn(
             "code", content.decode_entities(F.array_join(F.col("__pieces.text"), ""))

@@ -14,21 +14,29 @@ from pagemill.functions import selectors
 # The end of a region that is never closed: after every token of the page.
 OPEN_END = 2147483647
 
+#: The column, or columns, that tell the rows of one page from those of all others.
+Key = str | Sequence[str]
 
-def with_regions(tokens: DataFrame, key: str) -> DataFrame:
-    """Add ``region_end`` of every opening tag and the nesting ``depth``.
+
+def keys(key: Key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def with_regions(tokens: DataFrame, key: Key) -> DataFrame:
+    """Add ``region_end`` of every opening tag, the ``level`` of each token and the ``depth``.
 
     An element ends at the next closing tag of its name at its own level among that name; a
-    paragraph also ends where the next one starts. What is never closed lasts to the end.
+    paragraph also ends where the next one starts. What is never closed lasts to the end. The level
+    counts the closed elements around a token; the depth of a tag is the level of what is right inside its element.
     All windows are partitioned by the page key (and finer), so a table that is already
     partitioned by that key is not shuffled again.
     """
     tag, kind = F.col("tag"), F.col("kind")
     step = F.when(kind == "open", 1).when(kind == "close", -1).otherwise(0)
-    by_tag = Window.partitionBy(key, "tag").orderBy("pos")
+    by_tag = Window.partitionBy(*keys(key), "tag").orderBy("pos")
     level = F.sum(step).over(by_tag) + F.when(kind == "close", 1).otherwise(0)
     df = tokens.withColumn("__level", F.when(tag == "p", 0).otherwise(level))
-    by_level = Window.partitionBy(key, "tag", "__level").orderBy("pos")
+    by_level = Window.partitionBy(*keys(key), "tag", "__level").orderBy("pos")
     closed = (F.lead("kind").over(by_level) == "close") & (kind == "open")
     opened = (F.lag("kind").over(by_level) == "open") & (kind == "close")
     df = df.withColumns(
@@ -39,43 +47,62 @@ def with_regions(tokens: DataFrame, key: str) -> DataFrame:
             "__nest": F.when(closed, 1).when(opened, -1).otherwise(0),
         }
     )
-    in_page = Window.partitionBy(key).orderBy("pos")
+    in_page = Window.partitionBy(*keys(key)).orderBy("pos")
     inner = F.when(F.col("__nest") == -1, 1).otherwise(0)
-    return df.withColumn("depth", F.sum("__nest").over(in_page) + inner).drop("__level", "__nest")
+    df = df.withColumn("depth", F.sum("__nest").over(in_page) + inner)
+    return df.withColumn("level", F.col("depth") - F.abs("__nest")).drop("__level", "__nest")
 
 
-def before(key: str) -> Window:
+def before(key: Key) -> Window:
     """All tokens of the page ahead of the current one."""
     return (
-        Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys(key)).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     )
 
 
-def up_to(key: str) -> Window:
+def up_to(key: Key) -> Window:
     """All tokens of the page up to the current one."""
     return (
-        Window.partitionBy(key)
+        Window.partitionBy(*keys(key))
         .orderBy("pos")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
 
 
-def whole(key: str) -> Window:
+def whole(key: Key) -> Window:
     """All tokens of the page, in the same order as the other windows."""
     return (
-        Window.partitionBy(key)
+        Window.partitionBy(*keys(key))
         .orderBy("pos")
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
 
 
+def with_parent(df: DataFrame, key: Key, values: dict[str, Column]) -> DataFrame:
+    """Add to every token what holds for the element right around it; null outside of all elements.
+
+    ``df`` comes from :func:`with_regions`. An element stands for its content in the order of what is at
+    that level: the last one that started there is the parent, also if it is never closed.
+    """
+    opens = F.col("kind") == "open"
+    own = F.struct(F.col("level").alias("__slot"), F.lit(False).alias("__around"))
+    around = F.struct(F.col("depth").alias("__slot"), F.lit(True).alias("__around"))
+    rows = F.when(opens, F.array(own, around)).otherwise(F.array(own))
+    df = df.select("*", F.inline(rows))
+    at_level = Window.partitionBy(*keys(key), "__slot").orderBy("pos", "__around").rowsBetween(Window.unboundedPreceding, -1)
+    found = F.struct(*[v.alias(n) for n, v in values.items()])
+    df = df.withColumn("__parent", F.last(F.when(F.col("__around"), found), ignorenulls=True).over(at_level))
+    df = df.filter(~F.col("__around")).drop("__slot", "__around")
+    return df.withColumns({n: F.col(f"__parent.{n}") for n in values}).drop("__parent")
+
+
 def with_selector_match(
-    df: DataFrame, selector: str, key: str, out: str = "matched", when: Column | None = None
+    df: DataFrame, selector: str, key: Key, out: str = "matched", when: Column | None = None
 ) -> DataFrame:
     """Add a flag for the tags that open an element matching ``selector``.
 
     ``df`` comes from :func:`with_regions`. A descendant lies within the region of a matching
-    ancestor; a child also lies exactly one level below it.
+    ancestor; the parent of a child matches itself.
     """
     opens = F.col("kind").isin("open", "void")
     if when is not None:
@@ -88,23 +115,13 @@ def with_selector_match(
             hit = F.coalesce(hit, F.lit(False))
             if flag is not None:
                 name = f"__{out}_{c}_{i}"
-                df = df.withColumn(
-                    name,
-                    F.last(
-                        F.when(
-                            F.col(flag), F.struct(F.col("region_end"), F.col("depth"))
-                        ),
-                        ignorenulls=True,
-                    ).over(before(key))
-                    if compound.link == ">"
-                    else F.max(F.when(F.col(flag), F.struct("region_end", "depth"))).over(
-                        before(key)
-                    ),
-                )
                 helpers.append(name)
-                inside = F.coalesce(F.col(f"{name}.region_end") > F.col("pos"), F.lit(False))
                 if compound.link == ">":
-                    inside = inside & (F.col("depth") == F.col(f"{name}.depth") + 1)
+                    df = with_parent(df, key, {name: F.col(flag)})
+                    inside = F.coalesce(F.col(name), F.lit(False))
+                else:
+                    df = df.withColumn(name, F.max(F.when(F.col(flag), F.col("region_end"))).over(before(key)))
+                    inside = F.coalesce(F.col(name) > F.col("pos"), F.lit(False))
                 hit = hit & inside
             flag = f"__{out}_{c}_{i}_hit"
             df = df.withColumn(flag, hit)
@@ -114,22 +131,36 @@ def with_selector_match(
 
 
 def removal_flag(configs: Sequence[rules.SiteConfig], config: Column) -> Column:
-    """The tag opens an element that the page's configuration removes."""
+    """The tag opens an element that the page's configuration removes, by selectors without combinators."""
     tag, text = F.col("tag"), F.col("tag_text")
     flag = selectors.matches_any(tag, text, rules.NOISE_SELECTORS)
     for c in configs:
-        flag = flag | ((config == c.key) & selectors.matches_any(tag, text, c.remove))
+        plain, _ = selectors.split_combined(c.remove)
+        flag = flag | ((config == c.key) & selectors.matches_any(tag, text, plain))
     return F.coalesce(F.col("kind").isin("open", "void") & flag, F.lit(False))
 
 
-def drop_regions(df: DataFrame, key: str, flag: str = "remove") -> DataFrame:
+def with_removal(df: DataFrame, key: Key, configs: Sequence[rules.SiteConfig], config: Column) -> DataFrame:
+    """Add ``remove``: the tag opens an element that the page's configuration removes.
+
+    ``df`` comes from :func:`with_regions`. Only selectors with combinators need windows.
+    """
+    df = df.withColumn("remove", removal_flag(configs, config))
+    for c in configs:
+        for selector in selectors.split_combined(c.remove)[1]:
+            df = with_selector_match(df, selector, key, "__hit", when=config == c.key)
+            df = df.withColumn("remove", F.col("remove") | F.col("__hit")).drop("__hit")
+    return df
+
+
+def drop_regions(df: DataFrame, key: Key, flag: str = "remove") -> DataFrame:
     """Drop the elements whose opening tag is flagged.
 
     The closing tag goes with its element, but the text behind it stays, on a token without
     a tag. The first token of a page stays as an empty one, so that no page vanishes.
     """
     gone = F.max(F.when(F.col(flag), F.col("region_end"))).over(up_to(key))
-    first = F.lag("pos").over(Window.partitionBy(key).orderBy("pos")).isNull()
+    first = F.lag("pos").over(Window.partitionBy(*keys(key)).orderBy("pos")).isNull()
     df = df.withColumns({"__gone": F.coalesce(gone, F.lit(-1)), "__first": first})
     df = df.filter((F.col("__gone") <= F.col("pos")) | F.col("__first"))
     last = F.col("__gone") >= F.col("pos")
@@ -144,7 +175,7 @@ def drop_regions(df: DataFrame, key: str, flag: str = "remove") -> DataFrame:
 
 
 def cut_content(
-    df: DataFrame, key: str, config: Column, configs: Sequence[rules.SiteConfig]
+    df: DataFrame, key: Key, config: Column, configs: Sequence[rules.SiteConfig]
 ) -> DataFrame:
     """Keep the tokens inside the main content of each page.
 
@@ -161,6 +192,12 @@ def cut_content(
             df = with_selector_match(df, c.content, key, f"__c{i}", when=config == c.key)
             flags.append(f"__c{i}")
             hit = hit | F.col(f"__c{i}")
+    return cut_to(df.withColumn("__content", hit).drop(*flags), key, "__content")
+
+
+def cut_to(df: DataFrame, key: Key, flag: str) -> DataFrame:
+    """Keep the tokens inside the first flagged element; without one inside the body, without that behind the head."""
+    hit = F.col(flag)
     region = F.struct(F.col("pos"), F.col("region_end"))
     head = F.when((F.col("tag") == "head") & (F.col("kind") == "close"), region)
     found = F.coalesce(
@@ -170,7 +207,7 @@ def cut_content(
         ),
         F.min(head).over(whole(key)),
     )
-    df = df.withColumn("__found", found).drop(*flags)
+    df = df.withColumn("__found", found).drop(flag)
     start = F.coalesce(F.col("__found.pos"), F.lit(-1))
     end = F.coalesce(F.col("__found.region_end"), F.lit(OPEN_END))
     df = df.withColumns({"__start": start, "__end": end}).drop("__found")
@@ -185,40 +222,32 @@ def cut_content(
     ).drop("__start", "__end")
 
 
-def with_code_language(df: DataFrame, key: str) -> DataFrame:
-    """Add ``parent_lang``: the language class of the element around a ``pre``.
+def with_code_language(df: DataFrame, key: Key) -> DataFrame:
+    """Add ``parent_lang``: the language class of the element right around a ``pre``.
 
-    It applies only inside a ``div`` with such a class. Language labels next to the code are
-    flagged in ``remove``; the columns of :func:`with_regions` are needed.
+    It applies only inside a ``div`` with such a class; the element around the ``pre`` may be another one. Language
+    labels next to the code are flagged in ``remove``; the columns of :func:`with_regions` are needed.
     """
     text, opens = F.col("tag_text"), F.col("kind") == "open"
     cls = F.when(text.contains("language-"), selectors.attribute(text, "class")).otherwise("")
-    df = df.withColumn("__cls", cls)
-    lang_div = opens & (F.col("tag") == "div") & F.col("__cls").contains("language-")
-    around = F.struct(
-        F.col("region_end"),
-        F.col("depth"),
-        F.regexp_extract("__cls", r"language-([A-Za-z0-9_]+)", 1).alias("lang"),
-    )
+    lang_div = opens & (F.col("tag") == "div") & cls.contains("language-")
     group = opens & selectors.tag_matches(
         F.col("tag"), text, selectors.Compound(".vp-code-group")
     )
     df = df.withColumns(
         {
-            "__div": F.last(F.when(lang_div, around), ignorenulls=True).over(before(key)),
+            "__div": F.max(F.when(lang_div, F.col("region_end"))).over(before(key)),
             "__group": F.max(F.when(group, F.col("region_end"))).over(before(key)),
         }
     )
-    child = (F.col("__div.region_end") > F.col("pos")) & (
-        F.col("depth") == F.col("__div.depth") + 1
-    )
+    lang = F.regexp_extract(cls, r"language-([A-Za-z0-9_]+)", 1)
+    df = with_parent(df, key, {"__lang": lang, "__in_div": lang_div})
     label = opens & selectors.tag_matches(F.col("tag"), text, selectors.Compound("span.lang"))
     in_group = F.col("__group") > F.col("pos")
+    in_div = F.col("__div") > F.col("pos")
     return df.withColumns(
         {
-            "parent_lang": F.when(
-                opens & (F.col("tag") == "pre") & child, F.col("__div.lang")
-            ),
-            "remove": F.coalesce(label & (child | in_group), F.lit(False)),
+            "parent_lang": F.when(opens & (F.col("tag") == "pre") & in_div & (F.col("__lang") != ""), F.col("__lang")),
+            "remove": F.coalesce(label & (F.col("__in_div") | in_group), F.lit(False)),
         }
-    ).drop("__cls", "__div", "__group")
+    ).drop("__div", "__group", "__lang", "__in_div")

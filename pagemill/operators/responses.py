@@ -80,47 +80,73 @@ def with_response_error(responses: DataFrame) -> DataFrame:
     return df.drop("__md_url", "__mdx_url", *[c for c in df.columns if c.startswith("__u_")])
 
 
-def choose_response(responses: DataFrame, use_md: bool = False, use_reader: bool = False) -> DataFrame:
-    """The first usable response of each URL in adapter order.
+def _folded(responses: DataFrame, use_md: bool, use_reader: bool, key: str, page: bool) -> DataFrame:
+    """All tries of a key in one row: the winner and the error of each adapter.
 
-    One shuffle: all adapters of a URL are folded by one aggregate, which every task starts on
-    its own rows. Adds ``adapter, body`` (null when all failed), ``blocked_reason`` of the page
-    adapter and ``errors``: one ``adapter: text`` line per failed try up to the winner.
+    One shuffle: all adapters of a key are folded by one aggregate, which every task starts on its own rows, so a
+    key with very many responses is no hot spot. Without ``page`` the page adapter can't win; its try is kept apart.
     """
     df = urls.with_url_parts(with_response_error(responses), "url")
     order = F.lit(None)
     for i, name, applies in reversed(applicable(F.col("host"), use_md, use_reader)):
         order = F.when((F.col("adapter") == name) & applies, i).otherwise(order)
     df = df.withColumn("ord", order).filter(F.col("ord").isNotNull())
-    ok = F.col("error").isNull()
+    ok, last = F.col("error").isNull(), len(rules.ADAPTERS)
+    wins = ok if page else ok & (F.col("ord") < last)
     win = F.struct("ord", "adapter", "body")
-    oks = [
-        F.bool_or((F.col("ord") == i) & ok).alias(f"__ok{i}") for i in range(1, len(rules.ADAPTERS) + 1)
-    ]
-    out = df.groupBy("url").agg(
-        F.min_by(F.when(ok, win), F.when(ok, F.struct("ord", "body"))).alias("__win"),
+    own = F.struct("body", "blocked_reason", "error")
+    return df.groupBy(key).agg(
+        F.min_by(F.when(wins, win), F.when(wins, F.struct("ord", "body"))).alias("__win"),
         F.max("blocked_reason").alias("blocked_reason"),
+        F.min_by(F.when(F.col("ord") == last, own), F.when(F.col("ord") == last, F.struct("error", "blocked_reason", "body"))).alias("__page"),
         *[
             F.min(
                 F.when((F.col("ord") == i) & ~ok, F.concat(F.col("adapter"), F.lit(": "), F.col("error")))
             ).alias(f"__e{i}")
-            for i in range(1, len(rules.ADAPTERS) + 1)
+            for i in range(1, last + 1)
         ],
-        *oks,
+        *[F.bool_or((F.col("ord") == i) & ok).alias(f"__ok{i}") for i in range(1, last + 1)],
     )
-    tried = [
-        F.when(
-            F.coalesce(F.lit(i) < F.col("__win.ord"), F.lit(True)) & ~F.col(f"__ok{i}"),
-            F.col(f"__e{i}"),
-        )
-        for i in range(1, len(rules.ADAPTERS) + 1)
+
+
+def _tried(upto: int) -> Column:
+    """One ``adapter: text`` line per failed try ahead of the winner."""
+    lines = [
+        F.when(F.coalesce(F.lit(i) < F.col("__win.ord"), F.lit(True)) & ~F.col(f"__ok{i}"), F.col(f"__e{i}"))
+        for i in range(1, upto + 1)
     ]
+    return F.concat_ws("\n", *lines)
+
+
+def choose_response(responses: DataFrame, use_md: bool = False, use_reader: bool = False, key: str = "url") -> DataFrame:
+    """The first usable response of each key in adapter order.
+
+    Adds ``adapter, body`` (null when all failed), ``blocked_reason`` of the page
+    adapter and ``errors``: one ``adapter: text`` line per failed try up to the winner.
+    """
+    out = _folded(responses, use_md, use_reader, key, page=True)
     return out.select(
-        "url",
+        key,
         F.col("__win.adapter").alias("adapter"),
         F.col("__win.body").alias("body"),
         F.when(F.col("__win").isNull(), F.col("blocked_reason")).alias("blocked_reason"),
-        F.concat_ws("\n", *tried).alias("errors"),
+        _tried(len(rules.ADAPTERS)).alias("errors"),
+    )
+
+
+def served(responses: DataFrame, use_md: bool = False, use_reader: bool = False) -> DataFrame:
+    """What each ``url_key`` is served with ahead of its page, and the page as a response.
+
+    Adds ``adapter, body`` (null where every adapter ahead of the page failed), ``errors`` of these, and ``page``: body, reason and error
+    of the page adapter's response, null where there is none.
+    """
+    out = _folded(responses, use_md, use_reader, "url_key", page=False)
+    return out.select(
+        "url_key",
+        F.col("__win.adapter").alias("adapter"),
+        F.col("__win.body").alias("body"),
+        _tried(len(rules.ADAPTERS) - 1).alias("errors"),
+        F.col("__page").alias("page"),
     )
 
 

@@ -9,22 +9,31 @@ from pyspark.sql import functions as F
 
 from pagemill import rules
 from pagemill.functions import content, urls
-from pagemill.operators import frameworks, markdown, regions, tokens
+from pagemill.operators import frameworks, markdown, regions, rule_tables, tokens
 
 
-def spread(pages: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
-    """Hash pages by key over ``partitions`` tasks, by default all shuffle partitions.
+#: What tells one row of a page table from all others, whatever its key is.
+ROW = ("__page", "__page_row")
 
-    The number is given, so that a small input is not put back into few tasks: what follows is
+
+def spread(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Hash pages over ``partitions`` tasks, by default all shuffle partitions, and number their rows.
+
+    The hash is of the whole row, so a key that is null or that many rows share is no hot spot; rows get their
+    number where they arrive, and the two together are the identity of a row without another shuffle.
+    The number of tasks is given, so that a small input is not put back into few: what follows is
     bound by CPU, not by the bytes that Spark would otherwise size the tasks by.
     """
     n = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pages.repartition(n, F.col(key))
+    page, row = ROW
+    parts = [c for c, kind in pages.dtypes if "map<" not in kind and "variant" not in kind]
+    df = pages.withColumn(page, F.xxhash64(*parts)).repartition(n, page)
+    return df.withColumn(row, F.monotonically_increasing_id())
 
 
-def page_tokens(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Pages spread by key, then exploded: the token windows need no shuffle of their own."""
-    return regions.with_regions(tokens.html_tokens(spread(pages, key)), key)
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """Pages spread by row, then exploded: the token windows need no shuffle of their own."""
+    return regions.with_regions(tokens.html_tokens(spread(pages)), ROW)
 
 
 def main_tokens(
@@ -32,27 +41,42 @@ def main_tokens(
     key: str = "page_id",
     configs: Sequence[rules.SiteConfig] = rules.SITE_CONFIGS,
     partitions: int | None = None,
-    partitioned: bool = False,
+    row: Sequence[str] | None = None,
     carry: Sequence[str] = (),
+    rule_table: DataFrame | None = None,
 ) -> DataFrame:
     """The tokens of the main content of each page, links made absolute.
 
     ``pages`` has the key, ``url`` and ``html``. Adds the page's ``config_key``, ``framework``
-    and ``host`` to its tokens. ``partitioned`` says that the pages are already spread by
-    key; the columns in ``carry`` stay.
+    and ``host`` to its tokens, and ``ROW``. Rows are told apart by themselves, the key is only carried. ``row`` names columns that
+    already tell them apart and by which the pages are spread; the columns in ``carry`` stay. A ``rule_table`` with the columns of
+    ``frameworks.config_table`` takes the place of ``configs`` and may have any number of rows.
     """
-    df = pages.select(key, "url", "html", *carry)
-    if not partitioned:
-        df = spread(df, key, partitions)
+    df = pages.select(*dict.fromkeys([key, "url", "html", *carry, *(row or ())]))
+    if row is None:
+        df = spread(df, partitions)
+        row = ROW
     df = urls.with_url_parts(df, "url", "from_").withColumn("host", F.col("from_host"))
-    df = frameworks.with_effective_config(df, configs=configs).drop("confidence", "score")
-    df = markdown.with_reference(tokens.html_tokens(df), "from_")
-    df = df.withColumn("remove", regions.removal_flag(configs, F.col("config_key")))
-    df = regions.with_regions(df, key)
-    df = regions.drop_regions(df, key)
-    df = regions.with_code_language(df, key)
-    df = regions.drop_regions(df, key)
-    return regions.cut_content(df, key, F.col("config_key"), configs)
+    if rule_table is None:
+        df = frameworks.with_effective_config(df, configs=configs).drop("confidence", "score")
+    else:
+        df = rule_tables.with_rules(df, rule_table)
+    df = tokens.html_tokens(df)
+    if rule_table is None:
+        df = regions.with_regions(df, row)
+        df = regions.with_removal(df, row, configs, F.col("config_key"))
+    else:
+        # The rules go with the tokens no further than this.
+        df = regions.with_regions(rule_tables.with_flags(df), row)
+    df = regions.drop_regions(df, row)
+    df = regions.with_code_language(df, row)
+    df = regions.drop_regions(df, row)
+    if rule_table is not None:
+        df = regions.cut_to(df, row, "is_content")
+    else:
+        df = regions.cut_content(df, row, F.col("config_key"), configs)
+    # Last, so that only links of the content are resolved; navigation holds most of a page's.
+    return markdown.with_reference(df, "from_")
 
 
 def pages_to_markdown(
@@ -61,12 +85,18 @@ def pages_to_markdown(
     configs: Sequence[rules.SiteConfig] = rules.SITE_CONFIGS,
     strict_access_denied: bool = False,
     partitions: int | None = None,
-    partitioned: bool = False,
+    row: Sequence[str] | None = None,
     carry: Sequence[str] = (),
+    rule_table: DataFrame | None = None,
 ) -> DataFrame:
-    """Cleaned Markdown of every page with its ``framework`` and ``blocked_reason``."""
-    df = main_tokens(pages, key, configs, partitions, partitioned, carry)
-    df = markdown.html_to_markdown(df, key, carry=("url", "host", "framework", "config_key", *carry))
+    """Cleaned Markdown of every page with its ``framework`` and ``blocked_reason``.
+
+    Every row of ``pages`` is a page and stays one, also where keys are null or repeated.
+    """
+    df = main_tokens(pages, key, configs, partitions, row, carry, rule_table)
+    kept = dict.fromkeys([key, "url", "host", "framework", "config_key", *carry])
+    df = markdown.html_to_markdown(df, row or ROW, carry=[c for c in kept if c not in (row or ROW)])
+    df = df.drop(*[c for c in ROW if row is None])
     df = df.withColumn("markdown", content.clean_markdown(F.col("markdown")))
     return df.withColumn(
         "blocked_reason", content.blocked_reason(F.col("markdown"), strict_access_denied)

@@ -335,18 +335,6 @@ BLOCK_TAGS = (
     "caption", "table",
 )
 
-# --- fixed values: named character references that are decoded in text, &amp; last
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\xa0"),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"),
-    ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"),
-    ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"),
-    ("&raquo;", "»"), ("&times;", "×"), ("&deg;", "°"), ("&sect;", "§"), ("&para;", "¶"),
-    ("&euro;", "€"), ("&pound;", "£"), ("&yen;", "¥"), ("&cent;", "¢"), ("&larr;", "←"),
-    ("&rarr;", "→"), ("&uarr;", "↑"), ("&darr;", "↓"), ("&check;", "✓"), ("&zwj;", "\N{ZERO WIDTH JOINER}"),
-    ("&amp;", "&"),
-)
-
 # --- fixed values: characters that the numeric references 128 to 159 stand for, as in Windows-1252
 WINDOWS_1252 = (
     0x20AC, 0x81, 0x201A, 0x0192, 0x201E, 0x2026, 0x2020, 0x2021, 0x02C6, 0x2030, 0x0160, 0x2039, 0x0152, 0x8D, 0x017D, 0x8F,

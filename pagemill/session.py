@@ -47,3 +47,22 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/pagemill-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_bucketed(df: DataFrame, key: str, buckets: int | None = None, spread: bool = True) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of ``key``, sorted by it, and read it back.
+
+    Joins and aggregates on the key need no shuffle of the result if the other side has as many partitions, by
+    default those of every shuffle. ``spread=False`` says that the rows are already hashed by key. The
+    table only needs its files: its name leaves the catalog at once.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"pagemill_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    if spread:
+        df = df.repartition(n, key)
+    df.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out

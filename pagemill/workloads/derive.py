@@ -7,6 +7,8 @@ marks and no links between captured pages; these expressions put them in.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,22 +124,82 @@ INDEX_BODY = """concat('<sitemapindex><sitemap><loc>https://maps.example.org/pag
 
 
 
+SITE_SIZE = 64
+
+
+def site_no(p: str, size: int = SITE_SIZE) -> str:
+    return f"CAST(floor(({p}) / {size}) AS BIGINT)"
+
+
 def site_page(p: str) -> str:
-    """The URL of page ``p`` on one of forty made-up sites, in one of three directories."""
-    return (
-        f"concat('https://site', ({p}) % 40, '.example.com/docs/',"
-        f" CAST(floor(({p}) / 40) AS BIGINT) % 3, '/', {p})"
-    )
+    """The URL of page ``p`` on a made-up site of 64 pages, in one of three directories."""
+    return f"concat('https://site', {site_no(p)}, '.example.com/docs/', ({p}) % 3, '/', {p})"
+
+
+def children(link: Callable[[str], str], size: int = SITE_SIZE) -> str:
+    """Links to the four pages below a page: a site is a tree over the numbers of its pages."""
+    links = [f"CASE WHEN (page_id % {size}) * 4 + {k} < {size} THEN {link(f'page_id + (page_id % {size}) * 3 + {k}')} ELSE '' END" for k in range(1, 5)]
+    return f"concat({', '.join(links)})"
+
+
+# Every page of a site is within three links of its first one, so a crawl reaches as many pages as there are.
+SITE_LINKS = f"""concat(html, {children(lambda p: f"""concat('<a href="', {site_page(p)}, '#x">n</a>')""")})"""
 
+# Smaller sites whose pages other adapters serve, too.
+RANKED_SIZE = 16
+_RANKED_NO = site_no("{p}", RANKED_SIZE)
+_RANKED_HOST = f"""CASE {_RANKED_NO} % 5 WHEN 0 THEN 'docs.anthropic.com' WHEN 1 THEN 'eu.code.claude.com'
+  WHEN 2 THEN 'nextjs.org' WHEN 3 THEN 'platform.openai.com' ELSE concat('site', {_RANKED_NO}, '.example.com') END"""
 
-# Each page leads to the next page of its site and to the one three further on.
-SITE_LINKS = f"""concat(html, '<a href="', {site_page('page_id + 40')}, '">n</a> <a href="', {site_page('page_id + 120')}, '#x">f</a>')"""
+
+def ranked_host(p: str) -> str:
+    return _RANKED_HOST.format(p=p)
+
+
+def ranked_page(p: str) -> str:
+    return f"concat('https://', {ranked_host(p)}, '/docs/s', {site_no(p, RANKED_SIZE)}, '/', {p})"
+
+
+# What of a page is there: most pages as HTML, some of them blocked; the others only as a finished response.
+RANKED_CAPTURED = "page_id % 6 <> 5"
+_RANKED_LINKS = children(lambda p: f"""concat('<a href="', {ranked_page(p)}, '">c</a> ')""", RANKED_SIZE)
+RANKED_HTML = f"""CASE WHEN page_id % 11 = 7 THEN '<main><p>Just a moment...</p></main>'
+  ELSE replace(html, '<article>', concat('<article><p>', {_RANKED_LINKS}, '</p>')) END"""
+RANKED_ANSWERED = """CASE ord WHEN 3 THEN page_id % 6 = 5 OR page_id % 4 = 0 WHEN 2 THEN true ELSE page_id % 3 <> 2 END"""
+RANKED_BODY = f"""CASE (page_id + ord * 5) % 9 WHEN 0 THEN '  <!DOCTYPE html><p>x</p>' WHEN 1 THEN ' {{"a": 1, "b": 2}} '
+  WHEN 2 THEN 'short' WHEN 3 THEN '   ' WHEN 6 THEN 'Just a moment...'
+  ELSE concat('# Page ', page_id, ' from ', adapter, {children(lambda p: f"concat(' [c](', {ranked_page(p)}, ')')", RANKED_SIZE)}) END"""
+
+# The sitemap index of a site and its four parts: pages with other spellings of their URL, and pages outside the documentation.
+SITE_MAP_ENTRY = f"""concat('<url><loc>', {site_page('page_id')}, CASE page_id % 7 WHEN 0 THEN '/?v=1' WHEN 1 THEN '#top' ELSE '' END, '</loc></url>',
+  CASE WHEN page_id % 9 = 0 THEN concat('<url><loc>https://site', {site_no('page_id')}, '.example.com/blog/', page_id, '</loc></url>') ELSE '' END,
+  CASE WHEN page_id % 13 = 0 THEN concat('<url><loc>https://site', {site_no('page_id')}, '.example.com/docs/new/', page_id, '</loc></url>') ELSE '' END)"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# A table of domains, and hosts that are among them, below them, or only look like it.
+DOMAIN = f"""CASE page_id % 3 WHEN 0 THEN {SITE_HOST} WHEN 1 THEN concat('d', page_id, '.example.org') ELSE concat('www.', {SITE_HOST}) END"""
+SUBHOST = f"concat(CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'www.' WHEN 2 THEN 'a.www.' ELSE 'x' END, {SITE_HOST})"
+
+# Rules that users bring along: one configuration for most pages, and as many for hosts without any.
+RULED_HOST = "concat('h', page_id, '.example.com')"
+
+
+def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "pages").select("page_id").filter("page_id % 5 <> 0")
+    removed = """CASE page_id % 4 WHEN 0 THEN array('.sidebar', '#nothing')
+      WHEN 1 THEN array('nav, .sidebar', 'div[class*="language-"]')
+      WHEN 2 THEN array('h2', 'ul', 'div.toc.sidebar', '.toc-none') ELSE array('noscript') END"""
+    own = df.select(F.expr(RULED_HOST).alias("config_key"), F.lit("main, article").alias("content_selector"), F.expr(removed).alias("remove_selectors"))
+    more = df.select(F.concat(F.lit("n"), "page_id", F.lit(".example.org")).alias("config_key"), F.lit("main").alias("content_selector"),
+        F.array(F.concat(F.lit(".c"), "page_id"), F.lit("p")).alias("remove_selectors"))
+    rest = spark.range(1).select(F.lit("__default__").alias("config_key"), F.lit("main, article").alias("content_selector"), F.array().cast("array<string>").alias("remove_selectors"))
+    return own.unionByName(more).unionByName(rest)
+
+
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "pages")
     return df.withColumn("url", F.expr(DOC_URL))
@@ -201,6 +263,55 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages on their sites of 64, linked as trees."""
+    return table(spark, sf_dir, "pages").select("page_id", F.expr(site_page("page_id")).alias("url"), F.expr(SITE_LINKS).alias("html"))
+
+
+def first_of_each(pages: DataFrame, site: str) -> DataFrame:
+    """The lowest page of each site, an entry."""
+    named = pages.select(F.expr(site).alias("crawl_id"), "page_id", "url")
+    return named.groupBy("crawl_id").agg(F.min_by("url", "page_id").alias("url"))
+
+
+def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "pages")
+    return df.select("page_id", F.expr(ranked_page("page_id")).alias("url"), F.expr(RANKED_HTML).alias("html"))
+
+
+def ranked_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "pages").select("page_id")
+    names = F.array(*[F.lit(n) for n in ("md-endpoint", "mdx", "jina", "playwright")])
+    df = df.select("page_id", F.posexplode(names).alias("ord", "adapter")).filter(RANKED_ANSWERED)
+    return df.select(
+        F.expr(ranked_page("page_id")).alias("url"),
+        "adapter",
+        F.expr(STATUS).alias("status"),
+        F.expr(CONTENT_TYPE).alias("content_type"),
+        F.expr(RANKED_BODY).alias("body"),
+    )
+
+
+def site_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index for each site, whose parts name every fifth page but one."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr(site_no("page_id")).alias("site"))
+    host = F.concat(F.lit("https://site"), "site", F.lit(".example.com"))
+    part = F.concat(host, F.lit("/part-"), F.col("page_id") % 4, F.lit(".xml"))
+    named = pages.filter("page_id % 5 <> 3").select(part.alias("sitemap_url"), F.expr(SITE_MAP_ENTRY).alias("e"))
+    parts = named.groupBy("sitemap_url").agg(F.concat(F.lit("<urlset>"), F.array_join(F.sort_array(F.collect_list("e")), ""), F.lit("</urlset>")).alias("body"))
+    children = [x for m in range(4) for x in (F.lit("<sitemap><loc>"), host, F.lit(f"/part-{m}.xml</loc></sitemap>"))]
+    index = F.concat(F.lit("<sitemapindex>"), *children, F.lit("</sitemapindex>"))
+    indexes = pages.select("site").distinct().select(F.concat(host, F.lit("/sitemap_index.xml")).alias("sitemap_url"), index.alias("body"))
+    return indexes.unionByName(parts)
+
+
+def site_map_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every site but each eleventh has the second of the usual addresses."""
+    sites = table(spark, sf_dir, "pages").select(F.expr(site_no("page_id")).alias("site")).distinct()
+    url = F.concat(F.lit("https://site"), "site", F.lit(".example.com/sitemap_index.xml"))
+    return sites.select(url.alias("url"), F.when(F.col("site") % 11 == 10, 404).otherwise(200).alias("status"))
+
+
 def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plain sitemap and an index per page; indexes form a tree with loops."""
     df = doc_pages(spark, sf_dir).select("page_id", "url")

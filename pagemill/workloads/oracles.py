@@ -429,6 +429,21 @@ o(
     f"""WITH {_RICH} SELECT page_id, regexp_replace(replace(html, '{d.SIDEBAR}', ''),
   '(?s)<nav>.*?</nav>|<footer>.*?</footer>|<footer>.*$|<div class="ad">.*?</div>', '', 'g') AS html FROM rich""",
 )
+_LISTS = "<ul><li>one</li><li>two <em>x</em><ul><li>deep</li></ul></li></ul>"
+o(
+    "rule_table_removal",
+    f"""WITH {_RICH}, quiet AS (SELECT page_id, {_QUIET.format(h='html', to='')} AS h FROM rich)
+SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '__default__' ELSE {d.RULED_HOST} END AS config_key,
+  CASE WHEN page_id % 5 = 0 THEN h WHEN page_id % 4 = 0 THEN replace(h, '{d.SIDEBAR}', '')
+  WHEN page_id % 4 = 1 THEN regexp_replace(replace(h, '{d.SIDEBAR}', ''), '(?s)<nav>.*?</nav>|<div class="language-js">.*?</div>', '', 'g')
+  WHEN page_id % 4 = 2 THEN regexp_replace(replace(replace(h, '{d.SIDEBAR}', ''), '{_LISTS}', ''), '(?s)<ul>.*?</ul>|<h2>.*?</h2>', '', 'g')
+  ELSE h END AS html FROM quiet""",
+)
+o(
+    "host_domains",
+    f"""WITH h AS (SELECT page_id, {d.SUBHOST} AS host FROM pages), t AS (SELECT DISTINCT {d.DOMAIN} AS domain FROM pages)
+SELECT page_id, host, arg_max(domain, length(domain)) AS domain FROM h LEFT JOIN t ON host = domain OR ends_with(host, '.' || domain) GROUP BY page_id, host""",
+)
 o("code_language", "SELECT page_id, 3 AS n_pre, 1 AS n_lang, 'js' AS lang FROM pages")
 o(
     "main_content",
@@ -578,27 +593,63 @@ o("adapter_counts", f"WITH {_WIN} SELECT adapter, count(*) AS n_pages FROM win G
 
 
 # --- the whole run: page numbers give the links between pages, the navigation leads nowhere
-_NAV = "'https://site' || page_id % 40 || '.example.com/docs' || " + encoded("rtrim(raw, '/')")
+_NO = d.site_no("page_id")
+_NAV = f"'https://site' || {_NO} || '.example.com/docs' || " + encoded("rtrim(raw, '/')")
+_CHILD = "q.page_id + (q.page_id % {n}) * 3 + k AS page_id FROM {q} q, range(1, 5) t(k) WHERE (q.page_id % {n}) * 4 + k < {n}"
 _RUN = f"""pg AS (SELECT page_id, {d.site_page('page_id')} AS url_key FROM pages),
-e AS (SELECT page_id, {_NAV} AS dst FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=["'']([^"'']+)["'']', 1)) AS raw FROM pages)
-  UNION SELECT page_id, {d.site_page('page_id + 40')} FROM pages UNION SELECT page_id, {d.site_page('page_id + 120')} FROM pages),
-walk AS (SELECT page_id % 40 AS site, {d.site_page('min(page_id)')} AS url_key, 0 AS depth FROM pages GROUP BY page_id % 40
-  UNION SELECT site, dst, depth + 1 FROM walk JOIN pg USING (url_key) JOIN e USING (page_id) WHERE depth < 2),
-reached AS (SELECT 'site' || site || '.example.com' AS crawl_id, url_key, min(depth) AS depth FROM walk GROUP BY site, url_key)"""
+e AS (SELECT page_id, {_NAV} AS dst FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=["\'']([^"\'']+)["\'']', 1)) AS raw FROM pages)
+  UNION SELECT src AS page_id, {d.site_page('page_id')} FROM (SELECT q.page_id AS src, {_CHILD.format(n=d.SITE_SIZE, q='pages')})),
+walk AS (SELECT {_NO} AS site, {d.site_page('min(page_id)')} AS url_key, 0 AS depth FROM pages GROUP BY {_NO}
+  UNION SELECT site, dst, depth + 1 FROM walk JOIN pg USING (url_key) JOIN e USING (page_id) WHERE depth < 3),
+reached AS (SELECT 'site' || site AS crawl_id, url_key, min(depth) AS depth FROM walk GROUP BY site, url_key)"""
 o(
     "full_run",
     f"""WITH RECURSIVE {_RUN} SELECT crawl_id, count(*) AS visited, count(page_id) AS saved, 0 AS blocked,
   count(*) - count(page_id) AS failed FROM reached LEFT JOIN pg USING (url_key) GROUP BY crawl_id""",
 )
-# A page reached at depth 2 has the smaller of its possible parents; numbers follow depth, parent and place.
+# Every page has one parent; numbers follow depth, parent and place.
 o(
     "run_files",
     f"""WITH RECURSIVE {_RUN}, {_PLAIN},
-par AS (SELECT r.crawl_id, r.url_key, r.depth, pg.page_id, min(q.url_key) AS parent,
-  arg_min(CASE WHEN q.page_id + 40 = pg.page_id THEN 0 ELSE 1 END, q.url_key) AS pos
-  FROM reached r JOIN pg USING (url_key) LEFT JOIN (SELECT s.crawl_id, s.depth, p.* FROM reached s JOIN pg p USING (url_key)) q
-  ON q.crawl_id = r.crawl_id AND q.depth = r.depth - 1 AND pg.page_id IN (q.page_id + 40, q.page_id + 120) GROUP BY ALL),
+par AS (SELECT r.crawl_id, r.url_key, r.depth, pg.page_id, q.url_key AS parent, (pg.page_id + 3) % 4 AS pos
+  FROM reached r JOIN pg USING (url_key) LEFT JOIN pg q ON pg.page_id % {d.SITE_SIZE} > 0
+  AND q.page_id = pg.page_id - pg.page_id % {d.SITE_SIZE} + (pg.page_id % {d.SITE_SIZE} - 1) // 4),
 num AS (SELECT *, regexp_extract(url_key, 'docs/(.*)/', 1) AS dir, row_number() OVER (PARTITION BY crawl_id, dir ORDER BY depth, parent, pos, url_key) AS n FROM par)
 SELECT crawl_id, dir || '/' || lpad(n::VARCHAR, 2, '0') || '-' || page_id || '.md' AS local_path, url_key AS url, length(markdown) AS n_chars
 FROM num JOIN plain USING (page_id)""",
 )
+_RANKED_APPLIES = f"(ord = 0 AND {_MD}) OR (ord = 1 AND {_MDX}) OR ord = 3"
+o(
+    "run_responses",
+    f"""WITH RECURSIVE names(ord, adapter) AS (VALUES (0, 'md-endpoint'), (1, 'mdx'), (2, 'jina'), (3, 'playwright')),
+sites AS (SELECT page_id, {d.ranked_host('page_id')} AS host, {d.ranked_page('page_id')} AS url FROM pages),
+r0 AS (SELECT *, {d.STATUS} AS status, {d.CONTENT_TYPE} AS ctype, (page_id + ord * 5) % 9 AS b FROM sites, names WHERE {_RANKED_APPLIES}),
+r1 AS (SELECT *, CASE WHEN status = 200 THEN '' ELSE 'Fetch failed: ' || status || ' ' || url END AS bad, ord = 3 AND {d.RANKED_CAPTURED} AS html
+  FROM r0 WHERE {d.RANKED_ANSWERED} OR (ord = 3 AND {d.RANKED_CAPTURED})),
+t AS (SELECT page_id, ord, adapter, CASE WHEN html THEN page_id % 11 <> 7 ELSE b IN (4, 5, 7, 8) END AS links,
+  CASE WHEN html THEN CASE WHEN page_id % 11 = 7 THEN 'bot-detection' END WHEN ord = 3 AND bad = '' THEN CASE b WHEN 3 THEN 'empty' WHEN 6 THEN 'bot-detection' END END AS reason,
+  CASE WHEN html THEN CASE WHEN page_id % 11 = 7 THEN 'Content blocked by ' || host || ' (bot detection)' END
+   WHEN ord = 0 THEN CASE WHEN bad <> '' THEN bad || '.md' WHEN contains(ctype, 'json') THEN 'Received JSON instead of Markdown'
+    WHEN ctype = 'text/html; charset=utf-8' THEN 'Received HTML instead of Markdown (Content-Type)'
+    WHEN b = 0 THEN 'Received HTML instead of Markdown' WHEN b = 1 THEN 'Received JSON instead of Markdown' WHEN b IN (2, 3) THEN 'Response too short to be valid Markdown' END
+   WHEN ord = 1 THEN CASE WHEN bad <> '' THEN bad || '.md' WHEN b = 0 THEN 'HTML returned, not markdown' END
+   ELSE CASE WHEN bad <> '' THEN bad WHEN b = 3 THEN 'Empty content extracted from ' || host WHEN b = 6 THEN 'Content blocked by ' || host || ' (bot detection)' END END AS error FROM r1),
+first AS (SELECT page_id, min(ord) FILTER (error IS NULL) AS w FROM t GROUP BY page_id),
+c AS (SELECT page_id, any_value(w) AS w, max(adapter) FILTER (ord = w) AS adapter, bool_or(links) FILTER (ord = w) AS links, max(reason) FILTER (w IS NULL) AS reason,
+  string_agg(adapter || ': ' || error, chr(10) ORDER BY ord) FILTER (error IS NOT NULL AND (w IS NULL OR ord < w)) AS tried FROM t JOIN first USING (page_id) GROUP BY page_id),
+walk AS (SELECT min(page_id) AS page_id, 0 AS depth FROM pages GROUP BY page_id // {d.RANKED_SIZE}
+  UNION ALL SELECT x.page_id, x.depth FROM (SELECT q.depth + 1 AS depth, {_CHILD.format(n=d.RANKED_SIZE, q='(SELECT page_id, depth FROM walk JOIN c USING (page_id) WHERE depth < 2 AND links)')}) x),
+seen AS (SELECT walk.page_id, depth, w, adapter, reason, tried, {d.ranked_page('walk.page_id')} AS url, {d.ranked_host('walk.page_id')} AS host FROM walk LEFT JOIN c ON c.page_id = walk.page_id)
+SELECT 's' || page_id // {d.RANKED_SIZE} AS crawl_id, url AS url_key, depth, CASE WHEN w IS NOT NULL THEN 'saved' WHEN depth = 0 THEN 'entry_failed' WHEN reason IS NOT NULL THEN 'blocked' ELSE 'failed' END AS status,
+  reason, adapter, tried, CASE WHEN w IS NOT NULL OR reason IS NOT NULL THEN NULL WHEN tried IS NULL THEN 'not captured' ELSE 'All adapters failed for ' || url || ':' || chr(10) || tried END AS error,
+  CASE WHEN w IS NOT NULL THEN 's' || page_id // {d.RANKED_SIZE} || '/' || page_id || '.md' END AS local_path, host = 'platform.openai.com' AS may_be_blocked
+FROM seen""",
+)
+o(
+    "run_sitemap",
+    f"""WITH named AS (SELECT {_NO} AS site, page_id, {d.site_page('page_id')} AS url_key, true AS captured FROM pages WHERE page_id % 5 <> 3
+  UNION ALL SELECT {_NO}, page_id, 'https://site' || {_NO} || '.example.com/docs/new/' || page_id, false FROM pages WHERE page_id % 5 <> 3 AND page_id % 13 = 0)
+SELECT 'site' || site AS crawl_id, url_key, CASE WHEN captured THEN 'saved' ELSE 'failed' END AS status, CASE WHEN NOT captured THEN 'not captured' END AS error,
+  CASE WHEN captured THEN 'playwright' END AS adapter, CASE WHEN captured THEN (page_id % 3) || '/' || page_id || '.md' END AS local_path FROM named WHERE site % 11 <> 10
+UNION ALL SELECT 'site' || site, NULL, 'entry_failed', 'No sitemap found for https://site' || site || '.example.com', NULL, NULL FROM (SELECT DISTINCT {_NO} AS site FROM pages) WHERE site % 11 = 10""",
+)

@@ -14,12 +14,14 @@ from pagemill.operators import (
     crawl,
     dedup,
     frameworks,
+    hosts,
     links,
     markdown,
     numbering,
     regions,
     report,
     responses,
+    rule_tables,
     sitemaps,
     tokens,
 )
@@ -29,6 +31,7 @@ from pagemill.session import shared_folder
 from pagemill.sources import sinks, tables
 from pagemill.workloads import derive as d
 
+ROW = page_plan.ROW
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -135,6 +138,14 @@ def host_match(spark, sf):
     )
 
 
+@query
+def host_domains(spark, sf):
+    """The longest domain of a table of them that each host lies in."""
+    pages = d.table(spark, sf, "pages")
+    df = pages.select("page_id", F.expr(d.SUBHOST).alias("host"))
+    return hosts.with_domain(df, pages.select(F.expr(d.DOMAIN).alias("domain"))).select("page_id", "host", "domain")
+
+
 @query
 def safe_path(spark, sf):
     p = F.expr(
@@ -348,9 +359,10 @@ def framework_counts(spark, sf):
 # --- HTML
 
 
-def _joined(df, text="tag_text"):
-    pieces = F.array_sort(F.collect_list(F.struct("pos", F.concat(text, "text").alias("t"))))
-    return df.groupBy("page_id").agg(F.array_join(pieces.getField("t"), "").alias("html"))
+def _joined(df, *also):
+    pieces = F.array_sort(F.collect_list(F.struct("pos", F.concat("tag_text", "text").alias("t"))))
+    out = df.groupBy(*ROW, "page_id", *also).agg(F.array_join(pieces.getField("t"), "").alias("html"))
+    return out.drop(*ROW)
 
 
 @query
@@ -375,17 +387,18 @@ def selector_match(spark, sf):
         "none": "nav > a",
     }
     for name, selector in picks.items():
-        df = regions.with_selector_match(df, selector, "page_id", name)
-    return df.groupBy("page_id").agg(*[F.count_if(F.col(n)).alias(n) for n in picks])
+        df = regions.with_selector_match(df, selector, ROW, name)
+    counts = df.groupBy(*ROW, "page_id").agg(*[F.count_if(F.col(n)).alias(n) for n in picks])
+    return counts.drop(*ROW)
 
 
 def _drop(df, *selectors):
     flag = F.lit(False)
     df = df.withColumn("remove", flag)
     for s in selectors:
-        df = regions.with_selector_match(df, s, "page_id", "hit")
+        df = regions.with_selector_match(df, s, ROW, "hit")
         df = df.withColumn("remove", F.col("remove") | F.col("hit")).drop("hit")
-    return regions.drop_regions(df, "page_id")
+    return regions.drop_regions(df, ROW)
 
 
 @query
@@ -393,7 +406,7 @@ def strip_noise(spark, sf):
     df = _rich_tokens(spark, sf).withColumn(
         "remove", regions.removal_flag((), F.lit(rules.DEFAULT_KEY))
     )
-    return _joined(regions.drop_regions(df, "page_id"))
+    return _joined(regions.drop_regions(df, ROW))
 
 
 @query
@@ -401,13 +414,24 @@ def remove_regions(spark, sf):
     return _joined(_drop(_rich_tokens(spark, sf), "nav, footer, .ad", ".sidebar", ".toc"))
 
 
+@query
+def rule_table_removal(spark, sf):
+    """Pages without what a table with a configuration for each host removes."""
+    df = d.rich_pages(spark, sf).select("page_id", F.expr(d.RULED_HOST).alias("host"), "html")
+    df = rule_tables.with_rules(page_plan.spread(df), d.rule_table(spark, sf))
+    df = regions.with_regions(rule_tables.with_flags(tokens.html_tokens(df)), ROW)
+    kept = _joined(regions.drop_regions(df, ROW), "config_key")
+    return kept.select("page_id", "config_key", "html")
+
+
 @query
 def code_language(spark, sf):
-    df = regions.with_code_language(_rich_tokens(spark, sf), "page_id")
+    df = regions.with_code_language(_rich_tokens(spark, sf), ROW)
     df = df.filter((F.col("tag") == "pre") & (F.col("kind") == "open"))
-    return df.groupBy("page_id").agg(
+    out = df.groupBy(*ROW, "page_id").agg(
         F.count("*").alias("n_pre"), F.count("parent_lang").alias("n_lang"), F.max("parent_lang").alias("lang")
     )
+    return out.drop(*ROW)
 
 
 @query
@@ -415,7 +439,7 @@ def main_content(spark, sf):
     """The inner text of the content element under the default rules, tags left out."""
     configs = (rules.SITE_CONFIGS[-1],)
     df = regions.cut_content(
-        _rich_tokens(spark, sf), "page_id", F.lit(rules.DEFAULT_KEY), configs
+        _rich_tokens(spark, sf), ROW, F.lit(rules.DEFAULT_KEY), configs
     )
     return _joined(df.withColumn("tag_text", F.lit("")))
 
@@ -432,13 +456,13 @@ def absolutize_urls(spark, sf):
 @query
 def html_to_markdown(spark, sf):
     df = page_plan.main_tokens(d.table(spark, sf, "pages"))
-    return markdown.html_to_markdown(df, "page_id")
+    return markdown.html_to_markdown(df, ROW, carry=["page_id"]).drop(*ROW)
 
 
 @query
 def code_blocks(spark, sf):
     df = page_plan.main_tokens(d.rich_pages(spark, sf))
-    out = markdown.code_blocks(df, "page_id")
+    out = markdown.code_blocks(df, ROW, carry=["page_id"])
     return out.select("page_id", "language", "code")
 
 
@@ -549,16 +573,13 @@ def adapter_counts(spark, sf):
     return responses.adapter_counts(_chosen(spark, sf))
 
 
-def crawl_run(spark: SparkSession, sf: str, depth: int = 2, numbered: bool = True):
-    """Crawl forty sites from their first page; pages link to later pages of their site."""
-    pages = d.table(spark, sf, "pages").select(
-        "page_id", F.expr(d.site_page("page_id")).alias("url"), F.expr(d.SITE_LINKS).alias("html")
-    )
-    site = urls.with_url_parts(pages.select("page_id", "url"), "url")
-    entries = site.groupBy(F.col("host").alias("crawl_id")).agg(
-        F.min_by("url", "page_id").alias("url")
-    )
-    return run_plan.run(pages, entries, depth=depth, link_source="html", numbered=numbered)
+_SITE = f"concat('site', {d.site_no('page_id')})"
+
+
+def crawl_run(spark: SparkSession, sf: str, depth: int = 3, numbered: bool = True):
+    """Crawl all sites from their first page; three levels of links reach every page of a site."""
+    pages = d.site_pages(spark, sf)
+    return run_plan.run(pages, d.first_of_each(pages, _SITE), depth=depth, link_source="html", numbered=numbered)
 
 
 @query
@@ -572,3 +593,22 @@ def run_files(spark, sf):
     """The files of a whole link crawl: numbered paths and text lengths."""
     files = crawl_run(spark, sf).files
     return files.select("crawl_id", "local_path", "url", F.length("markdown").alias("n_chars"))
+
+
+@query
+def run_responses(spark, sf):
+    """A whole link crawl over ranked responses: outcomes with the adapter that served each page and the failed tries."""
+    pages = d.ranked_pages(spark, sf)
+    entries = d.first_of_each(pages, f"concat('s', {d.site_no('page_id', d.RANKED_SIZE)})")
+    captured = pages.filter(d.RANKED_CAPTURED)
+    out = run_plan.run(captured, entries, depth=2, responses=d.ranked_responses(spark, sf)).outcomes
+    return out.select("crawl_id", "url_key", "depth", "status", "reason", "adapter", "tried", "error", "local_path", "may_be_blocked")
+
+
+@query
+def run_sitemap(spark, sf):
+    """A whole sitemap crawl: what became of every page that the sitemaps of the sites name."""
+    pages = d.site_pages(spark, sf)
+    entries = d.first_of_each(pages, _SITE)
+    out = run_plan.run(pages, entries, mode="sitemap", sitemap_bodies=d.site_maps(spark, sf), responses=d.site_map_responses(spark, sf))
+    return out.outcomes.select("crawl_id", "url_key", "status", "error", "adapter", "local_path")

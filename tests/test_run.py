@@ -5,9 +5,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.operators import links, responses
+from pagemill.functions import urls
+from pagemill.operators import crawl, links, responses
 from pagemill.plans import pages as plan
 from pagemill.plans import run as run_plan
+from pagemill.session import materialize_bucketed
 from pagemill.sources import sinks, tables
 from pagemill.streaming import arrivals
 
@@ -144,14 +146,108 @@ def test_pipeline_has_one_shuffle_and_no_python(spark):
     assert "Python" not in text and "Join" not in text
 
 
-def test_run_shuffles_pages_once(spark):
-    text = plan_text(run_plan.page_content(site(spark)))
-    # One exchange for the pages; the others only move numbers and keys, to find the capture to
-    # keep. The token windows add none.
-    assert text.count("Exchange hashpartitioning") <= 3
-    assert "Exchange hashpartitioning(page_id" in text and ", tag" not in "".join(
-        x for x in text.splitlines() if "Exchange" in x
-    )
+@pytest.fixture
+def shuffled(spark):
+    """Joins by shuffle or buckets only, as for tables too large to broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_levels_fetch_without_a_shuffle(shuffled):
+    responses = shuffled.createDataFrame([("https://e.com/docs/a", "mdx", 200, None, "x")], RESPONSES)
+    captures = run_plan.Captures.of(site(shuffled), responses, False, True)
+    keys = urls.with_url_key(site(shuffled).select("url"), "url").dropDuplicates(["url_key"])
+    keys = materialize_bucketed(keys, "url_key")
+    text = plan_text(captures.fetch(keys))
+    # Pages and responses lie in buckets of their key; fetching and converting what is asked for moves none of them.
+    assert "Exchange" not in text and "Python" not in text and "SortMergeJoin" in text
+
+
+def test_crawl_leaves_edges_and_levels_in_place(shuffled):
+    edges = [(f"p{i}", f"p{j}", f"u{j}", k) for i in range(40) for k, j in enumerate((2 * i, 2 * i + 1, 7))]
+    edges = shuffled.createDataFrame(edges, "src_key string, dst_key string, dst_url string, pos int")
+    entries = shuffled.createDataFrame([("c", "p1", "u1"), ("d", "p3", "u3"), (None, "p5", "u5")], "crawl_id string, url_key string, url string")
+    cells, hubs = crawl.bucketed_edges(edges)
+    levels = [crawl.start(entries)]
+    found = crawl.follow(levels[0], cells, hubs)
+    text = plan_text(found)
+    # Only the frontier moves; the scan of the edges is read by buckets, right below its join.
+    assert text.count("Exchange hashpartitioning(cell") == 1 and text.count("Bucketed: true") == 1
+    new = crawl.next_level(found, 1, levels)
+    text = plan_text(new.join(levels[0].select("node"), "node", "left_anti"))
+    assert "Exchange" not in text
+    out = crawl.crawl(edges, entries, 3)
+    assert out.count() == out.select("crawl_id", "url_key").distinct().count()
+
+
+def test_hubs_are_dealt_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(crawl, "HUB", 50)
+    rows = [("hub", f"p{i}", f"u{i}", i) for i in range(1000)] + [(f"p{i}", "hub", "uh", 0) for i in range(1000)] + [("p3", "far", "f", 1)]
+    edges = spark.createDataFrame(rows, "src_key string, dst_key string, dst_url string, pos int")
+    entries = spark.createDataFrame([("c", "hub", "uh")], "crawl_id string, url_key string, url string")
+    cells, hubs = crawl.bucketed_edges(edges)
+    assert [tuple(r) for r in hubs.collect()] == [("hub", 20)]
+    assert cells.filter("src_key = 'hub'").select("cell").distinct().count() == 20
+    got = {r.url_key: (r.depth, r.pos) for r in crawl.crawl(edges, entries, 2).collect()}
+    assert len(got) == 1002 and got["p7"] == (1, 7) and got["far"] == (2, 1)
+
+
+RANKED = [
+    ("https://nextjs.org/docs/", "mdx", 200, None, "[a](/docs/a) and [b](/docs/b) [c](/docs/c) [up](https://nextjs.org/docs)"),
+    ("https://nextjs.org/docs/a", "mdx", 404, None, None),
+    ("https://nextjs.org/docs/a/", "jina", 200, None, "reader text [d](/docs/d)"),
+    ("https://nextjs.org/docs/b", "mdx", 200, None, "<!DOCTYPE html>"),
+    ("https://nextjs.org/docs/c", "playwright", 403, None, "x"),
+    ("https://nextjs.org/docs/d", "playwright", 200, None, "finished text of d"),
+    ("https://nextjs.org/docs/d", "playwright", 200, None, "another finished text of d"),
+]
+RANKED_PAGES = [
+    (None, "https://nextjs.org/docs/", "<main>never converted</main>"),
+    (1, "https://nextjs.org/docs/b", "<main><p>b from its page</p><a href='/docs/e'>e</a></main>"),
+    (1, "https://nextjs.org/docs/b#x", "<main><p>second capture</p></main>"),
+    (2, "https://nextjs.org/docs/e", "<main><p>Just a moment...</p></main>"),
+    (2, "https://nextjs.org/docs/d", "<main><p>d from its page</p></main>"),
+]
+
+
+@pytest.mark.parametrize("reader", [False, True])
+def test_run_over_ranked_responses(spark, reader):
+    pages = spark.createDataFrame(RANKED_PAGES, tables.PAGES)
+    answers = spark.createDataFrame(RANKED, RESPONSES)
+    entries = spark.createDataFrame([("n", "https://nextjs.org/docs/"), ("m", "https://nextjs.org/docs/a")], "crawl_id string, url string")
+    out = run_plan.run(pages, entries, depth=2, responses=answers, use_reader=reader)
+    got = {(r.crawl_id, r.url_key.rsplit("/", 1)[1]): r for r in out.outcomes.collect()}
+    status = {k: (r.depth, r.status, r.adapter) for k, r in got.items()}
+    want = {("n", "docs"): (0, "saved", "mdx"), ("n", "b"): (1, "saved", "playwright"), ("n", "c"): (1, "failed", None), ("n", "e"): (2, "blocked", None)}
+    if reader:
+        want |= {("n", "a"): (1, "saved", "jina"), ("n", "d"): (2, "saved", "playwright"), ("m", "a"): (0, "saved", "jina"), ("m", "d"): (1, "saved", "playwright")}
+    else:
+        want |= {("n", "a"): (1, "failed", None), ("m", "a"): (0, "entry_failed", None)}
+    assert status == want
+    assert got["n", "b"].tried == "mdx: HTML returned, not markdown" and got["n", "e"].reason == "bot-detection"
+    assert got["n", "c"].error == "All adapters failed for https://nextjs.org/docs/c:\nplaywright: Fetch failed: 403 https://nextjs.org/docs/c"
+    files = {(r.crawl_id, r.local_path): r.markdown for r in out.files.collect()}
+    assert files["n", "b.md"].startswith("b from its page") and "never converted" not in "".join(files.values())
+    assert not reader or files["n", "d.md"] == files["m", "d.md"] == "d from its page"
+
+
+def test_run_keeps_pages_with_repeated_ids(spark):
+    rows = [(1, "https://e.com/docs/", "<main><p>home</p><a href='a'>a</a></main>"), (1, "https://e.com/docs/a", "<main>a</main>"), (None, "https://e.com/docs/a/", "<main>late</main>")]
+    entries = spark.createDataFrame([("e", "https://e.com/docs/")], "crawl_id string, url string")
+    for source in ("html", "markdown"):
+        out = run_plan.run(spark.createDataFrame(rows, tables.PAGES), entries, link_source=source)
+        assert {(r.local_path, r.markdown.split("\n")[0]) for r in out.files.collect()} == {("index.md", "home"), ("a.md", "a")}
+
+
+def test_unsafe_paths_and_blocking_hosts_show_in_outcomes(spark):
+    rows = [("c", u, u, 0 if i == 0 else 1, None, 0, "saved", None, None, "playwright", None) for i, u in enumerate(("https://platform.openai.com/docs/", "https://e.com/docs/%2e%2e/x", "https://e.com/docs/a"))]
+    df = spark.createDataFrame(rows, "crawl_id string, url_key string, url string, depth int, parent_key string, pos int, status string, reason string, error string, adapter string, tried string")
+    df = df.withColumn("url", F.when(F.col("url").contains("%2e"), F.lit("https://e.com/docs/..%2F")).otherwise(F.col("url")))
+    got = [(r.status, r.local_path, r.may_be_blocked) for r in run_plan.guarded(df).orderBy("url_key").collect()]
+    assert got == [("failed", None, False), ("saved", "a.md", False), ("saved", "index.md", True)]
+    assert run_plan.guarded(df).filter("status = 'failed'").first().error == "Path traversal detected: ..%2F.md"
 
 
 def test_links_are_extracted_without_a_shuffle(spark):

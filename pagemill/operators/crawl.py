@@ -64,9 +64,10 @@ def bucketed_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     A cell is a source page, or a share of the links of a hub, so that one page with very many links is dealt over many
     buckets. The hubs (``src_key, shares``) are a thousand rows at most.
     """
-    out = edges.groupBy("src_key").agg(F.count("*").alias("n"))
-    limit = max(HUB, (out.agg(F.sum("n")).first()[0] or 0) // 1000)
-    hubs = materialize(out.filter(F.col("n") > limit).select("src_key", F.ceil(F.col("n") / limit).cast("int").alias("shares")))
+    sizes = materialize(edges.groupBy("src_key").agg(F.count("*").alias("n")).filter(F.col("n") > HUB))
+    # Fewer links than this in all, and there are no hubs; their number is bounded by the links that hubs alone have.
+    limit = max(HUB, (sizes.agg(F.sum("n")).first()[0] or 0) // 1000)
+    hubs = sizes.filter(F.col("n") > limit).select("src_key", F.ceil(F.col("n") / limit).cast("int").alias("shares"))
     share = F.pmod(F.xxhash64("dst_key", "dst_url", "pos"), F.col("shares"))
     cells = edges.join(F.broadcast(hubs), "src_key", "left").withColumn("cell", _cell(F.coalesce(share, F.lit(0))))
     return materialize_bucketed(cells.drop("shares"), "cell"), hubs

@@ -11,37 +11,69 @@ Repeated rows count as documents of their own until the near-duplicate stage lea
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import jaccard, lines, mixing, pieces
 from pagemill.llm import toxicity as toxic
-from pagemill.llm.common import Scratch
+from pagemill.llm.common import Scratch, fresh
 from pagemill.llm.queries import piece_model
 
 
+def _apart(stage: Callable) -> Callable:
+    """Keeps columns that no stage knows together in one while a stage runs, so that they may have any name. A
+    column with the name of one that the last stage adds gives way to it."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in _KNOWN]
+        if not others:
+            return stage(spark, docs, sf_dir)
+        held = fresh(docs, "others")[0]
+        known = [c for c in docs.columns if c in _KNOWN]
+        out = stage(spark, docs.select(*known, F.struct(*[F.col(f"`{c}`") for c in others]).alias(held)), sf_dir)
+        if held not in out.columns:  # the last stage keeps the id only
+            return out
+        added = [c for c in out.columns if c not in (*known, held)]
+        kept = [F.col(c) if c in known else F.col(f"{held}.`{c}`") for c in docs.columns if c not in added]
+        return out.select(*kept, *added)
+
+    return run
+
+
+_KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+@_apart
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored words are not toxic."""
     model = toxic.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxic.without_toxic(docs, model)
 
 
+@_apart
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of passages that an earlier one has."""
-    return _counted(lines.remove_repeats(docs).drop("removed_lines"), docs)
+    return _counted(lines.remove_repeats(docs, count=None), docs)
 
 
+@_apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group."""
     return jaccard.one_of_each(docs)
 
 
+@_apart
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, the last of a source cut at its target."""
     _, segments = mixing.mix(docs)
-    return _counted(mixing.mixed_texts(docs, segments).drop("shard", "place"), docs)
+    return _counted(mixing.mixed_texts(docs, segments, numbered=False), docs)
 
 
+@_apart
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, the end id included, and the text they decode to."""
     return pieces.encode(docs, piece_model(), decoded=True)

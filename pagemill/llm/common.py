@@ -44,6 +44,14 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns that ``df`` does not have."""
+    taken, tag = {c.lower() for c in df.columns}, "__"
+    while any(f"{tag}{n}".lower() in taken for n in names):
+        tag += "_"
+    return [f"{tag}{n}" for n in names]
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``: the fixed split of labelled rows."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))

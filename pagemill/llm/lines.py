@@ -2,9 +2,9 @@
 
 Every three consecutive lines of a document are a window. A window found more than once in all
 documents keeps its first occurrence, by document id, hash of the text and position; the lines of
-later ones are removed, overlapping windows merged into ranges. Long lines are passages by themselves:
-where one or two lines have ``long_words`` words, these are a window as well, so that an unwrapped
-passage is found whatever its neighbours. Windows without a word count for nothing.
+later ones are removed, overlapping windows merged into ranges. Windows without a word count for nothing. With
+the option ``long_words``, off unless it is given, long lines are passages by themselves: where one or two lines have that many
+words, these are a window as well, so that an unwrapped passage is found whatever its neighbours.
 
 Windows are compared by two 64-bit hashes. A window that very many documents share is reduced to
 its first occurrence before any shuffle, and its later occurrences are dealt over several tasks.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import WORD, Scratch, hot_join
+from pagemill.llm.common import WORD, Scratch, fresh, hot_join
 
 #: SQL for the windows that start at line i; h has hashes a and b and the number of words of each line.
 _WINDOWS = """filter(array(
@@ -33,7 +33,7 @@ _WINDOWS = """filter(array(
 ), x -> x IS NOT NULL)"""
 
 
-def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", long_words: int = 50) -> DataFrame:
+def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", long_words: int | None = None) -> DataFrame:
     """Rows (id, h, ranges): the merged line numbers, first and last counted from 0, of repeated windows.
 
     ``h`` is a hash of the text. Documents without repeated windows have no row.
@@ -46,7 +46,7 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", lo
         ),
     )
     rows = docs.filter(F.col(text) != "").select(F.col(key).alias("id"), F.xxhash64(text).alias("h0"), lines.alias("h"))
-    starts = F.expr(f"flatten(transform(sequence(0, size(h) - 1), i -> {_WINDOWS.format(n=long_words)}))")
+    starts = F.expr(f"flatten(transform(sequence(0, size(h) - 1), i -> {_WINDOWS.format(n=2**31 - 1 if long_words is None else long_words)}))")
     found = rows.select("id", F.col("h0").alias("h"), F.inline(starts))
     found = scratch.keep(found)
     place = F.struct("id", "h", "lo")
@@ -62,15 +62,18 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", lo
     return merged.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", long_words: int = 50) -> DataFrame:
-    """``docs`` with repeated passages taken out of the text, and the column ``removed_lines``."""
-    ranges = repeated_ranges(docs, key, text, long_words).select(
-        F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("ranges").alias("__ranges")
-    )
-    same = F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h"))
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", long_words: int | None = None, count: str | None = "removed_lines"
+) -> DataFrame:
+    """``docs`` with repeated passages taken out of the text, and the number of lines taken out in the column ``count``."""
+    if count in docs.columns:
+        raise ValueError(f"there is a column {count!r}; name another one in `count`, or none")
+    i, h, r = fresh(docs, "id", "h", "ranges")
+    ranges = repeated_ranges(docs, key, text, long_words).select(F.col("id").alias(i), F.col("h").alias(h), F.col("ranges").alias(r))
+    same = F.col(key).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h))
     out = docs.join(ranges, same, "left")
-    inside = lambda i: F.exists("__ranges", lambda r: (i >= r["lo"]) & (i <= r["hi"]))
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~inside(i)), "\n")
-    count = F.aggregate("__ranges", F.lit(0), lambda n, r: n + r["hi"] - r["lo"] + 1)
-    out = out.withColumn(text, F.when(F.col("__ranges").isNotNull(), kept).otherwise(F.col(text)))
-    return out.select(*docs.columns, F.coalesce(count, F.lit(0)).alias("removed_lines"))
+    inside = lambda at: F.exists(r, lambda x: (at >= x["lo"]) & (at <= x["hi"]))
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, at: ~inside(at)), "\n")
+    removed = F.aggregate(r, F.lit(0), lambda n, x: n + x["hi"] - x["lo"] + 1)
+    out = out.withColumn(text, F.when(F.col(r).isNotNull(), kept).otherwise(F.col(text)))
+    return out.select(*docs.columns, *([F.coalesce(removed, F.lit(0)).alias(count)] if count else []))

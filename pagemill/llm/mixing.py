@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import WORD, Scratch
+from pagemill.llm.common import fresh, WORD, Scratch
 
 #: Rounds of the permutation; rows that share one step of a running total.
 _ROUNDS, _STEP = 20, 1000
@@ -225,17 +225,20 @@ def taken(documents: DataFrame, segments: DataFrame, key: str = "doc_id") -> Dat
 
 
 def mixed_texts(
-    docs: DataFrame, segments: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source"
+    docs: DataFrame, segments: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", numbered: bool = True
 ) -> DataFrame:
     """Rows of ``docs`` as the mix takes them: repeated, cut where a target ends, with the columns
-    shard and place. A text taken whole is unchanged; a cut one ends after its last word."""
-    cut = F.expr(f"array_join(slice(regexp_extract_all({text}, r'[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, int(__words)), '')")
+    shard and place if ``numbered``; then ``docs`` may have none of that name. A text taken whole is unchanged; a cut one ends after its last word."""
+    i, h, copy, shard, place, n = fresh(docs, "id", "h", "copy", "shard", "place", "words")
+    cut = F.expr(f"array_join(slice(regexp_extract_all({text}, r'[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, int({n})), '')")
     # Rows are numbered within their id and text, by source, which is how segments name them.
-    mine = docs.withColumn("__h", F.xxhash64(text))
-    mine = mine.withColumn("__copy", F.row_number().over(W.partitionBy(key, "__h").orderBy(_source_key(source))))
-    seg = segments.select(*[F.col(c).alias(f"__{c}") for c in ("h", "copy", "shard", "place", "words")], F.col(key).alias("__id"))
-    same = F.col(key).eqNullSafe(F.col("__id")) & (mine["__h"] == seg["__h"]) & (mine["__copy"] == seg["__copy"])
+    mine = docs.withColumn(h, F.xxhash64(text))
+    mine = mine.withColumn(copy, F.row_number().over(W.partitionBy(key, h).orderBy(_source_key(source))))
+    seg = segments.select(F.col(key).alias(i), F.col("h").alias("__seg_h"), F.col("copy").alias("__seg_copy"), F.col("shard").alias(shard), F.col("place").alias(place), F.col("words").alias(n))
+    same = F.col(key).eqNullSafe(F.col(i)) & (mine[h] == seg["__seg_h"]) & (mine[copy] == seg["__seg_copy"])
     out = mine.join(seg, same)
-    whole = F.regexp_count(text, F.lit(WORD)) == F.col("__words")
+    whole = F.regexp_count(text, F.lit(WORD)) == F.col(n)
     out = out.withColumn(text, F.when(whole, F.col(text)).otherwise(cut))
-    return out.select(*docs.columns, F.col("__shard").alias("shard"), F.col("__place").alias("place"))
+    if not numbered:
+        return out.select(*docs.columns)
+    return out.select(*docs.columns, F.col(shard).alias("shard"), F.col(place).alias("place"))

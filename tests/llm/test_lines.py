@@ -5,7 +5,7 @@ import re
 from pagemill.llm import lines
 
 
-def brute(rows, long_words=50):
+def brute(rows, long_words=10**9):
     count = lambda s: len(re.findall(r"[^\x20\x09-\x0D]+", s))
     windows = []
     for d, (_, text) in enumerate(rows):
@@ -36,11 +36,14 @@ def test_brute_force(spark):
         (6, f"{half}\n{half}"), (7, f"k\n{half}\n{half}\nm"), (8, ""), (9, None), (10, "\n\n\n\n"), (11, "\n\n\n"),
         (12, "r\nr\nr\nr\nr"), (13, "one"), (14, "v\n" * 3000), (15, "b\nc\nd"),
     ]
-    df = spark.createDataFrame([(i, t, 0, "z") for i, t in rows], "doc_id long, text string, h int, ranges string")
-    out = lines.remove_repeats(df)
-    assert out.columns == ["doc_id", "text", "h", "ranges", "removed_lines"]
-    got = [r.text for r in out.orderBy("doc_id").collect()]
-    assert got == brute(rows)
+    df = spark.createDataFrame([(i, t, 0, "z", 1, 2) for i, t in rows], "doc_id long, text string, h int, ranges string, __h int, __ranges int")
+    for options in ({}, {"long_words": 50}):
+        out = lines.remove_repeats(df, **options)
+        assert out.columns == ["doc_id", "text", "h", "ranges", "__h", "__ranges", "removed_lines"]
+        assert [r.text for r in out.orderBy("doc_id").collect()] == brute(rows, **options)
+    assert brute(rows) != brute(rows, 50)
+    named = df.withColumnRenamed("h", "removed_lines")
+    assert lines.remove_repeats(named, count=None).columns == named.columns
 
 
 def test_repeated_rows_and_empty_table(spark):

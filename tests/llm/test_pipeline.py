@@ -80,3 +80,17 @@ def test_odd_rows_pass(spark):
     for _, stage in corpus_pipeline.STAGES:
         df = stage(spark, df, SF)
     assert sorted(r.doc_id or 0 for r in df.collect())[-1] == 3
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    extra = "removed_lines int, __h int, __id string, __ranges int, shard int, place string, __n int, others int, sig string, ids int, score double"
+    rows = [(i, t, "en", "s", len(t), 1, 2, "x", 3, 4, "p", 5, 6, "q", 7, 0.5) for i, t in enumerate(("one two three four five six", "seven eight nine ten eleven", "seven eight nine ten eleven"))]
+    for data in (rows, []):
+        df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, " + extra)
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, df, SF)
+            if i < 4:
+                assert out.columns == df.columns
+                assert all((r["place"], r["__id"], r["shard"], r["ids"]) == ("p", "x", 4, 7) for r in out.collect())
+            df = out
+        assert bool(df.collect()) == bool(data)

@@ -4,23 +4,23 @@
    documents with one set are a class, and one of them stands for it. In the same pass shingles are
    counted in a sketch of fixed size, which orders them all: rare ones first. The order is only
    a matter of speed, any order gives the same links.
-2. *Prefixes.* Two sets that reach the threshold share a shingle among the first
-   ``n - ceil(0.75 n) + 1`` of each. These are dealt by shingle; a list holds the documents with
-   one shingle. A short list gives its pairs that pass the tests of size and position. A long list
-   (near copies, mostly) is one group: its members meet only a few of their own (stars of
-   some 256 around a common document, then stars of those).
-3. *Verify.* Both sets of each pair are brought together and compared.
-4. *Expand.* Where the documents of a long list are in one component by now, every link among
-   them is inside it. In the others each document outside the largest component meets first a few central
-   documents of that, and then, if it is still outside, all documents of the list that are in other
-   components; these pairs are tested and verified too. So no link
-   between components is lost, and near copies cost no pairs beyond their stars.
+2. *Groups.* The prefix of a set are its first ``n - ceil(0.75 n) + 1`` shingles; two sets that reach the threshold share one of
+   them. Sets with one prefix and one size are a group. A task deals the prefix of a group once, and its members, a row for
+   each set, go another way, with 4,096 bits that tell which shingles they may have.
+3. *Filter.* A list holds the groups with one shingle in their prefix. A short list gives its pairs of groups that pass the tests of size and
+   position. In a long list (near copies, mostly) groups meet only a few others: stars of some 256
+   around a common group, then stars of those.
+4. *Expand and verify.* A pair of groups becomes the pair of their first members; the members of a group meet the first one, again in
+   stars. What their bits can't share is left out, then both sets of each pair are brought together and compared.
+5. *The rest.* Lists, now expanded to all members of their groups, are gone through once more: members in one component need
+   no further link. Those outside the largest component of a list meet all members in other components, as far as their bits allow the
+   threshold, the likeliest four first. So no link between components is lost, and near copies cost no pairs beyond their stars.
 
 Rows: null, empty and wordless texts have no shingles, link with nothing and are their own component.
 Repeated rows, and rows that share an id, are one node of the graph; each row has the count of its
 own text. Rows with a null id are returned without a component. Other columns may have any name.
-Empty tables give empty tables. A list of one shingle (26 bytes for each distinct set) is held by
-one task; the rare-first order keeps what many different documents share out of the lists.
+Empty tables give empty tables. A list of one shingle (26 bytes for each group with it in its prefix, and 540 for each member
+if the list is in more than one component) is held by one task; the rare-first order keeps what many different documents share out of the lists.
 """
 
 from __future__ import annotations
@@ -29,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import Scratch, components, hot_join
+from pagemill.llm.common import Scratch, components, fresh, hot_join
 from pagemill.llm.shingles import mixed, shingles
 
 #: Counters of the sketch, and how many are in a row; longest list all of whose pairs are tried;
@@ -41,6 +42,8 @@ from pagemill.llm.shingles import mixed, shingles
 _CELLS, _ROW = 1 << 20, 1 << 12
 _SHORT, _FAN = 6, 256
 _BUCKET, _FLUSH = 1_000_000, 1_000_000
+#: Bits of a member, and of the short form that pairs are tested with; sets or groups that a task remembers.
+_BITS, _FOLDED, _SEEN = 4096, 1024, 100_000
 
 
 def _prefix(n):
@@ -76,42 +79,69 @@ def _sum_rows(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) ->
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], ["id", "data"])
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    out = np.zeros(_BITS, np.uint8)
+    out[(x >> np.uint64(52)).astype(np.int64)] = 1
+    return np.packbits(out).view(np.uint64)
+
+
+def _most(n1, n2, differ):
+    """How many shingles two sets may share at most, if so many of their bits differ: each such bit is a shingle of one set alone."""
+    return (n1 + n2 - differ) // 2
+
+
+_DEALT = pa.schema([("bucket", pa.int64()), ("data", pa.binary()), ("g", pa.int64()), ("sig", pa.binary()), ("n", pa.int64())])
+_DEALT_SQL = "bucket long, data binary, g long, sig binary, n long"
+
+
 def _deal_prefixes(order: np.ndarray, buckets: int):
-    """Rows (bucket, entries): packed shingles, document ids, set sizes, positions and how many
-    odd shingles the document has, which are much rarer than those in the middle of its prefix."""
+    """Entries of groups by bucket: packed shingles, groups, set sizes, positions and how many odd shingles
+    the group has, which are much rarer than those in the middle of its prefix. And a row for each set: its group, digest, size and bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, parts, size = set(), [], 0
+        seen, groups, parts, members, size = set(), set(), [], [], 0
 
         def flush():
-            token, doc, n, pos, odd = (np.concatenate(c) for c in zip(*parts, strict=True))
-            b = (mixed(token) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(b, kind="stable")
-            cuts = np.flatnonzero(np.diff(b[by])) + 1
-            packed = [_pack(token[i], doc[i], n[i], pos[i], odd[i]) for i in np.split(by, cuts)]
-            firsts = b[by][np.concatenate(([0], cuts))]
-            return pa.RecordBatch.from_arrays([pa.array(firsts), pa.array(packed, pa.binary())], ["bucket", "entries"])
+            if parts:
+                token, g, n, pos, odd = (np.concatenate(c) for c in zip(*parts, strict=True))
+                b = (mixed(token) % np.uint64(buckets)).astype(np.int64)
+                by = np.argsort(b, kind="stable")
+                cuts = np.flatnonzero(np.diff(b[by])) + 1
+                packed = [_pack(token[i], g[i], n[i], pos[i], odd[i]) for i in np.split(by, cuts)]
+                firsts, k = b[by][np.concatenate(([0], cuts))], len(cuts) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(firsts), pa.array(packed, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], schema=_DEALT)
+            if members:
+                g, sig, n, bits = zip(*members)
+                yield pa.RecordBatch.from_arrays([pa.array([x % buckets for x in g], pa.int64()), pa.array(bits, pa.binary()), pa.array(g, pa.int64()), pa.array(sig, pa.binary()), pa.array(n, pa.int64())], schema=_DEALT)
+            parts.clear()
+            members.clear()
 
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+            for text in batch.column("text"):
                 x = shingles(text.as_py())
                 digest = xxhash.xxh3_128_digest(x.tobytes())
                 if len(x) == 0 or digest in seen:
                     continue  # an equal set of this task has been dealt
-                seen.add(digest)
                 rank = order[(x & np.uint64(_CELLS - 1)).astype(np.int64)]
                 n, k = len(x), _prefix(len(x))
                 # x ascends, so equal ranks keep the order of the shingles themselves.
                 first = np.argsort(rank, kind="stable")[:k]
-                odd = min(65535, int((rank[first] < rank[first[k // 2]] / 2).sum()))
-                sizes, places = np.full(k, n, np.uint32), np.arange(k, dtype=np.uint32)
-                parts.append((x[first], np.full(k, key.as_py(), np.int64), sizes, places, np.full(k, odd, np.uint16)))
-                size += k
-                if size >= _FLUSH:
-                    yield flush()
-                    parts, size = [], 0
-        if parts:
-            yield flush()
+                prefix = x[first]
+                g = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=n) - (1 << 63)
+                members.append((g, digest, n, _bits(x).tobytes()))
+                seen.add(digest)
+                if g not in groups:
+                    groups.add(g)
+                    odd = min(65535, int((rank[first] < rank[first[k // 2]] / 2).sum()))
+                    parts.append((prefix, np.full(k, g, np.int64), np.full(k, n, np.uint32), np.arange(k, dtype=np.uint32), np.full(k, odd, np.uint16)))
+                    size += k
+                if len(seen) > _SEEN:
+                    seen.clear()
+                    groups.clear()
+                if size >= _FLUSH or len(members) > 20_000:
+                    yield from flush()
+                    size = 0
+        yield from flush()
 
     return run
 
@@ -123,9 +153,9 @@ def _pack(*columns: np.ndarray) -> bytes:
     return b"".join(c.astype(k, copy=False).tobytes() for c, k in zip(columns, _KINDS, strict=True))
 
 
-def _unpack(data: bytes) -> list[np.ndarray]:
-    n, out, at = len(data) // 26, [], 0
-    for k in _KINDS:
+def _unpack(data: bytes, kinds=_KINDS) -> list[np.ndarray]:
+    n, out, at = len(data) // sum(np.dtype(k).itemsize for k in kinds), [], 0
+    for k in kinds:
         out.append(np.frombuffer(data, k, n, at))
         at += n * np.dtype(k).itemsize
     return out
@@ -161,24 +191,33 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return pairs[:, 0], pairs[:, 1]
 
 
-_FOUND = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("data", pa.binary())])
-_FOUND_SQL = "kind int, bucket long, a long, b long, data binary"
+_FOUND = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("data", pa.binary()), ("sig", pa.binary())])
+_FOUND_SQL = "kind int, bucket long, a long, b long, data binary, sig binary"
 
 
-def _pairs_batch(bucket: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    n = len(a)
-    cols = [pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, bucket)), pa.array(a), pa.array(b), pa.nulls(n, pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, schema=_FOUND)
+def _found(kind: int, bucket: int, n: int, a=None, b=None, data=None, sig=None) -> pa.RecordBatch:
+    given = zip((a, b, data, sig), _FOUND.types[2:])
+    cols = [pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, bucket, np.int64))]
+    return pa.RecordBatch.from_arrays(cols + [pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in given], schema=_FOUND)
 
 
 def _first_round(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket (kind 0), its long lists as they are (1) and the documents in these (2)."""
-    bucket = key[0].as_py()
-    parts = [_unpack(x.as_py()) for b in batches for x in b.column("entries")]
+    """Pairs of groups of a bucket (kind 0), its long lists as they are (1), the groups in these (2) and the members that came along (3)."""
+    bucket, parts = key[0].as_py(), []
+    for batch in batches:
+        own = batch.filter(pc.is_valid(batch.column("g")))
+        if len(own):
+            yield _found(3, bucket, len(own), own.column("g"), own.column("n"), own.column("data"), own.column("sig"))
+        parts += [_unpack(x.as_py()) for x in batch.filter(pc.is_null(batch.column("g"))).column("data")]
+    if not parts:
+        return
     token, doc, n, pos, odd = (np.concatenate(c) for c in zip(*parts, strict=True))
     del parts
     by = np.lexsort((doc, token))
-    token = token[by]
+    # Several tasks may have dealt a group.
+    by = by[np.concatenate(([True], (token[by][1:] != token[by][:-1]) | (doc[by][1:] != doc[by][:-1])))]
+    token, doc, n, pos, odd = (x[by] for x in (token, doc, n, pos, odd))
+    by = np.arange(len(token))
     starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
     lengths = np.diff(np.append(starts, len(token)))
     run = np.repeat(lengths, lengths)
@@ -200,17 +239,13 @@ def _first_round(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
             parent[i] = i = parent.get(up, up)
         return i
 
-    sorted_token, waiting = token, []
-    token = np.empty_like(sorted_token)
-    token[by] = sorted_token
+    waiting = []
 
     def lists() -> pa.RecordBatch:
         """Whole lists, one after the other."""
         i = np.concatenate(waiting)
         waiting.clear()
-        data = _pack(token[i], doc[i], n[i], pos[i], odd[i])
-        cols = [pa.array([1], pa.int32()), pa.array([bucket]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([data], pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, schema=_FOUND)
+        return _found(1, bucket, 1, data=[token[i].tobytes() + doc[i].tobytes()])
 
     long_ = np.flatnonzero(lengths > _SHORT)
     for i in long_[np.argsort(-lengths[long_], kind="stable")]:
@@ -236,43 +271,71 @@ def _first_round(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
         yield lists()
     if long_docs:
         ids = np.unique(np.concatenate(long_docs))
-        m = len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, 2, np.int32)), pa.array(np.full(m, bucket)), pa.array(ids), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], schema=_FOUND)
+        yield _found(2, bucket, len(ids), ids)
     if a_all:
-        yield _pairs_batch(bucket, *_unique_pairs(np.concatenate(a_all), np.concatenate(b_all)))
+        a, b = _unique_pairs(np.concatenate(a_all), np.concatenate(b_all))
+        yield _found(0, bucket, len(a), a, b)
 
 
-def _between(hubs: int | None):
-    """Pairs of a bucket's long lists whose documents are in different components: those outside the
-    largest component of a list with its most central documents in there, or with all others of the list."""
+def _between(limit: int | None):
+    """Pairs of members of the lists of a cell that are in different components and whose bits allow the threshold: for each member outside
+    the largest component of a list all of them, or the ``limit`` with the most bits in common."""
 
-    def run(key: tuple[pa.Scalar, ...], lists: pa.Table, comps: pa.Table) -> pa.Table:
-        ids = comps.column("a").to_numpy()
-        by = np.argsort(ids)
-        ids, comp = ids[by], comps.column("component").to_numpy()[by]
+    def run(key, lists, members):
+        g, rep, n, comp = (members.column(c).to_numpy() for c in ("g", "rep", "n", "component"))
+        by = np.lexsort((rep, g))
+        g, rep, n, comp = g[by], rep[by], n[by], comp[by]
         a_all, b_all = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for data in lists.column("data"):
-            columns = _unpack(data.as_py())
-            cuts = np.flatnonzero(np.diff(columns[0])) + 1
-            for _, doc, n, pos, odd in zip(*(np.split(x, cuts) for x in columns), strict=True):
-                c = comp[np.searchsorted(ids, doc)]
-                names, counts = np.unique(c, return_counts=True)
-                if len(names) < 2:
-                    continue
-                main = c == names[counts.argmax()]
-                order = _central(doc, odd)
-                most = order[main[order]][:hubs] if hubs else order
-                for i in np.flatnonzero(~main):
-                    possible = _possible(np.broadcast_to(n[i], most.shape), np.broadcast_to(pos[i], most.shape), n[most], pos[most])
-                    other = most[(c[most] != c[i]) & possible]
-                    a_all.append(np.full(len(other), doc[i]))
-                    b_all.append(doc[other])
+        if len(g) and comp.min() != comp.max():
+            bits = np.frombuffer(b"".join(members.column("bits").take(pa.array(by)).to_pylist()), np.uint64).reshape(len(g), -1)
+            mixed_lists, lists_of = [], {}
+            single = lists.filter(pc.is_null(lists["data"]))  # the list of a group: a row for each group in it
+            packed = [_unpack(x, (np.uint64, np.int64)) for x in lists["data"].drop_null().to_pylist()]
+            for token, own in [*packed, (single["token"].to_numpy(), single["g"].to_numpy())]:
+                for one in np.split(own, np.flatnonzero(np.diff(token)) + 1) if len(own) else ():
+                    lo, hi = np.searchsorted(g, one), np.searchsorted(g, one, "right")
+                    at = np.concatenate([np.arange(x, y) for x, y in zip(lo, hi)])
+                    names, counts = np.unique(comp[at], return_counts=True)
+                    if len(names) > 1:
+                        for i in at[comp[at] != names[counts.argmax()]].tolist():
+                            lists_of.setdefault(i, []).append(len(mixed_lists))
+                        mixed_lists.append(at)
+            there = np.zeros(len(g), bool)
+            for i, own in lists_of.items():
+                there[:] = False
+                for x in own:
+                    there[mixed_lists[x]] = True
+                other = np.flatnonzero(there & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= 75 * np.maximum(n, n[i])))
+                share = _most(n[i], n[other], np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64))
+                ok = 175 * share >= 75 * (n[i] + n[other])
+                other, share = other[ok], share[ok]
+                if limit is not None:
+                    other = other[np.lexsort((rep[other], -share))[:limit]]
+                a_all.append(np.full(len(other), rep[i]))
+                b_all.append(rep[other])
         a, b = _unique_pairs(np.concatenate(a_all), np.concatenate(b_all))
         return pa.table({"a": a, "b": b})
 
     return run
 
 
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose bits allow the threshold."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("x", "y"))
+        n = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+        share = _most(*n, np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))
+        yield batch.select(["a", "b"]).filter(pa.array(175 * share >= 75 * (n[0] + n[1])))
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fewer bits: places that are a multiple of the new size apart become one."""
+    for batch in batches:
+        x = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(batch), _BITS // _FOLDED, -1)
+        folded = np.bitwise_or.reduce(x, axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.array([r.tobytes() for r in folded], pa.binary())], names=["rep", "n", "bits"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
@@ -345,32 +408,64 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     again = named.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
 
     shared = spark.sparkContext.broadcast(order)
-    deal = _dealer(shared, buckets)
     valid = rows.filter("id IS NOT NULL AND text IS NOT NULL")
-    dealt = valid.mapInArrow(deal, "bucket long, entries binary")
+    dealt = valid.select("text").mapInArrow(_dealer(shared, buckets), _DEALT_SQL)
     found = scratch.keep(dealt.groupBy("bucket").applyInArrow(_first_round, _FOUND_SQL), "kind")
 
-    def by_class(pairs: DataFrame) -> DataFrame:
-        one = named.select(F.col("id").alias("a"), F.col("rep").alias("ra"))
-        two = named.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
-        out = pairs.join(one, "a").join(two, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        return out.filter("a <> b").distinct()
-
-    pairs = scratch.keep(by_class(found.filter("kind = 0").select("a", "b")))
-    links = _verified(valid, pairs, scratch).unionByName(again)
+    # One member for each set; a set that several tasks have dealt comes as often.
+    sets = found.filter("kind = 3").select("sig", F.col("a").alias("g"), F.col("b").alias("n"), F.col("data").alias("bits"))
+    sets = sets.groupBy("sig").agg(F.first("g").alias("g"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    sets = scratch.keep(sets.join(classes.select("sig", "rep"), "sig").select("rep", "g", "n", "bits"))
+    groups = scratch.keep(sets.groupBy("g").agg(F.min("rep").alias("head"), F.count("*").alias("size")))
+
+    def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
+
+    met = scratch.keep(ordered(found.filter("kind = 0"), "a", "b"))
+    one = groups.select(F.col("g").alias("a"), F.col("head").alias("x"), F.col("size").alias("p"))
+    two = groups.select(F.col("g").alias("b"), F.col("head").alias("y"), F.col("size").alias("q"))
+    met = scratch.keep(met.join(one, "a").join(two, "b"))
+    # Members of a group meet one of them for some 256, and these the first.
+    stars = sets.select("rep", "g").join(groups.filter("size > 1"), "g")
+    stars = stars.withColumn("cell", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / _FAN)))
+    centre = stars.groupBy("g", "cell").agg(F.min("rep").alias("centre"), F.min("head").alias("head"))
+    stars = stars.join(centre.select("g", "cell", "centre"), ["g", "cell"])
+    pairs = ordered(met, "x", "y").unionByName(ordered(stars, "rep", "centre")).unionByName(ordered(centre, "centre", "head"))
+    pairs = scratch.keep(pairs.distinct())
+    folded = scratch.keep(sets.select("rep", "n", "bits").mapInArrow(_fold, "rep long, n long, bits binary"))
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        """The links among pairs: first the bits, then what they leave."""
+        x = folded.select(F.col("rep").alias("a"), "n", F.col("bits").alias("x"))
+        y = folded.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+        likely = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_may_link, "a long, b long")
+        # A representative of several sets has a row of bits for each.
+        return _verified(valid, scratch.keep(likely.distinct()), scratch)
+
+    links = tested(pairs).unionByName(again)
     comps = scratch.keep(components(links, scratch))
-    lists = found.filter("kind = 1").select("bucket", "data")
-    inside = found.filter("kind = 2").select("bucket", "a")
-    # First the documents outside with a few of the most central ones, then what is left with all.
-    for hubs in (8, None) if not lists.isEmpty() else ():
-        place = inside.join(named.withColumnRenamed("id", "a"), "a").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        place = place.groupBy("bucket", "a").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-        place = place.withColumnRenamed("bucket", "cell").groupBy("cell")
-        more = lists.groupBy("bucket").cogroup(place).applyInArrow(_between(hubs), "a long, b long")
-        more = scratch.keep(by_class(more).join(pairs, ["a", "b"], "left_anti"))
+    # What is gone through again: the long lists, and each group of several members with the groups that it met in short ones.
+    owner = (F.col("p") > F.col("q")) | ((F.col("p") == F.col("q")) & (F.col("a") < F.col("b")))
+    several = met.filter("p > 1 OR q > 1").select(F.when(owner, F.col("a")).otherwise(F.col("b")).alias("t"), F.when(owner, F.col("b")).otherwise(F.col("a")).alias("g"))
+    own = groups.filter("size > 1").select(F.col("g").alias("t"), "g")
+    several = scratch.keep(several.unionByName(own).distinct().select(F.concat(F.lit("g"), F.col("t")).alias("cell"), F.col("t").alias("token"), "g"))
+    cell = F.concat(F.lit("b"), F.col("bucket")).alias("cell")
+    none = F.lit(None)
+    lists = found.filter("kind = 1").select(cell, none.cast("long").alias("token"), none.cast("long").alias("g"), "data")
+    lists = lists.unionByName(several.select("cell", "token", "g", none.cast("binary").alias("data")))
+    inside = found.filter("kind = 2").select(cell, F.col("a").alias("g")).unionByName(several.select("cell", "g"))
+    # First the likeliest, then all that are left.
+    for limit in (4, None):
+        place = inside.join(sets, "g").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+        place = place.withColumn("component", F.coalesce("component", "rep"))
+        open_ = place.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+        open_ = scratch.keep(open_.select("cell"))
+        place = place.join(open_, "cell", "left_semi").select("cell", "g", "rep", "n", "bits", "component")
+        more = lists.join(open_, "cell", "left_semi").groupBy("cell").cogroup(place.groupBy("cell")).applyInArrow(_between(limit), "a long, b long")
+        more = scratch.keep(ordered(more, "a", "b").join(pairs, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
-        pairs, links = pairs.unionByName(more), links.unionByName(_verified(valid, more, scratch))
+        pairs, links = pairs.unionByName(more), links.unionByName(tested(more))
         comps = scratch.keep(components(links, scratch))
     scratch.drop(found)
     classes = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
@@ -391,14 +486,12 @@ def _dealer(shared, buckets: int):
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without those that are linked to one with a smaller id; of rows with one id, one stays.
     Rows without an id stay."""
-    groups = linked(docs, key, text)
-    ids = groups.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__id")).agg(
-        F.count("*").alias("__n"), F.min("component_id").alias("__c")
-    )
-    out = docs.join(ids.filter("__c <> __id").select("__id"), docs[key] == F.col("__id"), "left_anti")
-    repeated = ids.filter("__n > 1 AND __c = __id").select("__id")
+    groups, (i, n, c) = linked(docs, key, text), fresh(docs, "id", "n", "c")
+    ids = groups.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(i)).agg(F.count("*").alias(n), F.min("component_id").alias(c))
+    out = docs.join(ids.filter(F.col(c) != F.col(i)).select(i), docs[key] == F.col(i), "left_anti")
+    repeated = ids.filter((F.col(n) > 1) & (F.col(c) == F.col(i))).select(i)
     if repeated.isEmpty():
         return out
-    single = out.join(repeated, out[key] == F.col("__id"), "left_anti")
-    several = out.join(repeated, out[key] == F.col("__id"), "left_semi").dropDuplicates([key])
+    single = out.join(repeated, out[key] == F.col(i), "left_anti")
+    several = out.join(repeated, out[key] == F.col(i), "left_semi").dropDuplicates([key])
     return single.unionByName(several)

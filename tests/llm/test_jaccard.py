@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from pagemill.llm import jaccard, queries
@@ -72,10 +74,35 @@ def groups():
 
 
 def test_long_lists(spark, groups):
+    batch = pa.RecordBatch.from_pydict({"text": [t for _, t in groups]})
+    dealt = pa.Table.from_batches(jaccard._deal_prefixes(np.zeros(jaccard._CELLS, np.uint32), 8)([batch]))
+    members = dealt.filter(pc.is_valid(dealt["g"]))
+    several = members.group_by("g").aggregate([("sig", "count"), ("n", "min"), ("n", "max")])
+    assert max(several["sig_count"].to_pylist()) > 20 and several["n_min"] == several["n_max"]
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in groups], "doc_id long, text string, n int, sig string")
     assert got(df) == brute(groups)
 
 
+def test_bits_never_lose_a_link():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        common, x, y = (np.unique(rng.integers(0, 2**63, rng.integers(0, 900), dtype=np.uint64)) for _ in range(3))
+        x, y = np.union1d(common, x), np.union1d(common, y)
+        both = len(np.intersect1d(x, y))
+        bits = [jaccard._bits(z) for z in (x, y)]
+        short = [b.reshape(jaccard._BITS // jaccard._FOLDED, -1) for b in bits]
+        for p, q in (bits, [np.bitwise_or.reduce(b, axis=0) for b in short]):
+            assert jaccard._most(len(x), len(y), int(np.bitwise_count(p ^ q).sum())) >= both
+
+
+def test_lists_of_groups_are_one_list():
+    members = pa.table({"g": [1, 2, 3], "rep": [10, 20, 30], "n": [4, 4, 4], "component": [10, 20, 20], "bits": [b"\0" * 512] * 3})
+    one = pa.table({"token": pa.array([1, 1, 1], pa.int64()), "g": pa.array([1, 2, 3], pa.int64()), "data": pa.nulls(3, pa.binary())})
+    assert jaccard._between(None)(None, one, members).to_pydict() == {"a": [10, 10], "b": [20, 30]}
+    two = one.set_column(0, "token", pa.array([1, 2, 2], pa.int64()))
+    assert len(jaccard._between(None)(None, two, members)) == 0
+
+
 def test_exactly_at_the_threshold(spark):
     w = [f"w{i}" for i in range(104)]
     a, b, c = w[:100], w[:79], w[:76]  # 96 shingles; 75 and 72 of them: 78.1 and 75 in 100

@@ -34,25 +34,39 @@ def child_sitemaps(sitemaps: DataFrame) -> DataFrame:
     return df.filter(F.col("loc") != "")
 
 
+def from_records(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Kinds, child links and page URLs of sitemap files read in records (:func:`pagemill.sources.tables.read_sitemap_files`).
+
+    Returns ``(sitemap_url, is_index)``, ``(sitemap_url, child)`` and, like :func:`sitemap_urls`, ``(sitemap_url, pos, loc, …)``.
+    Files are told apart by one aggregate over short rows; entries are joined with the indexes among them, which are few.
+    """
+    kinds = materialize(records.groupBy("sitemap_url").agg(F.bool_or("index").alias("is_index")))
+    entries = records.filter(F.col("kind").isNotNull()).withColumn("loc", urls.trimmed(F.col("loc")))
+    indexes = kinds.filter("is_index").select("sitemap_url")
+    children = entries.filter("kind = 'child'").join(indexes, "sitemap_url", "left_semi").filter("loc <> ''")
+    pages = entries.filter("kind = 'page'").join(indexes, "sitemap_url", "left_anti").select("sitemap_url", "pos", "loc")
+    pages = urls.with_url_parts(pages, "loc").filter(F.col("host").isNotNull())
+    return kinds, children.select("sitemap_url", F.col("loc").alias("child")).distinct(), pages
+
+
 def expand_sitemaps(
     sitemaps: DataFrame, roots: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
+    """Follow indexes from root sitemaps, see :func:`expand_links`; ``sitemaps`` has ``sitemap_url, body``."""
+    edges = child_sitemaps(sitemaps).select("sitemap_url", F.col("loc").alias("child")).distinct()
+    kinds = sitemaps.select("sitemap_url", is_index(F.col("body")).alias("is_index")).distinct()
+    return expand_links(materialize(kinds), materialize(edges), roots)
+
+
+def expand_links(kinds: DataFrame, edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Follow indexes from root sitemaps.
 
     ``roots`` has ``crawl_id, sitemap_url``. Returns ``(reached, missing)``: the plain
     sitemaps of each crawl, and the sitemaps that were named but not captured. Every level is
     an equi-join; sitemaps seen before are left out, so cycles end,
     and the loop goes as deep as the indexes do. Only addresses take part in
-    the loop, the bodies are joined by the caller.
+    the loop, the bodies are joined by the caller. ``kinds`` has ``sitemap_url, is_index``, ``edges`` ``sitemap_url, child``.
     """
-    edges = materialize(
-        child_sitemaps(sitemaps)
-        .select("sitemap_url", F.col("loc").alias("child"))
-        .distinct()
-    )
-    kinds = materialize(
-        sitemaps.select("sitemap_url", is_index(F.col("body")).alias("is_index")).distinct()
-    )
     level = materialize(roots.select("crawl_id", "sitemap_url").distinct())
     seen = level
     while True:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
+import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import paths
+from pagemill.sources.files import Files
 
 
 def split_safe(files: DataFrame, path: str = "local_path") -> tuple[DataFrame, DataFrame]:
@@ -32,26 +31,14 @@ def write_markdown(files: DataFrame, target: str, partition: str = "host") -> No
 def export_files(
     files: DataFrame, folder: str, path: str = "local_path", text: str = "markdown"
 ) -> DataFrame:
-    """Write one UTF-8 file per row below ``folder``, a path all executors share.
+    """Write one UTF-8 file per row below ``folder``, a place that all executors reach; an existing file is replaced.
 
-    Returns the written paths with their sizes in bytes; an existing file is replaced.
+    Files show when their task has written all of them, and go again if the job fails. Returns the paths
+    written with their sizes in bytes. Rows with an unsafe path are left out (:func:`split_safe` gives them).
     """
     safe, _ = split_safe(files, path)
-
-    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sizes = []
-            for name, body in zip(batch["path"], batch["body"]):
-                target = os.path.join(folder, name)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                data = (body or "").encode("utf-8")
-                # A second attempt of the same task must not leave a half-written file.
-                partial = f"{target}.{os.getpid()}.part"
-                with open(partial, "wb") as f:
-                    f.write(data)
-                os.replace(partial, target)
-                sizes.append(len(data))
-            yield pd.DataFrame({"path": batch["path"], "n_bytes": sizes})
-
+    spark, run = files.sparkSession, uuid.uuid4().hex
+    spark.dataSource.register(Files)
     rows = safe.select(F.col(path).alias("path"), F.col(text).alias("body"))
-    return rows.mapInPandas(save, "path string, n_bytes long")
+    rows.write.format(Files.name()).option("run", run).mode("append").save(folder)
+    return spark.read.schema("path string, n_bytes long").json(f"{folder.rstrip('/')}/_written/{run}")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill import rules
+
 PAGES = T.StructType(
     [
         T.StructField("page_id", T.LongType()),
@@ -42,8 +46,33 @@ def read_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 
 def read_sitemaps(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Captured sitemaps; ``fmt='xml-files'`` takes a folder of raw files instead of a table."""
+    """Captured sitemaps; ``fmt='xml-files'`` takes a folder of raw files, each named ``<host>/<path>`` below it."""
     if fmt == "xml-files":
-        files = spark.read.text(path, wholetext=True)
-        return files.select(F.input_file_name().alias("sitemap_url"), F.col("value").alias("body"))
+        files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+        return files.select(_file_url(path), F.col("value").alias("body"))
     return _read(spark, path, SITEMAPS, fmt)
+
+
+def _file_url(path: str, scheme: str = "https") -> Column:
+    """The address that a file below ``path`` was captured from."""
+    folder = path.rstrip("/").rsplit("://", 1)[-1].removeprefix("file:").lstrip("/")
+    below = F.regexp_extract("_metadata.file_path", rf"(?s)/{re.escape(folder)}/(.*)\z", 1)
+    name = F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B")))
+    return F.concat(F.lit(f"{scheme}://"), F.regexp_replace(name, r"\.gz\z", "")).alias("sitemap_url")
+
+
+def read_sitemap_files(spark: SparkSession, path: str, scheme: str = "https") -> DataFrame:
+    """The records of raw sitemap files, each named ``<host>/<path>`` below ``path``: ``sitemap_url, index, pos, kind, loc``.
+
+    A record ends with each ``</loc>``, so a file of any length is read by many tasks, each from its own part on; compressed files
+    (``.gz``) are read by one. ``kind`` is ``page`` or ``child``, null for records without an entry; ``pos`` orders the records
+    of a file; ``index`` marks the record that says its file is an index. ``operators.sitemaps.from_records`` takes them from here.
+    """
+    lines = spark.read.option("lineSep", "</loc>").option("recursiveFileLookup", "true").text(path)
+    part = F.col("_metadata.file_block_start")
+    df = lines.select(_file_url(path, scheme), part.alias("__part"), F.col("value").alias("v"))
+    page, child = (F.regexp_extract("v", rf"(?s){rx.removesuffix('</loc>')}\z", 1) for rx in (rules.SITEMAP_PAGE, rules.SITEMAP_CHILD))
+    # Within a part the order is that of the rows of its task.
+    df = df.withColumns({"page": page, "child": child, "index": F.col("v").contains("<sitemapindex"), "__row": F.monotonically_increasing_id()})
+    kind = F.when(F.col("page") != "", "page").when(F.col("child") != "", "child")
+    return df.select("sitemap_url", "index", F.struct("__part", "__row").alias("pos"), kind.alias("kind"), F.coalesce(F.nullif("page", F.lit("")), F.nullif("child", F.lit(""))).alias("loc"))

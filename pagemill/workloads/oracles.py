@@ -289,6 +289,11 @@ o(
     "sitemap_urls",
     f"""WITH {DOCS}, {_LOCS} SELECT {_MAPS}pages-' || page_id || '.xml' AS sitemap_url, loc, url_key FROM locs""",
 )
+o(
+    "sitemap_files",
+    f"""WITH {DOCS}, {_LOCS} SELECT {_MAPS}pages-' || page_id || '.xml' AS sitemap_url, loc, 'page' AS kind FROM locs
+UNION ALL SELECT {_MAPS}index-' || page_id || '.xml', unnest([{_MAPS}pages-' || page_id || '.xml', {_MAPS}index-' || page_id * 2 + 1 || '.xml', {_MAPS}index-' || page_id || '.xml']), 'child' FROM pages""",
+)
 _TREE = f"""{DOCS}, {ENTRIES}, tree AS (SELECT crawl_id, page_id AS id FROM entries
   UNION SELECT t.crawl_id, t.id * 2 + 1 FROM tree t JOIN pages p ON p.page_id = t.id),
 got AS (SELECT DISTINCT crawl_id, id FROM tree JOIN pages ON page_id = id)"""

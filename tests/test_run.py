@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
-from pagemill.operators import crawl, links, responses
+from pagemill.operators import crawl, links, responses, sitemaps
 from pagemill.plans import pages as plan
 from pagemill.plans import run as run_plan
 from pagemill.session import materialize_bucketed
@@ -124,6 +124,57 @@ def test_sinks(spark, tmp_path):
     assert sinks.split_safe(df)[1].count() == 1
 
 
+def test_sitemap_files_are_read_in_parts(spark, tmp_path):
+    import gzip
+
+    site_ = tmp_path / "maps" / "e.com"
+    (site_ / "deep").mkdir(parents=True)
+    entries = "\n".join(f"<url>\n <loc> https://e.com/docs/{i} </loc><lastmod>x</lastmod></url>" for i in range(50_000))
+    (site_ / "big map.xml").write_text(f"<?xml version='1.0'?><urlset>{entries}</urlset>")
+    with gzip.open(site_ / "small.xml.gz", "wt") as f:
+        f.write("<urlset><url><loc>https://e.com/a</loc></url><url><x/><loc>https://e.com/b</loc></url><url><loc>no url</loc></url></urlset>")
+    index = "".join(f"<sitemap><loc>https://e.com/{n}</loc></sitemap>" for n in ("big map.xml", "small.xml", "gone.xml", "deep/none.xml"))
+    (site_ / "index.xml").write_text(f"<sitemapindex>{index}</sitemapindex>")
+    (site_ / "deep" / "none.xml").write_text("<urlset></urlset>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400k")
+    try:
+        records = tables.read_sitemap_files(spark, str(tmp_path / "maps"))
+        big = records.filter("kind = 'page' AND sitemap_url LIKE '%big%'").select(F.spark_partition_id().alias("p"), "pos", "loc")
+        assert big.select("p").distinct().count() > 5
+        kinds, children, pages = sitemaps.from_records(records)
+        locs = [r.loc for r in pages.filter("sitemap_url LIKE '%big%'").orderBy("pos").collect()]
+        assert locs == [f"https://e.com/docs/{i}" for i in range(50_000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    roots = spark.createDataFrame([("c", "https://e.com/index.xml")], "crawl_id string, sitemap_url string")
+    reached, missing = sitemaps.expand_links(kinds, children, roots)
+    name = lambda df: sorted(r.sitemap_url for r in df.collect())
+    assert name(reached) == ["https://e.com/big map.xml", "https://e.com/deep/none.xml", "https://e.com/small.xml"]
+    assert name(missing) == ["https://e.com/gone.xml"]
+    assert [r.loc for r in pages.filter("sitemap_url LIKE '%small%'").collect()] == ["https://e.com/a"]
+    whole = tables.read_sitemaps(spark, str(tmp_path / "maps"), fmt="xml-files")
+    assert sorted(r.sitemap_url for r in whole.collect()) == sorted(r.sitemap_url for r in kinds.collect())
+
+
+def test_export_replaces_and_failed_jobs_leave_nothing(spark, tmp_path):
+    folder = tmp_path / "out"
+    rows = [(i, f"d{i % 3}/p{i}.md", f"text {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "i int, local_path string, markdown string").repartition(4)
+    assert sinks.export_files(df, str(folder)).count() == 40
+    again = df.filter("i < 5").withColumn("markdown", F.lit(None).cast("string"))
+    assert {r.n_bytes for r in sinks.export_files(again, str(folder)).collect()} == {0}
+    assert (folder / "d0/p3.md").read_text() == "" and (folder / "d0/p9.md").read_text() == "text 9"
+    # A row that fails, the last of its task: neither what this task nor what other tasks wrote is left.
+    bad = df.withColumn("local_path", F.concat(F.lit("new/"), "local_path")).sortWithinPartitions("i")
+    bad = bad.withColumn("markdown", F.when(F.col("i") == 39, F.raise_error(F.lit("torn page"))).otherwise(F.col("markdown")))
+    with pytest.raises(Exception, match="torn page"):
+        sinks.export_files(bad, str(folder))
+    left = [p for p in folder.rglob("*.md")]
+    assert len(left) == 40 and not [p for p in left if "new" in str(p)]
+    assert sum(r.n_bytes for r in sinks.export_files(df, f"file://{folder}").collect()) == sum(len(t) for _, _, t in rows)
+
+
 def test_arrivals(spark, tmp_path):
     source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     site(spark).filter("page_id < 3").write.parquet(source)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import fresh, WORD, Scratch
+from pagemill.llm.common import WORD, Scratch, fresh
 
 #: Rounds of the permutation; rows that share one step of a running total.
 _ROUNDS, _STEP = 20, 1000

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,31 @@ def read_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     return _read(spark, path, RESPONSES, fmt)
 
 
+def read_checked_responses(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Captured responses with ``reject``, why a row is of no use, and ``record``, its raw text where it could not be read.
+
+    Nothing is dropped: rows with a ``reject`` are the side output, those without are responses. ``fmt`` is ``json`` (one record a line) or a
+    table format, whose rows are always readable.
+    """
+    if fmt == "json":
+        schema = T.StructType([*RESPONSES.fields, T.StructField("record", T.StringType())])
+        df = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "record").json(path)
+    else:
+        df = _read(spark, path, RESPONSES, fmt).withColumn("record", F.lit(None).cast("string"))
+    reject = (
+        F.when(F.col("record").isNotNull(), "unreadable record")
+        .when(F.coalesce(F.btrim("url"), F.lit("")) == "", "no url")
+        .when(F.col("adapter").isNull(), "no adapter")
+        .when(~F.col("adapter").isin(*rules.ADAPTERS), F.concat(F.lit("unknown adapter: "), F.col("adapter")))
+    )
+    return df.withColumn("reject", reject)
+
+
+def counted(checked: DataFrame, observation: Observation) -> DataFrame:
+    """The same rows; ``observation`` gets their number and that of rejects from whatever job reads them, without a pass of its own."""
+    return checked.observe(observation, F.count(F.lit(1)).alias("rows"), F.count("reject").alias("rejected"))
+
+
 def read_sitemaps(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Captured sitemaps; ``fmt='xml-files'`` takes a folder of raw files, each named ``<host>/<path>`` below it."""
     if fmt == "xml-files":

@@ -312,6 +312,22 @@ def site_map_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.select(url.alias("url"), F.when(F.col("site") % 11 == 10, 404).otherwise(200).alias("status"))
 
 
+# Lines as a capture job may leave them: most are responses, some are torn, empty or of an adapter that nobody knows.
+RESPONSE_URL = f"CASE WHEN page_id % 11 = 3 AND ord = 1 THEN NULL ELSE {SITE_URL} END"
+RESPONSE_ADAPTER = "CASE WHEN page_id % 13 = 5 AND ord = 2 THEN 'gopher' ELSE adapter END"
+TORN = "page_id % 7 = 2 AND ord = 0"
+
+
+def response_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "pages").select("page_id")
+    names = F.array(*[F.lit(n) for n in ("md-endpoint", "mdx", "jina", "playwright")])
+    df = df.select("page_id", F.posexplode(names).alias("ord", "adapter"))
+    row = F.struct(F.expr(RESPONSE_URL).alias("url"), F.expr(RESPONSE_ADAPTER).alias("adapter"), F.expr(STATUS).alias("status"),
+        F.expr(CONTENT_TYPE).alias("content_type"), F.expr(BODY).alias("body"))
+    torn = F.concat(F.lit('{"url": "https://torn.example.com/'), "page_id")
+    return df.select(F.when(F.expr(TORN), torn).otherwise(F.to_json(row)).alias("value"))
+
+
 def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plain sitemap and an index per page; indexes form a tree with loops."""
     df = doc_pages(spark, sf_dir).select("page_id", "url")

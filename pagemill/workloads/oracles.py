@@ -574,6 +574,15 @@ resp AS (SELECT page_id, ord, adapter, host, url, status, {d.BODY} AS body, CASE
  WHEN 'jina' THEN CASE WHEN bad <> '' THEN 'Jina Reader error: ' || status || ' ' WHEN b = 3 THEN 'Jina Reader returned empty content' END
  ELSE CASE WHEN bad <> '' THEN bad WHEN b = 3 THEN 'Empty content extracted from ' || host WHEN b = 6 THEN 'Content blocked by ' || host || ' (bot detection)' END
  END AS error FROM resp1)"""
+_LINES = f"""names(ord, adapter) AS (VALUES (0, 'md-endpoint'), (1, 'mdx'), (2, 'jina'), (3, 'playwright')),
+made AS (SELECT page_id, {d.TORN} AS torn, {d.RESPONSE_URL} AS url, {d.RESPONSE_ADAPTER} AS adapter, {d.STATUS} AS status, {d.CONTENT_TYPE} AS content_type, {d.BODY} AS body FROM pages, names)"""
+o(
+    "responses_read",
+    f"""WITH {_LINES} SELECT CASE WHEN NOT torn THEN url END AS url, CASE WHEN NOT torn THEN adapter END AS adapter, CASE WHEN NOT torn THEN status END AS status,
+  CASE WHEN NOT torn THEN content_type END AS content_type, CASE WHEN NOT torn THEN md5(body) END AS body_md5,
+  CASE WHEN torn THEN 'unreadable record' WHEN url IS NULL THEN 'no url' WHEN adapter = 'gopher' THEN 'unknown adapter: gopher' END AS reject,
+  CASE WHEN torn THEN '{{"url": "https://torn.example.com/' || page_id END AS record FROM made""",
+)
 for _name, _adapter in (("validate_md", "md-endpoint"), ("validate_mdx", "mdx"), ("validate_reader", "jina")):
     o(_name, f"WITH {_RESP} SELECT page_id, error FROM resp WHERE adapter = '{_adapter}'")
 _APPLIES = f"(ord = 1 AND {_MD}) OR (ord = 2 AND {_MDX}) OR ord >= 3"

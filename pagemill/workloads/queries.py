@@ -530,6 +530,15 @@ def blocked_advice(spark, sf):
     return df.select("doc_id", content.blocked_advice(F.col("reason")).alias("advice"))
 
 
+@query
+def responses_read(spark, sf):
+    """Response lines written by a capture job and read back: what is usable, and why the rest is not."""
+    folder = f"{shared_folder(spark).rstrip('/')}/responses-{uuid.uuid4().hex}"
+    d.response_lines(spark, sf).write.text(folder)
+    df = tables.read_checked_responses(spark, folder)
+    return df.select("url", "adapter", "status", "content_type", F.md5("body").alias("body_md5"), "reject", "record")
+
+
 def _checked(spark, sf, adapter):
     df = d.responses(spark, sf).filter(F.col("adapter") == adapter)
     return responses.with_response_error(df).select("page_id", "error")

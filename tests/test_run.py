@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
@@ -157,6 +158,20 @@ def test_sitemap_files_are_read_in_parts(spark, tmp_path):
     assert sorted(r.sitemap_url for r in whole.collect()) == sorted(r.sitemap_url for r in kinds.collect())
 
 
+def test_rejects_are_kept_and_counted(spark, tmp_path):
+    lines = ['{"url": "https://e.com/a", "adapter": "mdx", "status": 200, "body": "x"}', '{"url": "https://e.com/b", "adapter": "mdx"', "not json", '{"url": " ", "adapter": "mdx"}',
+        '{"url": "https://e.com/c", "status": "many", "adapter": "jina"}', '{"url": "https://e.com/d"}', '{"url": "https://e.com/e", "adapter": "ftp"}']
+    (tmp_path / "r.json").write_text("\n".join(lines))
+    seen = Observation()
+    df = tables.counted(tables.read_checked_responses(spark, str(tmp_path / "r.json")), seen)
+    got = [(r.url, r.reject, r.record) for r in df.collect()]
+    assert [r for _, r, _ in got] == [None, "unreadable record", "unreadable record", "no url", "unreadable record", "no adapter", "unknown adapter: ftp"]
+    assert [x for _, _, x in got if x] == [lines[1], lines[2], lines[4]]
+    assert seen.get == {"rows": 7, "rejected": 6}
+    spark.createDataFrame([("https://e.com/a", "mdx", 200, None, "x"), (None, "mdx", 200, None, "x")], RESPONSES).write.parquet(str(tmp_path / "p"))
+    assert tables.read_checked_responses(spark, str(tmp_path / "p"), "parquet").filter("reject IS NULL").count() == 1
+
+
 def test_export_replaces_and_failed_jobs_leave_nothing(spark, tmp_path):
     folder = tmp_path / "out"
     rows = [(i, f"d{i % 3}/p{i}.md", f"text {i}") for i in range(40)]

@@ -456,11 +456,13 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     inside = found.filter("kind = 2").select(cell, F.col("a").alias("g")).unionByName(several.select("cell", "g"))
     # First the likeliest, then all that are left.
     for limit in (4, None):
-        place = inside.join(sets, "g").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        place = place.withColumn("component", F.coalesce("component", "rep"))
+        place = inside.join(sets.select("g", "rep", "n"), "g").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+        place = scratch.keep(place.withColumn("component", F.coalesce("component", "rep")))
         open_ = place.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
         open_ = scratch.keep(open_.select("cell"))
-        place = place.join(open_, "cell", "left_semi").select("cell", "g", "rep", "n", "bits", "component")
+        # Bits go to members of cells that are still in several components, no others.
+        place = scratch.keep(place.join(open_, "cell", "left_semi"))
+        place = place.join(sets.select("g", "rep", "bits"), ["g", "rep"]).select("cell", "g", "rep", "n", "bits", "component")
         more = lists.join(open_, "cell", "left_semi").groupBy("cell").cogroup(place.groupBy("cell")).applyInArrow(_between(limit), "a long, b long")
         more = scratch.keep(ordered(more, "a", "b").join(pairs, ["a", "b"], "left_anti"))
         if more.isEmpty():

@@ -277,6 +277,28 @@ def _first_round(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
         yield _found(0, bucket, len(a), a, b)
 
 
+def _mixed_lists(lists: pa.Table, g: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """The lists of a cell that are in several components: places of their members, whose groups ``g`` ascend, and the largest component."""
+    single = lists.filter(pc.is_null(lists["data"]))  # the list of a group: a row for each group in it
+    packed = [_unpack(x, (np.uint64, np.int64)) for x in lists["data"].drop_null().to_pylist()]
+    for token, own in [*packed, (single["token"].to_numpy(), single["g"].to_numpy())]:
+        for one in np.split(own, np.flatnonzero(np.diff(token)) + 1) if len(own) else ():
+            lo, hi = np.searchsorted(g, one), np.searchsorted(g, one, "right")
+            at = np.concatenate([np.arange(x, y) for x, y in zip(lo, hi)])
+            names, counts = np.unique(comp[at], return_counts=True)
+            if len(names) > 1:
+                yield at, names[counts.argmax()]
+
+
+def _unsettled(key, lists, members):
+    """The members of a cell that are in a list of several components."""
+    members = members.sort_by([("g", "ascending"), ("rep", "ascending")])
+    open_ = np.zeros(len(members), bool)
+    for at, _ in _mixed_lists(lists, members["g"].to_numpy(), members["component"].to_numpy()):
+        open_[at] = True
+    return members.filter(pa.array(open_))
+
+
 def _between(limit: int | None):
     """Pairs of members of the lists of a cell that are in different components and whose bits allow the threshold: for each member outside
     the largest component of a list all of them, or the ``limit`` with the most bits in common."""
@@ -289,17 +311,10 @@ def _between(limit: int | None):
         if len(g) and comp.min() != comp.max():
             bits = np.frombuffer(b"".join(members.column("bits").take(pa.array(by)).to_pylist()), np.uint64).reshape(len(g), -1)
             mixed_lists, lists_of = [], {}
-            single = lists.filter(pc.is_null(lists["data"]))  # the list of a group: a row for each group in it
-            packed = [_unpack(x, (np.uint64, np.int64)) for x in lists["data"].drop_null().to_pylist()]
-            for token, own in [*packed, (single["token"].to_numpy(), single["g"].to_numpy())]:
-                for one in np.split(own, np.flatnonzero(np.diff(token)) + 1) if len(own) else ():
-                    lo, hi = np.searchsorted(g, one), np.searchsorted(g, one, "right")
-                    at = np.concatenate([np.arange(x, y) for x, y in zip(lo, hi)])
-                    names, counts = np.unique(comp[at], return_counts=True)
-                    if len(names) > 1:
-                        for i in at[comp[at] != names[counts.argmax()]].tolist():
-                            lists_of.setdefault(i, []).append(len(mixed_lists))
-                        mixed_lists.append(at)
+            for at, main in _mixed_lists(lists, g, comp):
+                for i in at[comp[at] != main].tolist():
+                    lists_of.setdefault(i, []).append(len(mixed_lists))
+                mixed_lists.append(at)
             there = np.zeros(len(g), bool)
             for i, own in lists_of.items():
                 there[:] = False
@@ -457,11 +472,11 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     # First the likeliest, then all that are left.
     for limit in (4, None):
         place = inside.join(sets.select("g", "rep", "n"), "g").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        place = scratch.keep(place.withColumn("component", F.coalesce("component", "rep")))
-        open_ = place.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-        open_ = scratch.keep(open_.select("cell"))
-        # Bits go to members of cells that are still in several components, no others.
-        place = scratch.keep(place.join(open_, "cell", "left_semi"))
+        place = place.select("cell", "g", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        place = lists.groupBy("cell").cogroup(place.groupBy("cell")).applyInArrow(_unsettled, place.schema)
+        place = scratch.keep(place)
+        # Bits go to members of lists that are still in several components, no others.
+        open_ = place.select("cell").distinct()
         place = place.join(sets.select("g", "rep", "bits"), ["g", "rep"]).select("cell", "g", "rep", "n", "bits", "component")
         more = lists.join(open_, "cell", "left_semi").groupBy("cell").cogroup(place.groupBy("cell")).applyInArrow(_between(limit), "a long, b long")
         more = scratch.keep(ordered(more, "a", "b").join(pairs, ["a", "b"], "left_anti"))

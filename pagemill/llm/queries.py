@@ -54,7 +54,7 @@ def op8_mixing(spark, sf):
 def op7_line_dedup(spark, sf):
     from pagemill.llm import lines
 
-    out = lines.remove_repeats(table(spark, sf, "documents"))
+    out = lines.remove_repeats(table(spark, sf, "documents"), long_words=50)
     return out.select(
         "doc_id",
         F.col("removed_lines").cast("long").alias("removed_lines"),
@@ -71,7 +71,9 @@ counted AS (SELECT doc_id, lo, l, l[lo + 1] AS a, l[lo + 2] AS b, l[lo + 3] AS c
   len(regexp_extract_all(coalesce(l[lo + 2], ''), '[^\x20\x09-\x0D]+')) AS nb,
   len(regexp_extract_all(coalesce(l[lo + 3], ''), '[^\x20\x09-\x0D]+')) AS nc FROM lines),
 windows AS (
-  SELECT doc_id, lo, lo + 2 AS hi, [a, b, c] AS w FROM counted WHERE lo + 2 < len(l) AND na + nb + nc > 0),
+  SELECT doc_id, lo, lo + 2 AS hi, [a, b, c] AS w FROM counted WHERE lo + 2 < len(l) AND na + nb + nc > 0
+  UNION ALL SELECT doc_id, lo, lo, [a] FROM counted WHERE na >= 50
+  UNION ALL SELECT doc_id, lo, lo + 1, [a, b] FROM counted WHERE na < 50 AND lo + 1 < len(l) AND na + nb >= 50),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, lo) AS r FROM windows),
 gone AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS i FROM ranked WHERE r > 1),
 kept AS (SELECT d.doc_id, d.lo AS i, d.l[d.lo + 1] AS line FROM lines d

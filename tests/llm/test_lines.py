@@ -51,3 +51,19 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r.doc_id or 0, r.text) for r in lines.remove_repeats(df).collect())
     assert got == [(0, "p\nq\nr"), (1, "a\nb\nc"), (1, "a\nb\nc"), (2, "")]
     assert lines.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_query_and_stage_take_long_lines(spark, tmp_path):
+    import corpus_pipeline
+    from pagemill.llm.queries import QUERIES
+
+    long_ = " ".join(f"w{i}" for i in range(55))
+    half = " ".join(f"h{i}" for i in range(30))
+    rows = [(1, f"q\n{long_}\nr"), (2, f"s\n{long_}\nt"), (3, f"{half}\n{half}"), (4, f"k\n{half}\n{half}\nm")]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute(rows, 50)
+    assert want != brute(rows)
+    got = QUERIES["op7_line_dedup"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.removed_lines, r.kept_chars) for r in got] == [(t.count("\n") - w.count("\n"), len(w)) for (_, t), w in zip(rows, want)]
+    assert [r.text for r in corpus_pipeline.line_dedup(spark, docs, "").orderBy("doc_id").collect()] == want

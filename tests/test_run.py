@@ -158,6 +158,26 @@ def test_sitemap_files_are_read_in_parts(spark, tmp_path):
     assert sorted(r.sitemap_url for r in whole.collect()) == sorted(r.sitemap_url for r in kinds.collect())
 
 
+def test_short_sitemap_files_are_read_once(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "maps" / "e.com"
+    folder.mkdir(parents=True)
+    bodies = {"a": "<urlset><url><loc>https://e.com/1</loc></url><url><loc>https://e.com/ü</loc></url></urlset>", "b": "<url><loc>https://e.com/2</loc>", "c": "", "d": "<loc></loc>",
+        "e": "<sitemapindex><sitemap><loc>https://e.com/a.xml</loc></sitemap></sitemapindex>"}
+    for name, body in bodies.items():
+        (folder / f"{name}.xml").write_text(body, encoding="utf-8")
+    (folder / "plain").write_text(bodies["a"], encoding="utf-8")
+    read = lambda: sorted(tables.read_sitemap_files(spark, str(tmp_path / "maps")).select("sitemap_url", "index", "kind", "loc").collect(), key=str)
+    whole = read()
+    monkeypatch.setattr(tables, "_SHORT_FILE", -1)
+    assert read() == whole and len(whole) == 10
+    monkeypatch.undo()
+    kinds, children, pages = sitemaps.from_records(tables.read_sitemap_files(spark, str(tmp_path / "maps")))
+    for df in (kinds, children, pages):  # the files have been read by then
+        assert str(folder) not in "".join(df.inputFiles())
+    assert sorted(r.loc for r in pages.collect()) == ["https://e.com/1", "https://e.com/1", "https://e.com/2", "https://e.com/ü", "https://e.com/ü"]
+    assert [r.child for r in children.collect()] == ["https://e.com/a.xml"]
+
+
 def test_rejects_are_kept_and_counted(spark, tmp_path):
     lines = ['{"url": "https://e.com/a", "adapter": "mdx", "status": 200, "body": "x"}', '{"url": "https://e.com/b", "adapter": "mdx"', "not json", '{"url": " ", "adapter": "mdx"}',
         '{"url": "https://e.com/c", "status": "many", "adapter": "jina"}', '{"url": "https://e.com/d"}', '{"url": "https://e.com/e", "adapter": "ftp"}']

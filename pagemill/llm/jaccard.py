@@ -387,7 +387,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     number = place + 1  # the functions below count from one
     maps = ids.groupBy(F.bitmap_bucket_number(number).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
     taken = np.zeros(bits // 8, np.uint8)
-    for r in maps.toLocalIterator():
+    for r in maps.collect():  # 16 MB at most, in one job rather than one for each partition
         taken[(r.row - 1) * 4096 : r.row * 4096] = np.frombuffer(r.bits, np.uint8)
     shared = spark.sparkContext.broadcast(taken)
     sets = rows.withColumn("place", place).mapInArrow(_sets(shared), "id long, x binary")
@@ -410,7 +410,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     # The sketch has a fixed size, so it may come to the driver and go to every task.
     sketch = described.filter("kind = 1").groupBy("id").applyInArrow(_sum_rows, "id long, data binary")
     counts = np.zeros((_CELLS // _ROW, _ROW), np.uint64)
-    for r in sketch.toLocalIterator():
+    for r in sketch.collect():  # in one job; an iterator takes one for each partition
         counts[r.id] = np.frombuffer(r.data, np.uint64)
     order = np.unique(counts.ravel(), return_inverse=True)[1].astype(np.uint32)
     entries = members.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0

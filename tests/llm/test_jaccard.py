@@ -140,3 +140,13 @@ def test_repeated_ids_nulls_and_empty_tables(spark):
     kept = sorted((r.doc_id or 0, r.text or "") for r in jaccard.one_of_each(df).collect())
     assert kept == [(0, ""), (0, a), (3, ""), (5, a)]
     assert jaccard.linked(df.limit(0)).count() == 0 and jaccard.one_of_each(df.limit(0)).count() == 0
+
+
+def test_fixed_size_tables_come_in_one_job(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "x y")], "doc_id long, text string")
+
+    def one_job_for_each_partition(*_, **__):
+        raise AssertionError("an iterator takes a job for each partition")
+
+    monkeypatch.setattr(type(docs), "toLocalIterator", one_job_for_each_partition)
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.linked(docs).collect()) == [(1, 1), (2, 1), (3, 3)]

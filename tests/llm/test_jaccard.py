@@ -150,3 +150,14 @@ def test_fixed_size_tables_come_in_one_job(spark, monkeypatch):
 
     monkeypatch.setattr(type(docs), "toLocalIterator", one_job_for_each_partition)
     assert sorted((r.doc_id, r.component_id) for r in jaccard.linked(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_remembered_words_are_few():
+    from pagemill.llm import shingles as module
+
+    module._words.clear()
+    text = " ".join(f"word{i}" for i in range(120_000))
+    whole = shingles(text)
+    assert len(whole) == 120_000 - 4 and len(module._words) <= 50_000
+    assert (shingles(text) == whole).all()
+    module._words.clear()

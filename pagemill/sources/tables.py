@@ -86,7 +86,7 @@ def _file_url(path: str, scheme: str = "https") -> Column:
     return F.concat(F.lit(f"{scheme}://"), F.regexp_replace(name, r"\.gz\z", "")).alias("sitemap_url")
 
 
-#: Files of this many bytes at most are read as a whole, which opens them in a tenth of the time that a reader of records takes.
+#: Files of this many bytes at most are read as a whole: opening a reader of records costs more than reading so little.
 _SHORT_FILE = 1 << 20
 
 

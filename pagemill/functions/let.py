@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +18,8 @@ def let(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     row = F.struct(*[value.alias(name) for name, value in columns.items()])
     kept = [c for c in df.columns if c not in columns]
     return df.select(*kept, F.inline(F.array(row)))
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, within one expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -9,14 +9,14 @@ IPv6 literals, user names and non-ASCII hosts make a URL invalid rather than wro
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill import rules
-from pagemill.functions.let import let
+from pagemill.functions.let import let, once
 
 _URL = r"(?is)\A(https?):[/\\]*([^/?#\\]*)([^?#]*)(\?[^#]*)?(#.*)?\z"
 _CUT = "\x1f"
@@ -85,67 +85,100 @@ def with_url_parts(df: DataFrame, url: str, prefix: str = "") -> DataFrame:
     """
     p = prefix
     cut, authority = f"{p}__cut", f"{p}__auth"
-    # One match for all parts: they are put side by side with a separator and split again.
+    named = {"auth": authority}
+    df = df.withColumn(cut, _cut(F.col(url)))
+    df = df.withColumns({named.get(n, f"{p}{n}"): c for n, c in _pieces(F.col(cut)).items()})
+    df = df.withColumns({f"{p}{n}": c for n, c in _located(F.col(authority), F.col(f"{p}path")).items()})
+    scheme, port = F.col(f"{p}scheme"), F.col(f"{p}port")
+    keep = lambda name: F.when(F.col(f"{p}__ok"), F.col(f"{p}{name}"))
+    df = df.withColumns({f"{p}__ok": _is_valid(scheme, F.col(authority), port), f"{p}port": _own_port(scheme, port)})
+    return let(df, {f"{p}{n}": keep(n) for n in PARTS}).drop(cut, authority, f"{p}__ok")
+
+
+#: The parts of a URL.
+PARTS = ("scheme", "host", "port", "path", "query", "fragment")
+
+
+def _cut(url: Column) -> Column:
+    """One match for all parts: they are put side by side with a separator and split again."""
     side_by_side = F.regexp_replace(
-        F.translate(trimmed(F.col(url)), _CUT, ""), _URL, _CUT.join(f"${i}" for i in range(1, 6))
-    )
-    df = df.withColumn(cut, F.split(side_by_side, _CUT))
-    part = lambda i: F.get(F.col(cut), F.lit(i))
-    is_url = F.size(F.col(cut)) == 5
-    df = df.withColumns(
-        {
-            f"{p}scheme": F.when(is_url, F.lower(part(0))),
-            authority: F.lower(part(1)),
-            f"{p}path": escape_path(part(2)),
-            f"{p}query": part(3),
-            f"{p}fragment": part(4),
-        }
+        F.translate(trimmed(url), _CUT, ""), _URL, _CUT.join(f"${i}" for i in range(1, 6))
     )
-    a = F.col(authority)
-    port = F.when(a.contains(":"), F.regexp_extract(a, r":(\d+)\z", 1)).otherwise("")
-    df = df.withColumns(
-        {
-            f"{p}host": F.split_part(a, F.lit(":"), F.lit(1)),
-            f"{p}port": port,
-            f"{p}path": F.when(F.col(f"{p}path") == "", "/").otherwise(
-                fold_dots(F.col(f"{p}path"))
-            ),
-        }
-    )
-    scheme, port = F.col(f"{p}scheme"), F.col(f"{p}port")
+    return F.split(side_by_side, _CUT)
+
+
+def _pieces(cut: Column) -> dict[str, Column]:
+    part = lambda i: F.get(cut, F.lit(i))
+    return {
+        "scheme": F.when(F.size(cut) == 5, F.lower(part(0))),
+        "auth": F.lower(part(1)),
+        "path": escape_path(part(2)),
+        "query": part(3),
+        "fragment": part(4),
+    }
+
+
+def _located(authority: Column, path: Column) -> dict[str, Column]:
+    return {
+        "host": F.split_part(authority, F.lit(":"), F.lit(1)),
+        "port": F.when(authority.contains(":"), F.regexp_extract(authority, r":(\d+)\z", 1)).otherwise(""),
+        "path": F.when(path == "", "/").otherwise(fold_dots(path)),
+    }
+
+
+def _is_valid(scheme: Column, authority: Column, port: Column) -> Column:
     valid = (
         scheme.isNotNull()
-        & a.rlike(_AUTHORITY)
+        & authority.rlike(_AUTHORITY)
         & (F.when(port == "", 0).otherwise(port.try_cast("int")) <= 65535)
     )
+    return F.coalesce(valid, F.lit(False))
+
+
+def _own_port(scheme: Column, port: Column) -> Column:
     default_port = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    keep = lambda name: F.when(F.col(f"{p}__ok"), F.col(f"{p}{name}"))
-    df = df.withColumns(
-        {
-            f"{p}__ok": F.coalesce(valid, F.lit(False)),
-            f"{p}port": F.when(default_port, "").otherwise(port),
-        }
-    )
-    names = ("scheme", "host", "port", "path", "query", "fragment")
-    return let(df, {f"{p}{n}": keep(n) for n in names}).drop(cut, authority, f"{p}__ok")
+    return F.when(default_port, "").otherwise(port)
 
 
-def origin(prefix: str = "") -> Column:
-    """Scheme, host and port of the parts made by :func:`with_url_parts`."""
-    port = F.col(f"{prefix}port")
+def _url_parts(url: Column) -> Column:
+    """What :func:`with_url_parts` adds, as one struct within an expression; null when invalid."""
+
+    def found(p: Column) -> Column:
+        located = {"scheme": p["scheme"], "auth": p["auth"], "query": p["query"], "fragment": p["fragment"], **_located(p["auth"], p["path"])}
+        return once(F.struct(*[c.alias(n) for n, c in located.items()]), checked)
+
+    def checked(p: Column) -> Column:
+        out = {n: p[n] for n in PARTS} | {"port": _own_port(p["scheme"], p["port"])}
+        return F.when(_is_valid(p["scheme"], p["auth"], p["port"]), F.struct(*[c.alias(n) for n, c in out.items()]))
+
+    return once(_cut(url), lambda cut: once(F.struct(*[c.alias(n) for n, c in _pieces(cut).items()]), found))
+
+
+def _origin(part: Callable[[str], Column]) -> Column:
+    port = part("port")
     return F.concat(
-        F.col(f"{prefix}scheme"),
+        part("scheme"),
         F.lit("://"),
-        F.col(f"{prefix}host"),
+        part("host"),
         F.when(port == "", "").otherwise(F.concat(F.lit(":"), port)),
     )
 
 
+def origin(prefix: str = "") -> Column:
+    """Scheme, host and port of the parts made by :func:`with_url_parts`."""
+    return _origin(lambda name: F.col(f"{prefix}{name}"))
+
+
 def normalized(prefix: str = "") -> Column:
     """The page URL: no query, no fragment, trailing slash kept."""
     return F.concat(origin(prefix), F.col(f"{prefix}path"))
 
 
+def _complete(part: Callable[[str], Column]) -> Column:
+    """The whole URL, query and fragment escaped."""
+    return F.concat(_origin(part), part("path"), _escape(part("query"), _QUERY_KEPT), _escape(part("fragment"), _FRAGMENT_KEPT))
+
+
 def key_path(path: Column) -> Column:
     """The path without one trailing slash, unless it is the root."""
     short = F.left(path, F.length(path) - 1)
@@ -217,28 +250,42 @@ def with_resolved(df: DataFrame, base: str, raw: str, prefix: str = "to_") -> Da
     the result is no URL. A reference with another scheme keeps its text as ``url`` and has
     an empty host.
     """
-    p, r = prefix, F.col(f"{prefix}__r")
+    p = prefix
     b = lambda n: F.col(f"{base}{n}")
     df = df.withColumn(f"{p}__r", trimmed(F.col(raw)))
+    df = df.withColumn(f"{p}__abs", _absolute(b, F.col(f"{p}__r")))
+    df = with_url_parts(df, f"{p}__abs", p)
+    is_other = F.when(b("host").isNotNull() & F.col(f"{p}__abs").isNull(), F.col(f"{p}__r"))
+    full = _complete(lambda n: F.col(f"{p}{n}"))
+    return let(df, {f"{p}url": F.coalesce(full, is_other)}).drop(f"{p}__r", f"{p}__abs")
+
+
+def _absolute(b: Callable[[str], Column], r: Column) -> Column:
+    """A reference as an absolute URL, not yet taken apart; null where it is none."""
     absolute = r.rlike(r"(?i)\Ahttps?:")
     other = r.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:") & ~absolute
     folder = F.regexp_extract(b("path"), r"(?s)\A(.*/)", 1)
-    df = df.withColumn(
-        f"{p}__abs",
+    return (
         F.when(b("host").isNull() | other, F.lit(None))
         .when(absolute, r)
         .when(r.rlike(r"\A[/\\]{2}"), F.concat(b("scheme"), F.lit(":"), r))
-        .when(r.rlike(r"\A[/\\]"), F.concat(origin(base), r))
-        .when(r == "", F.concat(origin(base), b("path"), b("query")))
-        .when(r.startswith("?"), F.concat(origin(base), b("path"), r))
-        .when(r.startswith("#"), F.concat(origin(base), b("path"), b("query"), r))
-        .otherwise(F.concat(origin(base), folder, r)),
-    )
-    df = with_url_parts(df, f"{p}__abs", p)
-    is_other = F.when(b("host").isNotNull() & F.col(f"{p}__abs").isNull(), F.col(f"{p}__r"))
-    full = F.concat(
-        normalized(p),
-        _escape(F.col(f"{p}query"), _QUERY_KEPT),
-        _escape(F.col(f"{p}fragment"), _FRAGMENT_KEPT),
+        .when(r.rlike(r"\A[/\\]"), F.concat(_origin(b), r))
+        .when(r == "", F.concat(_origin(b), b("path"), b("query")))
+        .when(r.startswith("?"), F.concat(_origin(b), b("path"), r))
+        .when(r.startswith("#"), F.concat(_origin(b), b("path"), b("query"), r))
+        .otherwise(F.concat(_origin(b), folder, r))
     )
-    return let(df, {f"{p}url": F.coalesce(full, is_other)}).drop(f"{p}__r", f"{p}__abs")
+
+
+def resolved(base: str, raw: Column) -> Column:
+    """The ``url`` of :func:`with_resolved` as an expression, for rows of which few hold a reference: the others cost one test.
+
+    As columns, the steps run for every row, and their code is so long that the JVM interprets it.
+    """
+    b = lambda n: F.col(f"{base}{n}")
+
+    def complete(r: Column, a: Column, to: Column) -> Column:
+        return F.coalesce(_complete(lambda n: to[n]), F.when(b("host").isNotNull() & a.isNull(), r))
+
+    url = once(trimmed(raw), lambda r: once(_absolute(b, r), lambda a: once(_url_parts(a), lambda to: complete(r, a, to))))
+    return F.when(raw.isNotNull(), url)

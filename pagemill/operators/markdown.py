@@ -56,7 +56,7 @@ def with_reference(tokens: DataFrame, base: str) -> DataFrame:
         F.col("__raw").rlike(r"\A(?:http|data:)")
     )
     df = df.withColumn("__rel", F.when(~kept, F.col("__raw")))
-    df = urls.with_resolved(df, base, "__rel", "__to_")
+    df = df.withColumn("__to_url", urls.resolved(base, F.col("__rel")))
     # One decoding for all attribute values of a tag; a value cannot hold the separator.
     values = [F.coalesce("__to_url", "__raw"), F.col("title"), F.col("alt")]
     df = df.withColumn("__values", F.concat_ws("\x1f", *[F.coalesce(v, F.lit("")) for v in values]))
@@ -73,7 +73,7 @@ def with_reference(tokens: DataFrame, base: str) -> DataFrame:
     )
     parts = ("scheme", "host", "port", "path", "query", "fragment")
     return df.drop(
-        "__raw", "__rel", "__to_url", "__values", *[f"{p}{n}" for p in ("__to_", base) for n in parts]
+        "__raw", "__rel", "__to_url", "__values", *[f"{base}{n}" for n in parts]
     )
 
 
@@ -388,7 +388,7 @@ def html_to_markdown(
     """One Markdown text per page from its tokens.
 
     The tokens need ``ref`` and ``parent_lang``; the columns in ``carry`` are the same on all
-    tokens of a page and are kept. Pages without any token are not in the result.
+    tokens of a page, or null on all but one, and are kept. Pages without any token are not in the result.
     """
     df = _running(tokens, key)
     in_order = Window.partitionBy(*regions.keys(key)).orderBy("pos")
@@ -398,7 +398,7 @@ def html_to_markdown(
     df = _with_pieces(df)
     pieces = F.array_sort(F.collect_list(F.when(F.col("__out") != "", F.struct("pos", "__out"))))
     df = df.groupBy(*regions.keys(key)).agg(
-        pieces.alias("__pieces"), *[F.first(c).alias(c) for c in carry]
+        pieces.alias("__pieces"), *[F.first(c, ignorenulls=True).alias(c) for c in carry]
     )
     df = df.withColumn("__joined", F.array_join(F.col("__pieces.__out"), ""))
     return df.withColumn(out, _settle(F.col("__joined"))).drop("__pieces", "__joined")

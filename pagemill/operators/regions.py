@@ -175,9 +175,10 @@ def drop_regions(df: DataFrame, key: Key, flag: str = "remove") -> DataFrame:
 
 
 def cut_content(
-    df: DataFrame, key: Key, config: Column, configs: Sequence[rules.SiteConfig]
-) -> DataFrame:
-    """Keep the tokens inside the main content of each page.
+    df: DataFrame, key: Key, config: Column, configs: Sequence[rules.SiteConfig],
+    of_page: str | None = None, first: str | None = None,
+) -> DataFrame:
+    """Keep the tokens inside the main content of each page, see :func:`cut_to`.
 
     That is the first element, in document order, that matches the configuration's content
     selector; without one it is the body, without that everything behind the head.
@@ -192,11 +193,14 @@ def cut_content(
             df = with_selector_match(df, c.content, key, f"__c{i}", when=config == c.key)
             flags.append(f"__c{i}")
             hit = hit | F.col(f"__c{i}")
-    return cut_to(df.withColumn("__content", hit).drop(*flags), key, "__content")
+    return cut_to(df.withColumn("__content", hit).drop(*flags), key, "__content", of_page, first)
+
 
+def cut_to(df: DataFrame, key: Key, flag: str, of_page: str | None = None, first: str | None = None) -> DataFrame:
+    """Keep the tokens inside the first flagged element; without one inside the body, without that behind the head.
 
-def cut_to(df: DataFrame, key: Key, flag: str) -> DataFrame:
-    """Keep the tokens inside the first flagged element; without one inside the body, without that behind the head."""
+    ``of_page`` is a column that one token of the page has; all tokens that stay get it. ``first`` names a flag for the first of these.
+    """
     hit = F.col(flag)
     region = F.struct(F.col("pos"), F.col("region_end"))
     head = F.when((F.col("tag") == "head") & (F.col("kind") == "close"), region)
@@ -207,12 +211,15 @@ def cut_to(df: DataFrame, key: Key, flag: str) -> DataFrame:
         ),
         F.min(head).over(whole(key)),
     )
-    df = df.withColumn("__found", found).drop(flag)
+    spread = {} if of_page is None else {of_page: F.first(of_page, ignorenulls=True).over(whole(key))}
+    df = df.withColumns({"__found": found, **spread}).drop(flag)
     start = F.coalesce(F.col("__found.pos"), F.lit(-1))
     end = F.coalesce(F.col("__found.region_end"), F.lit(OPEN_END))
     df = df.withColumns({"__start": start, "__end": end}).drop("__found")
     df = df.filter((F.col("pos") >= F.col("__start")) & (F.col("pos") < F.col("__end")))
     edge = F.col("pos") == F.col("__start")
+    if first is not None:
+        df = df.withColumn(first, F.col("pos") == F.greatest(F.col("__start"), F.lit(0)))
     return df.withColumns(
         {
             "kind": F.when(edge, "text").otherwise(F.col("kind")),

@@ -40,10 +40,11 @@ def html_tokens(pages: DataFrame, html: str = "html") -> DataFrame:
     name, null for text and comments) and ``kind``: ``open``, ``close``, ``void`` or ``text``.
     """
     found = F.regexp_extract_all(F.col(html), F.lit(_TOKEN), F.lit(0))
-    # A page of nothing is one empty token, so that it stays a page in all that follows.
-    found = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
     df = pages.withColumn("__toks", found)
-    df = df.drop(html).select("*", F.posexplode("__toks").alias("pos", "__tok")).drop("__toks")
+    # Outer: a page of nothing is one empty token, so that it stays a page in all that follows. And for other generators the optimizer
+    # puts a filter on the size of the array in front, which would take the page apart several times more.
+    df = df.drop(html).select("*", F.posexplode_outer("__toks").alias("pos", "__tok")).drop("__toks")
+    df = df.withColumns({"pos": F.coalesce("pos", F.lit(0)), "__tok": F.coalesce("__tok", F.lit(""))})
     df = df.withColumn("text", F.regexp_replace("__tok", rf"(?s)\A{_MARKUP}", ""))
     df = df.withColumn(
         "tag_text", F.expr("substring(__tok, 1, length(__tok) - length(text))")

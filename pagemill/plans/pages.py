@@ -52,6 +52,15 @@ def main_tokens(
     already tell them apart and by which the pages are spread; the columns in ``carry`` stay. A ``rule_table`` with the columns of
     ``frameworks.config_table`` takes the place of ``configs`` and may have any number of rows.
     """
+    df = _main_tokens(pages, key, configs, partitions, row, carry, rule_table)
+    return df.select("*", "__of_page.*").drop("__of_page", "__first")
+
+
+def _main_tokens(pages, key, configs, partitions, row, carry, rule_table) -> DataFrame:
+    """:func:`main_tokens` with all that is the same on the tokens of a page in the struct ``__of_page``, and ``__first``.
+
+    Every window and sort copies whole rows, so up to the content only the first token of a page has it; that one always stays.
+    """
     df = pages.select(*dict.fromkeys([key, "url", "html", *carry, *(row or ())]))
     if row is None:
         df = spread(df, partitions)
@@ -61,7 +70,10 @@ def main_tokens(
         df = frameworks.with_effective_config(df, configs=configs).drop("confidence", "score")
     else:
         df = rule_tables.with_rules(df, rule_table)
-    df = tokens.html_tokens(df)
+    tested = ["config_key"] if rule_table is None else ["rules"]
+    same = [c for c in df.columns if c not in ("html", "rules", *row)]
+    df = tokens.html_tokens(df.select(*row, *tested, "html", F.struct(*same).alias("__of_page")))
+    df = df.withColumn("__of_page", F.when(F.col("pos") == 0, F.col("__of_page")))
     if rule_table is None:
         df = regions.with_regions(df, row)
         df = regions.with_removal(df, row, configs, F.col("config_key"))
@@ -72,11 +84,14 @@ def main_tokens(
     df = regions.with_code_language(df, row)
     df = regions.drop_regions(df, row)
     if rule_table is not None:
-        df = regions.cut_to(df, row, "is_content")
+        df = regions.cut_to(df, row, "is_content", "__of_page", "__first")
     else:
-        df = regions.cut_content(df, row, F.col("config_key"), configs)
+        df = regions.cut_content(df, row, F.col("config_key"), configs, "__of_page", "__first")
     # Last, so that only links of the content are resolved; navigation holds most of a page's.
-    return markdown.with_reference(df, "from_")
+    base = [f"from_{n}" for n in urls.PARTS]
+    df = df.drop("config_key").withColumns({c: F.col(f"__of_page.{c}") for c in base})
+    df = markdown.with_reference(df, "from_")
+    return df.withColumn("__of_page", F.struct(*[F.col(f"__of_page.{c}").alias(c) for c in same if c not in base]))
 
 
 def pages_to_markdown(
@@ -93,10 +108,12 @@ def pages_to_markdown(
 
     Every row of ``pages`` is a page and stays one, also where keys are null or repeated.
     """
-    df = main_tokens(pages, key, configs, partitions, row, carry, rule_table)
+    df = _main_tokens(pages, key, configs, partitions, row, carry, rule_table)
     kept = dict.fromkeys([key, "url", "host", "framework", "config_key", *carry])
-    df = markdown.html_to_markdown(df, row or ROW, carry=[c for c in kept if c not in (row or ROW)])
-    df = df.drop(*[c for c in ROW if row is None])
+    own = row or ROW
+    df = df.withColumn("__of_page", F.when(F.col("__first"), F.col("__of_page"))).drop("__first")
+    df = markdown.html_to_markdown(df, own, carry=["__of_page"])
+    df = df.select(*[c if c in own else F.col(f"__of_page.{c}").alias(c) for c in kept], *[c for c in own if row is not None and c not in kept], "markdown")
     df = df.withColumn("markdown", content.clean_markdown(F.col("markdown")))
     return df.withColumn(
         "blocked_reason", content.blocked_reason(F.col("markdown"), strict_access_denied)

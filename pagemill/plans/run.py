@@ -85,7 +85,9 @@ class Captures:
         asked = df.filter(F.col("adapter").isNull()).select("url_key")
         pages = self.pages.join(asked, "url_key", "left_semi")
         if convert:
-            pages = page_plan.pages_to_markdown(pages, key="url_key", row=["url_key"])
+            # A number ahead of the key: rows sort by it, where addresses all begin alike. The key keeps the rows where they are.
+            pages = pages.withColumn("__row", F.monotonically_increasing_id())
+            pages = page_plan.pages_to_markdown(pages, key="url_key", row=["__row", "url_key"])
             pages = pages.select("url_key", F.col("markdown").alias("text"), F.col("blocked_reason").alias("reason"))
         else:
             pages = pages.select("url_key", F.coalesce("html", F.lit("")).alias("text"), F.lit(None).cast("string").alias("reason"))

@@ -361,13 +361,48 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _taken(ids: DataFrame):
+    """A filter of bits for every task, eight for each of ``ids`` but 2^27 (16 MB) at most, and the place of an ``id`` in it."""
+    bits = min(1 << 27, max(1 << 15, 1 << (8 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    number = place + 1  # the functions below count from one
+    maps = ids.groupBy(F.bitmap_bucket_number(number).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+    taken = np.zeros(bits // 8, np.uint8)
+    for r in maps.collect():  # 16 MB at most, in one job rather than one for each partition
+        taken[(r.row - 1) * 4096 : r.row * 4096] = np.frombuffer(r.bits, np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(taken), place
+
+
+def _hits(shared, batch: pa.RecordBatch) -> np.ndarray:
+    place = batch.column("place").to_numpy()
+    return np.flatnonzero(shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+
+
+def _rows(shared):
+    """Rows whose place in the filter is taken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [c for c in batch.schema.names if c != "place"]
+            yield batch.select(names).take(pa.array(_hits(shared, batch)))
+
+    return run
+
+
+def _among(df: DataFrame, key: str, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """``df`` without most of the rows whose ``key`` is not in ``ids`` (of one column): a join drops them anyway, after a shuffle of all."""
+    ids = scratch.keep(ids.toDF("id").distinct())
+    shared, place = _taken(ids)
+    rows = df.withColumnRenamed(key, "id").withColumn("place", place).withColumnRenamed("id", key)
+    return scratch.keep(rows.mapInArrow(_rows(shared), df.schema))
+
+
 def _sets(shared):
     """Sets of the documents whose place in the filter is taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.column("place").to_numpy()
-            hit = np.flatnonzero(shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            hit = _hits(shared, batch)
             data = [shingles(t.as_py()).tobytes() for t in batch.column("text").take(pa.array(hit))]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(hit)), pa.array(data, pa.binary())], ["id", "x"])
 
@@ -377,19 +412,11 @@ def _sets(shared):
 def _verified(rows: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs whose sets reach the threshold.
 
-    A filter of bits, eight for each document of a pair but 2^27 (16 MB) at most, goes to every task, so
-    that texts outside the pairs are left where they are; the join with the pairs is exact whatever it lets through.
+    A filter of bits goes to every task, so that texts outside the pairs are left where they are; the join with the pairs is
+    exact whatever it lets through.
     """
-    spark = rows.sparkSession
     ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    bits = min(1 << 27, max(1 << 15, 1 << (8 * ids.count()).bit_length()))
-    place = F.pmod(F.xxhash64("id"), F.lit(bits))
-    number = place + 1  # the functions below count from one
-    maps = ids.groupBy(F.bitmap_bucket_number(number).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
-    taken = np.zeros(bits // 8, np.uint8)
-    for r in maps.collect():  # 16 MB at most, in one job rather than one for each partition
-        taken[(r.row - 1) * 4096 : r.row * 4096] = np.frombuffer(r.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(taken)
+    shared, place = _taken(ids)
     sets = rows.withColumn("place", place).mapInArrow(_sets(shared), "id long, x binary")
     sets = scratch.keep(sets.join(ids, "id", "left_semi"))
     both = pairs.join(sets.withColumnRenamed("id", "a"), "a")
@@ -451,11 +478,14 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     def tested(pairs: DataFrame) -> DataFrame:
         """The links among pairs: first the bits, then what they leave."""
-        x = folded.select(F.col("rep").alias("a"), "n", F.col("bits").alias("x"))
-        y = folded.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+        own = _among(folded, "rep", pairs.select(F.explode(F.array("a", "b"))), scratch)
+        x = own.select(F.col("rep").alias("a"), "n", F.col("bits").alias("x"))
+        y = own.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
         likely = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_may_link, "a long, b long")
         # A representative of several sets has a row of bits for each.
-        return _verified(valid, scratch.keep(likely.distinct()), scratch)
+        likely = scratch.keep(likely.distinct())
+        scratch.drop(own)
+        return _verified(valid, likely, scratch)
 
     links = tested(pairs).unionByName(again)
     comps = scratch.keep(components(links, scratch))
@@ -477,9 +507,11 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         place = scratch.keep(place)
         # Bits go to members of lists that are still in several components, no others.
         open_ = place.select("cell").distinct()
-        place = place.join(sets.select("g", "rep", "bits"), ["g", "rep"]).select("cell", "g", "rep", "n", "bits", "component")
+        bits = _among(sets.select("g", "rep", "bits"), "rep", place.select("rep"), scratch)
+        place = place.join(bits, ["g", "rep"]).select("cell", "g", "rep", "n", "bits", "component")
         more = lists.join(open_, "cell", "left_semi").groupBy("cell").cogroup(place.groupBy("cell")).applyInArrow(_between(limit), "a long, b long")
         more = scratch.keep(ordered(more, "a", "b").join(pairs, ["a", "b"], "left_anti"))
+        scratch.drop(bits)
         if more.isEmpty():
             continue
         pairs, links = pairs.unionByName(more), links.unionByName(tested(more))

@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 import pytest
 
 from pagemill.llm import jaccard, queries
+from pagemill.llm.common import Scratch
 from pagemill.llm.shingles import shingles
 
 SF = "/root/testdata/sf0.001"
@@ -161,3 +162,12 @@ def test_remembered_words_are_few():
     assert len(whole) == 120_000 - 4 and len(module._words) <= 50_000
     assert (shingles(text) == whole).all()
     module._words.clear()
+
+
+def test_rows_that_a_join_drops_are_left_out_before_it(spark):
+    rows = spark.range(20_000).selectExpr("id % 10000 AS rep", "id AS n")
+    got = jaccard._among(rows, "rep", spark.range(0, 1000).selectExpr("id * 7 AS rep"), Scratch(spark, "test"))
+    assert got.dtypes == rows.dtypes
+    found = [tuple(r) for r in got.collect()]
+    assert {r for r in found if r[0] % 7 == 0 and r[0] < 7000} == {(i % 10000, i) for i in range(20_000) if i % 10000 % 7 == 0 and i % 10000 < 7000}
+    assert len(found) < 6000  # of 20,000; 2,000 have a partner

@@ -1,31 +1,34 @@
 """Documents linked by the Jaccard similarity of their word shingles: a grouped prefix join.
 
 1. *Sets.* Every document gives its number of shingles and a 128-bit digest of the set;
-   documents with one set are a class, and one of them stands for it. In the same pass shingles are
+   documents with one set are a class, and one of them stands for it. It also gives 4,096 bits that tell which shingles
+   the set may have; they stay where they are written until a pair or an open list asks for them. In the same pass shingles are
    counted in a sketch of fixed size, which orders them all: rare ones first. The order is only
    a matter of speed, any order gives the same links.
 2. *Groups.* The prefix of a set are its first ``n - ceil(0.75 n) + 1`` shingles; two sets that reach the threshold share one of
-   them. Sets with one prefix and one size are a group. A task deals the prefix of a group once, and its members, a row for
-   each set, go another way, with 4,096 bits that tell which shingles they may have.
+   them. Sets with one prefix and one size are a group. A task deals the prefix of a group once, with half of the bits of each
+   shingle (others that look the same only make a list longer), and its members, a row for each set, go another way.
 3. *Filter.* A list holds the groups with one shingle in their prefix. A short list gives its pairs of groups that pass the tests of size and
    position. In a long list (near copies, mostly) groups meet only a few others: stars of some 256
    around a common group, then stars of those.
 4. *Expand and verify.* A pair of groups becomes the pair of their first members; the members of a group meet the first one, again in
-   stars. What their bits can't share is left out, then both sets of each pair are brought together and compared.
+   stars. What their bits can't share is left out, then both texts of each pair are brought together, compressed (less than half
+   as long as sets of 64-bit numbers), and their sets compared. Bits are sent folded, some two for each shingle of the set.
 5. *The rest.* Lists, now expanded to all members of their groups, are gone through once more: members in one component need
    no further link. Those outside the largest component of a list meet all members in other components, as far as their bits allow the
-   threshold, the likeliest four first. So no link between components is lost, and near copies cost no pairs beyond their stars.
+   threshold, the likeliest four first; one bit for each shingle is enough here. So no link between components is lost, and near copies cost no pairs beyond their stars.
 
 Rows: null, empty and wordless texts have no shingles, link with nothing and are their own component.
 Repeated rows, and rows that share an id, are one node of the graph; each row has the count of its
 own text. Rows with a null id are returned without a component. Other columns may have any name.
-Empty tables give empty tables. A list of one shingle (26 bytes for each group with it in its prefix, and 540 for each member
+Empty tables give empty tables. A list of one shingle (20 bytes for each group with it in its prefix, and 90 to 570 for each member
 if the list is in more than one component) is held by one task; the rare-first order keeps what many different documents share out of the lists.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +45,8 @@ from pagemill.llm.shingles import mixed, shingles
 _CELLS, _ROW = 1 << 20, 1 << 12
 _SHORT, _FAN = 6, 256
 _BUCKET, _FLUSH = 1_000_000, 1_000_000
-#: Bits of a member, and of the short form that pairs are tested with; sets or groups that a task remembers.
-_BITS, _FOLDED, _SEEN = 4096, 1024, 100_000
+#: Bits of a set, and of its shortest form; sets or groups that a task remembers.
+_BITS, _FOLDED, _SEEN = 4096, 256, 100_000
 
 
 def _prefix(n):
@@ -53,20 +56,21 @@ def _prefix(n):
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(_CELLS, np.uint32)
-    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("bits", pa.binary())])
     for batch in batches:
-        ids, ns, sigs = batch.column(0), [], []
+        ids, ns, sigs, bits = batch.column(0), [], [], []
         for text in batch.column(1):
             x = shingles(text.as_py())
             ns.append(len(x))
             sigs.append(xxhash.xxh3_128_digest(x.tobytes()))
+            bits.append(_bits(x).tobytes() if len(x) else None)
             # A document has a shingle once, but two of its shingles may share a counter.
             np.add.at(counts, (x & np.uint64(_CELLS - 1)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([0] * len(ns), pa.int32()), ids, pa.array(ns), pa.array(sigs, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([0] * len(ns), pa.int32()), ids, pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bits, pa.binary())], schema=schema)
     rows = counts.reshape(-1, _ROW)
     used = np.flatnonzero(rows.any(axis=1))
     yield pa.RecordBatch.from_arrays(
-        [pa.array([1] * len(used), pa.int32()), pa.array(used), pa.array([0] * len(used)), pa.array([rows[i].tobytes() for i in used], pa.binary())],
+        [pa.array([1] * len(used), pa.int32()), pa.array(used), pa.array([0] * len(used), pa.int64()), pa.array([rows[i].tobytes() for i in used], pa.binary()), pa.nulls(len(used), pa.binary())],
         schema=schema,
     )
 
@@ -85,6 +89,53 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.packbits(out).view(np.uint64)
 
 
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Rows of bits with ``size`` of them: places that are a multiple of it apart become one."""
+    return np.bitwise_or.reduce(bits.reshape(len(bits), -1, size // 64), axis=1)
+
+
+def _short(each: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """The ``bits`` of rows, folded to the next power of two that gives ``each`` shingle so many, if that is fewer."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for n, x in zip(batch.column("n").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+            size = min(_BITS, max(_FOLDED, 1 << (each * n - 1).bit_length()))
+            out.append(_folded(np.frombuffer(x, np.uint64)[None], size).tobytes())
+        return batch.set_column(batch.schema.names.index("bits"), "bits", pa.array(out, pa.binary()))
+
+    return run
+
+
+class _Bits:
+    """Bits of rows that have more or fewer of them; two rows are compared in the form of the shorter one."""
+
+    def __init__(self, data: list[bytes]):
+        self.size = np.array([8 * len(x) for x in data], np.int64)
+        self._rows, self._at = {}, {}
+        for size in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == size)
+            self._rows[size] = np.frombuffer(b"".join(data[i] for i in own), np.uint64).reshape(len(own), -1)
+            at = self._at[size] = np.zeros(len(data), np.int64)
+            at[own] = np.arange(len(own))
+
+    def take(self, places: np.ndarray, size: int) -> np.ndarray:
+        out = np.empty((len(places), size // 64), np.uint64)
+        for own, rows in self._rows.items():
+            if own >= size and len(i := np.flatnonzero(self.size[places] == own)):
+                out[i] = _folded(rows[self._at[own][places[i]]], size)
+        return out
+
+
+def _differ(x: _Bits, i: np.ndarray, y: _Bits, j: np.ndarray) -> np.ndarray:
+    """In how many bits rows ``i`` of x differ from rows ``j`` of y."""
+    size, out = np.minimum(x.size[i], y.size[j]), np.zeros(len(i), np.int64)
+    for s in np.unique(size).tolist():
+        own = np.flatnonzero(size == s)
+        out[own] = np.bitwise_count(x.take(i[own], s) ^ y.take(j[own], s)).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _most(n1, n2, differ):
     """How many shingles two sets may share at most, if so many of their bits differ: each such bit is a shingle of one set alone."""
     return (n1 + n2 - differ) // 2
@@ -96,7 +147,7 @@ _DEALT_SQL = "bucket long, data binary, g long, sig binary, n long"
 
 def _deal_prefixes(order: np.ndarray, buckets: int):
     """Entries of groups by bucket: packed shingles, groups, set sizes, positions and how many odd shingles
-    the group has, which are much rarer than those in the middle of its prefix. And a row for each set: its group, digest, size and bits."""
+    the group has, which are much rarer than those in the middle of its prefix. And a row for each set: its group, digest and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, groups, parts, members, size = set(), set(), [], [], 0
@@ -107,12 +158,13 @@ def _deal_prefixes(order: np.ndarray, buckets: int):
                 b = (mixed(token) % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(b, kind="stable")
                 cuts = np.flatnonzero(np.diff(b[by])) + 1
+                token, pos = token >> np.uint64(32), np.minimum(pos, 65535)  # an earlier position only makes its test weaker
                 packed = [_pack(token[i], g[i], n[i], pos[i], odd[i]) for i in np.split(by, cuts)]
                 firsts, k = b[by][np.concatenate(([0], cuts))], len(cuts) + 1
                 yield pa.RecordBatch.from_arrays([pa.array(firsts), pa.array(packed, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], schema=_DEALT)
             if members:
-                g, sig, n, bits = zip(*members)
-                yield pa.RecordBatch.from_arrays([pa.array([x % buckets for x in g], pa.int64()), pa.array(bits, pa.binary()), pa.array(g, pa.int64()), pa.array(sig, pa.binary()), pa.array(n, pa.int64())], schema=_DEALT)
+                g, sig, n = zip(*members)
+                yield pa.RecordBatch.from_arrays([pa.array([x % buckets for x in g], pa.int64()), pa.nulls(len(g), pa.binary()), pa.array(g, pa.int64()), pa.array(sig, pa.binary()), pa.array(n, pa.int64())], schema=_DEALT)
             parts.clear()
             members.clear()
 
@@ -128,7 +180,7 @@ def _deal_prefixes(order: np.ndarray, buckets: int):
                 first = np.argsort(rank, kind="stable")[:k]
                 prefix = x[first]
                 g = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=n) - (1 << 63)
-                members.append((g, digest, n, _bits(x).tobytes()))
+                members.append((g, digest, n))
                 seen.add(digest)
                 if g not in groups:
                     groups.add(g)
@@ -146,7 +198,7 @@ def _deal_prefixes(order: np.ndarray, buckets: int):
     return run
 
 
-_KINDS = (np.uint64, np.int64, np.uint32, np.uint32, np.uint16)
+_KINDS = (np.uint32, np.int64, np.uint32, np.uint16, np.uint16)
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -207,14 +259,14 @@ def _first_round(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
     for batch in batches:
         own = batch.filter(pc.is_valid(batch.column("g")))
         if len(own):
-            yield _found(3, bucket, len(own), own.column("g"), own.column("n"), own.column("data"), own.column("sig"))
+            yield _found(3, bucket, len(own), own.column("g"), own.column("n"), sig=own.column("sig"))
         parts += [_unpack(x.as_py()) for x in batch.filter(pc.is_null(batch.column("g"))).column("data")]
     if not parts:
         return
     token, doc, n, pos, odd = (np.concatenate(c) for c in zip(*parts, strict=True))
     del parts
-    by = np.lexsort((doc, token))
-    # Several tasks may have dealt a group.
+    by = np.lexsort((pos, doc, token))
+    # Several tasks may have dealt a group, and two of its shingles may look the same: the first position counts.
     by = by[np.concatenate(([True], (token[by][1:] != token[by][:-1]) | (doc[by][1:] != doc[by][:-1])))]
     token, doc, n, pos, odd = (x[by] for x in (token, doc, n, pos, odd))
     by = np.arange(len(token))
@@ -280,7 +332,7 @@ def _first_round(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
 def _mixed_lists(lists: pa.Table, g: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
     """The lists of a cell that are in several components: places of their members, whose groups ``g`` ascend, and the largest component."""
     single = lists.filter(pc.is_null(lists["data"]))  # the list of a group: a row for each group in it
-    packed = [_unpack(x, (np.uint64, np.int64)) for x in lists["data"].drop_null().to_pylist()]
+    packed = [_unpack(x, (np.uint32, np.int64)) for x in lists["data"].drop_null().to_pylist()]
     for token, own in [*packed, (single["token"].to_numpy(), single["g"].to_numpy())]:
         for one in np.split(own, np.flatnonzero(np.diff(token)) + 1) if len(own) else ():
             lo, hi = np.searchsorted(g, one), np.searchsorted(g, one, "right")
@@ -309,7 +361,7 @@ def _between(limit: int | None):
         g, rep, n, comp = g[by], rep[by], n[by], comp[by]
         a_all, b_all = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         if len(g) and comp.min() != comp.max():
-            bits = np.frombuffer(b"".join(members.column("bits").take(pa.array(by)).to_pylist()), np.uint64).reshape(len(g), -1)
+            bits = _Bits(members.column("bits").take(pa.array(by)).to_pylist())
             mixed_lists, lists_of = [], {}
             for at, main in _mixed_lists(lists, g, comp):
                 for i in at[comp[at] != main].tolist():
@@ -321,7 +373,7 @@ def _between(limit: int | None):
                 for x in own:
                     there[mixed_lists[x]] = True
                 other = np.flatnonzero(there & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= 75 * np.maximum(n, n[i])))
-                share = _most(n[i], n[other], np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64))
+                share = _most(n[i], n[other], _differ(bits, np.full(len(other), i), bits, other))
                 ok = 175 * share >= 75 * (n[i] + n[other])
                 other, share = other[ok], share[ok]
                 if limit is not None:
@@ -337,25 +389,24 @@ def _between(limit: int | None):
 def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose bits allow the threshold."""
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("x", "y"))
-        n = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-        share = _most(*n, np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))
+        x, y = (_Bits(batch.column(c).to_pylist()) for c in ("x", "y"))
+        n, at = (batch.column("n").to_numpy(), batch.column("m").to_numpy()), np.arange(len(batch))
+        share = _most(*n, _differ(x, at, y, at))
         yield batch.select(["a", "b"]).filter(pa.array(175 * share >= 75 * (n[0] + n[1])))
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fewer bits: places that are a multiple of the new size apart become one."""
-    for batch in batches:
-        x = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(batch), _BITS // _FOLDED, -1)
-        folded = np.bitwise_or.reduce(x, axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.array([r.tobytes() for r in folded], pa.binary())], names=["rep", "n", "bits"])
+def _set(data) -> np.ndarray:
+    return shingles(zlib.decompress(data).decode("utf-8", "surrogatepass"))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = []
+        ok, last = [], None
         for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            x, y = _set(x.as_buffer()), y.as_buffer()
+            if last is None or last[0] != y:  # pairs with one text come one after the other
+                last = y, _set(y)
+            y = last[1]
             common = len(np.intersect1d(x, y, assume_unique=True))
             ok.append(100 * common >= 75 * (len(x) + len(y) - common))
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -378,32 +429,33 @@ def _hits(shared, batch: pa.RecordBatch) -> np.ndarray:
     return np.flatnonzero(shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
 
 
-def _rows(shared):
-    """Rows whose place in the filter is taken."""
+def _rows(shared, change: Callable[[pa.RecordBatch], pa.RecordBatch]):
+    """Rows whose place in the filter is taken, as ``change`` gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = [c for c in batch.schema.names if c != "place"]
-            yield batch.select(names).take(pa.array(_hits(shared, batch)))
+            yield change(batch.select(names).take(pa.array(_hits(shared, batch))))
 
     return run
 
 
-def _among(df: DataFrame, key: str, ids: DataFrame, scratch: Scratch) -> DataFrame:
-    """``df`` without most of the rows whose ``key`` is not in ``ids`` (of one column): a join drops them anyway, after a shuffle of all."""
+def _among(df: DataFrame, key: str, ids: DataFrame, scratch: Scratch, change: Callable[[pa.RecordBatch], pa.RecordBatch] = lambda batch: batch) -> DataFrame:
+    """``df`` without most of the rows whose ``key`` is not in ``ids`` (of one column): a join drops them anyway, after a shuffle of all.
+    The rows that stay are as ``change`` gives them."""
     ids = scratch.keep(ids.toDF("id").distinct())
     shared, place = _taken(ids)
     rows = df.withColumnRenamed(key, "id").withColumn("place", place).withColumnRenamed("id", key)
-    return scratch.keep(rows.mapInArrow(_rows(shared), df.schema))
+    return scratch.keep(rows.mapInArrow(_rows(shared, change), df.schema))
 
 
-def _sets(shared):
-    """Sets of the documents whose place in the filter is taken."""
+def _texts(shared):
+    """Texts of the documents whose place in the filter is taken, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = _hits(shared, batch)
-            data = [shingles(t.as_py()).tobytes() for t in batch.column("text").take(pa.array(hit))]
+            data = [zlib.compress(t.as_py().encode("utf-8", "surrogatepass"), 1) for t in batch.column("text").take(pa.array(hit))]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(hit)), pa.array(data, pa.binary())], ["id", "x"])
 
     return run
@@ -417,12 +469,12 @@ def _verified(rows: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     shared, place = _taken(ids)
-    sets = rows.withColumn("place", place).mapInArrow(_sets(shared), "id long, x binary")
-    sets = scratch.keep(sets.join(ids, "id", "left_semi"))
-    both = pairs.join(sets.withColumnRenamed("id", "a"), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").select("a", "b", "x", "y")
+    texts = rows.withColumn("place", place).mapInArrow(_texts(shared), "id long, x binary")
+    texts = scratch.keep(texts.join(ids, "id", "left_semi"))
+    both = pairs.join(texts.withColumnRenamed("id", "a"), "a")
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").select("a", "b", "x", "y")
     links = scratch.keep(both.mapInArrow(_compare, "a long, b long"))
-    scratch.drop(sets, ids)
+    scratch.drop(texts, ids)
     return links
 
 
@@ -431,7 +483,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    described = scratch.keep(rows.mapInArrow(_describe, "kind int, id long, n long, data binary"), "kind")
+    described = scratch.keep(rows.mapInArrow(_describe, "kind int, id long, n long, data binary, bits binary"), "kind")
     members = described.filter("kind = 0").select("id", "n", F.col("data").alias("sig"))
 
     # The sketch has a fixed size, so it may come to the driver and go to every task.
@@ -445,6 +497,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     # An id may have several rows; a set is a class, and an id with several sets joins their classes.
     node = members.filter("n > 0 AND id IS NOT NULL")
+    bits_of = described.filter("kind = 0 AND n > 0 AND id IS NOT NULL").select("id", "n", F.col("data").alias("sig"), "bits")
     classes = scratch.keep(node.groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("rows")))
     named = scratch.keep(hot_join(node.select("id", "sig"), classes, "sig", "rows").select("id", "rep").distinct())
     again = named.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
@@ -455,9 +508,9 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     found = scratch.keep(dealt.groupBy("bucket").applyInArrow(_first_round, _FOUND_SQL), "kind")
 
     # One member for each set; a set that several tasks have dealt comes as often.
-    sets = found.filter("kind = 3").select("sig", F.col("a").alias("g"), F.col("b").alias("n"), F.col("data").alias("bits"))
-    sets = sets.groupBy("sig").agg(F.first("g").alias("g"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    sets = scratch.keep(sets.join(classes.select("sig", "rep"), "sig").select("rep", "g", "n", "bits"))
+    sets = found.filter("kind = 3").select("sig", F.col("a").alias("g"), F.col("b").alias("n"))
+    sets = sets.groupBy("sig").agg(F.first("g").alias("g"), F.first("n").alias("n"))
+    sets = scratch.keep(sets.join(classes.select("sig", "rep"), "sig").select("rep", "g", "n", "sig"))
     groups = scratch.keep(sets.groupBy("g").agg(F.min("rep").alias("head"), F.count("*").alias("size")))
 
     def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -474,13 +527,13 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     stars = stars.join(centre.select("g", "cell", "centre"), ["g", "cell"])
     pairs = ordered(met, "x", "y").unionByName(ordered(stars, "rep", "centre")).unionByName(ordered(centre, "centre", "head"))
     pairs = scratch.keep(pairs.distinct())
-    folded = scratch.keep(sets.select("rep", "n", "bits").mapInArrow(_fold, "rep long, n long, bits binary"))
 
     def tested(pairs: DataFrame) -> DataFrame:
         """The links among pairs: first the bits, then what they leave."""
-        own = _among(folded, "rep", pairs.select(F.explode(F.array("a", "b"))), scratch)
-        x = own.select(F.col("rep").alias("a"), "n", F.col("bits").alias("x"))
-        y = own.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+        own = _among(bits_of.drop("sig"), "id", pairs.select(F.explode(F.array("a", "b"))), scratch, _short(2))
+        once = own.distinct()  # rows may come again
+        x = once.select(F.col("id").alias("a"), "n", F.col("bits").alias("x"))
+        y = once.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
         likely = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_may_link, "a long, b long")
         # A representative of several sets has a row of bits for each.
         likely = scratch.keep(likely.distinct())
@@ -501,14 +554,15 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     inside = found.filter("kind = 2").select(cell, F.col("a").alias("g")).unionByName(several.select("cell", "g"))
     # First the likeliest, then all that are left.
     for limit in (4, None):
-        place = inside.join(sets.select("g", "rep", "n"), "g").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        place = place.select("cell", "g", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        place = inside.join(sets, "g").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+        place = place.select("cell", "g", "rep", "n", "sig", F.coalesce("component", "rep").alias("component"))
         place = lists.groupBy("cell").cogroup(place.groupBy("cell")).applyInArrow(_unsettled, place.schema)
         place = scratch.keep(place)
         # Bits go to members of lists that are still in several components, no others.
         open_ = place.select("cell").distinct()
-        bits = _among(sets.select("g", "rep", "bits"), "rep", place.select("rep"), scratch)
-        place = place.join(bits, ["g", "rep"]).select("cell", "g", "rep", "n", "bits", "component")
+        bits = _among(bits_of, "id", place.select("rep"), scratch, _short(1))
+        once = bits.select(F.col("id").alias("rep"), "sig", "bits").distinct()
+        place = place.join(once, ["rep", "sig"]).select("cell", "g", "rep", "n", "bits", "component")
         more = lists.join(open_, "cell", "left_semi").groupBy("cell").cogroup(place.groupBy("cell")).applyInArrow(_between(limit), "a long, b long")
         more = scratch.keep(ordered(more, "a", "b").join(pairs, ["a", "b"], "left_anti"))
         scratch.drop(bits)

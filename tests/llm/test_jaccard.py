@@ -171,3 +171,49 @@ def test_rows_that_a_join_drops_are_left_out_before_it(spark):
     found = [tuple(r) for r in got.collect()]
     assert {r for r in found if r[0] % 7 == 0 and r[0] < 7000} == {(i % 10000, i) for i in range(20_000) if i % 10000 % 7 == 0 and i % 10000 < 7000}
     assert len(found) < 6000  # of 20,000; 2,000 have a partner
+
+
+def test_what_is_sent_is_short(groups):
+    texts = [t for _, t in groups if t and len(t) > 300]
+    dealt = pa.Table.from_batches(jaccard._deal_prefixes(np.zeros(jaccard._CELLS, np.uint32), 8)([pa.RecordBatch.from_pydict({"text": texts})]))
+    members = dealt.filter(pc.is_valid(dealt["g"]))
+    assert len(members) and members["data"].null_count == len(members)  # bits stay where they are
+    packed = dealt.filter(pc.is_null(dealt["g"]))["data"].to_pylist()
+    prefixes = {(len(x := shingles(t)), np.sort(x)[: jaccard._prefix(len(x))].tobytes()) for t in texts}
+    assert sum(map(len, packed)) == 20 * sum(len(p) // 8 for _, p in prefixes)
+
+    class Full:
+        value = np.full(8, 255, np.uint8)
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts, "place": [i % 64 for i in range(len(texts))]})
+    (sent,) = jaccard._texts(Full)([batch])
+    sets = [shingles(t) for t in texts]
+    assert all((jaccard._set(x) == y).all() for x, y in zip(sent["x"].to_pylist(), sets, strict=True))
+    assert sum(map(len, sent["x"].to_pylist())) < 0.7 * sum(8 * len(y) for y in sets)
+
+
+def test_bits_of_different_lengths_never_lose_a_link():
+    rng = np.random.default_rng(7)
+    sets = []
+    for _ in range(200):
+        common, x, y = (np.unique(rng.integers(0, 2**63, rng.integers(1, 1500), dtype=np.uint64)) for _ in range(3))
+        sets.append((np.union1d(common, x), np.union1d(common, y)))
+    at = np.arange(len(sets))
+    for each in (1, 2):
+        sides = []
+        for k in (0, 1):
+            rows = pa.RecordBatch.from_pydict({"n": [len(s[k]) for s in sets], "bits": [jaccard._bits(s[k]).tobytes() for s in sets]})
+            sides.append(jaccard._Bits(jaccard._short(each)(rows)["bits"].to_pylist()))
+        assert len(set(sides[0].size.tolist())) > 2 and (sides[0].size != sides[1].size).any()
+        differ = jaccard._differ(sides[0], at, sides[1], at)
+        for (x, y), d in zip(sets, differ.tolist(), strict=True):
+            assert jaccard._most(len(x), len(y), d) >= len(np.intersect1d(x, y))
+
+
+def test_of_shingles_that_look_the_same_the_first_position_counts():
+    token, g, n, pos = np.array([9, 9, 9]), np.array([1, 1, 2]), np.full(3, 100), np.array([20, 0, 0])
+    for order in ([0, 1, 2], [1, 0, 2]):
+        data = jaccard._pack(*(c[order] for c in (token, g, n, pos)), np.zeros(3, np.uint16))
+        batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([data], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64())], schema=jaccard._DEALT)
+        found = [r for b in jaccard._first_round((pa.scalar(0),), [batch]) for r in b.to_pylist() if r["kind"] == 0]
+        assert [(r["a"], r["b"]) for r in found] == [(1, 2)]

@@ -15,14 +15,17 @@
    stars. What their bits can't share is left out, then both texts of each pair are brought together, compressed (less than half
    as long as sets of 64-bit numbers), and their sets compared. Bits are sent folded, some two for each shingle of the set.
 5. *The rest.* Lists, now expanded to all members of their groups, are gone through once more: members in one component need
-   no further link. Those outside the largest component of a list meet all members in other components, as far as their bits allow the
-   threshold, the likeliest four first; one bit for each shingle is enough here. So no link between components is lost, and near copies cost no pairs beyond their stars.
+   no further link. Members of lists that are in several components come together, once for each component that is the largest one of such a list,
+   with their compressed texts. There those outside it meet all members in other components that share a list with them: first all bits, then the sets
+   themselves. A link joins two components at once, what is joined is not compared again, and a task gives only the links that join: fewer than it
+   has members. So no link between components is lost, and near copies that don't link cost comparisons, but no rows.
 
 Rows: null, empty and wordless texts have no shingles, link with nothing and are their own component.
 Repeated rows, and rows that share an id, are one node of the graph; each row has the count of its
 own text. Rows with a null id are returned without a component. Other columns may have any name.
-Empty tables give empty tables. A list of one shingle (20 bytes for each group with it in its prefix, and 90 to 570 for each member
-if the list is in more than one component) is held by one task; the rare-first order keeps what many different documents share out of the lists.
+Empty tables give empty tables. A list of one shingle (20 bytes for each group with it in its prefix, and 70 for each member) is held by one task; the
+rare-first order keeps what many different documents share out of the lists. Members that come together in step 5 are dealt in parts, and a task has two of
+them: of m members some 45 times the root of m.
 """
 
 from __future__ import annotations
@@ -45,8 +48,10 @@ from pagemill.llm.shingles import mixed, shingles
 _CELLS, _ROW = 1 << 20, 1 << 12
 _SHORT, _FAN = 6, 256
 _BUCKET, _FLUSH = 1_000_000, 1_000_000
-#: Bits of a set, and of its shortest form; sets or groups that a task remembers.
-_BITS, _FOLDED, _SEEN = 4096, 256, 100_000
+#: Bits of a set, and of its shortest form; sets or groups that a task remembers; shingles of sets that it holds at once to compare them.
+_BITS, _FOLDED, _SEEN, _HELD = 4096, 256, 100_000, 4_000_000
+#: Members of which all pairs may be compared by one task; more are dealt in parts.
+_PART = 512
 
 
 def _prefix(n):
@@ -329,55 +334,73 @@ def _first_round(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
         yield _found(0, bucket, len(a), a, b)
 
 
-def _mixed_lists(lists: pa.Table, g: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    """The lists of a cell that are in several components: places of their members, whose groups ``g`` ascend, and the largest component."""
+def _mixed_lists(lists: pa.Table, g: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """The lists of a cell that are in several components: places of their members, whose groups ``g`` ascend, the largest component and the token."""
     single = lists.filter(pc.is_null(lists["data"]))  # the list of a group: a row for each group in it
     packed = [_unpack(x, (np.uint32, np.int64)) for x in lists["data"].drop_null().to_pylist()]
     for token, own in [*packed, (single["token"].to_numpy(), single["g"].to_numpy())]:
-        for one in np.split(own, np.flatnonzero(np.diff(token)) + 1) if len(own) else ():
+        starts = np.flatnonzero(np.diff(token, prepend=token[:1] + 1))
+        for first, one in zip(starts.tolist(), np.split(own, starts[1:])) if len(own) else ():
             lo, hi = np.searchsorted(g, one), np.searchsorted(g, one, "right")
-            at = np.concatenate([np.arange(x, y) for x, y in zip(lo, hi)])
+            ends = np.cumsum(hi - lo)
+            at = np.repeat(hi - ends, hi - lo) + np.arange(ends[-1])
             names, counts = np.unique(comp[at], return_counts=True)
             if len(names) > 1:
-                yield at, names[counts.argmax()]
+                yield at, names[counts.argmax()], int(token[first])
 
 
 def _unsettled(key, lists, members):
-    """The members of a cell that are in a list of several components."""
+    """The members of the lists of a cell that are in several components, by the largest component of a list, with short names of the lists. Two lists
+    with one name are one list, which costs time only."""
     members = members.sort_by([("g", "ascending"), ("rep", "ascending")])
-    open_ = np.zeros(len(members), bool)
-    for at, _ in _mixed_lists(lists, members["g"].to_numpy(), members["component"].to_numpy()):
-        open_[at] = True
-    return members.filter(pa.array(open_))
-
-
-def _between(limit: int | None):
-    """Pairs of members of the lists of a cell that are in different components and whose bits allow the threshold: for each member outside
-    the largest component of a list all of them, or the ``limit`` with the most bits in common."""
+    rep, comp = (members[c].to_numpy() for c in ("rep", "component"))
+    cell, parts = xxhash.xxh3_64_intdigest(key[0].as_py()), [(np.empty(0, np.int64),) * 4]
+    for at, main, token in _mixed_lists(lists, members["g"].to_numpy(), comp):
+        name = xxhash.xxh3_64_intdigest((token % (1 << 64)).to_bytes(8), seed=cell) & 0xFFFFFFFF
+        parts.append((np.full(len(at), main, np.int64), rep[at], comp[at], np.full(len(at), name, np.int64)))
+    main, node, component, name = (np.concatenate(c) for c in zip(*parts, strict=True))
+    by = np.lexsort((node, main))
+    main, node, component, name = (x[by] for x in (main, node, component, name))
+    starts = np.flatnonzero(np.concatenate(([True], (main[1:] != main[:-1]) | (node[1:] != node[:-1])))) if len(by) else by
+    names = [x.astype(np.uint32).tobytes() for x in np.split(name, starts[1:])] if len(by) else []
+    return pa.table({"main": main[starts], "rep": node[starts], "component": component[starts], "lists": pa.array(names, pa.binary())})
+
+
+def _between(check: Callable[[int, int], bool] | None):
+    """Pairs of members of the lists of a cell that are in different components and whose bits allow the threshold. With a ``check`` of two
+    places, members in the order of their groups, only pairs that pass it and join two components which no pair before has joined."""
 
     def run(key, lists, members):
-        g, rep, n, comp = (members.column(c).to_numpy() for c in ("g", "rep", "n", "component"))
-        by = np.lexsort((rep, g))
-        g, rep, n, comp = g[by], rep[by], n[by], comp[by]
+        members = members.sort_by([("g", "ascending"), ("rep", "ascending")])
+        g, rep, n, comp = (members[c].to_numpy() for c in ("g", "rep", "n", "component"))
+        part = members["part"].to_numpy() if "part" in members.column_names else None  # pairs within a part are another task's
         a_all, b_all = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         if len(g) and comp.min() != comp.max():
-            bits = _Bits(members.column("bits").take(pa.array(by)).to_pylist())
+            bits = _Bits(members["bits"].to_pylist())
             mixed_lists, lists_of = [], {}
-            for at, main in _mixed_lists(lists, g, comp):
+            for at, main, _ in _mixed_lists(lists, g, comp):
                 for i in at[comp[at] != main].tolist():
                     lists_of.setdefault(i, []).append(len(mixed_lists))
                 mixed_lists.append(at)
-            there = np.zeros(len(g), bool)
+            there, comp = np.zeros(len(g), bool), comp.copy()
             for i, own in lists_of.items():
                 there[:] = False
                 for x in own:
                     there[mixed_lists[x]] = True
-                other = np.flatnonzero(there & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= 75 * np.maximum(n, n[i])))
+                there &= (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= 75 * np.maximum(n, n[i]))
+                if part is not None:
+                    there &= part != part[i]
+                other = np.flatnonzero(there)
                 share = _most(n[i], n[other], _differ(bits, np.full(len(other), i), bits, other))
                 ok = 175 * share >= 75 * (n[i] + n[other])
                 other, share = other[ok], share[ok]
-                if limit is not None:
-                    other = other[np.lexsort((rep[other], -share))[:limit]]
+                if check is not None:
+                    links = []
+                    for j in other[np.lexsort((rep[other], -share))].tolist():  # the likeliest first
+                        if comp[j] != comp[i] and check(i, j):
+                            comp[comp == comp[j]] = comp[i]
+                            links.append(j)
+                    other = np.array(links, np.int64)
                 a_all.append(np.full(len(other), rep[i]))
                 b_all.append(rep[other])
         a, b = _unique_pairs(np.concatenate(a_all), np.concatenate(b_all))
@@ -386,6 +409,50 @@ def _between(limit: int | None):
     return run
 
 
+class _Sets:
+    """The sets of compressed texts; those that don't fit in what a task holds are made again."""
+
+    def __init__(self, data: list[bytes]):
+        self._data, self._known, self._held = data, {}, 0
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        x = self._known.get(i)
+        if x is None:
+            x = _set(self._data[i])
+            if self._held + len(x) <= _HELD:
+                self._known[i] = x
+                self._held += len(x)
+        return x
+
+
+def _joining(key, members):
+    """The links that join components, of members that came together: a row for each id, with its texts and the names of its lists."""
+    texts, names = members["x"].to_pylist(), members["lists"].to_pylist()
+    row = np.repeat(np.arange(len(members)), [len(x) for x in texts])  # an id may have several texts
+    sets = _Sets([x for own in texts for x in own])
+    n, bits = [], []
+    for place in range(len(row)):
+        x = sets[place]
+        n.append(len(x))
+        bits.append(_bits(x).tobytes())
+    own = [np.unique(np.frombuffer(b"".join(x), np.uint32)) for x in names]
+    token, at = np.concatenate([own[r] for r in row]).astype(np.int64), np.repeat(np.arange(len(row)), [len(own[r]) for r in row])
+    by = np.argsort(token, kind="stable")
+    lists = pa.table({"token": token[by], "g": at[by], "data": pa.nulls(len(by), pa.binary())})
+    rows = {"g": np.arange(len(row)), "n": np.array(n, np.int64), "bits": pa.array(bits, pa.binary())}
+    rows |= {c: members[c].to_numpy()[row] for c in ("rep", "component")}
+    if key[1].as_py() != key[2].as_py():
+        rows["part"] = members["part"].to_numpy()[row]
+    last = [None, None]
+
+    def check(i: int, j: int) -> bool:
+        if last[0] != i:
+            last[:] = i, sets[i]
+        return _linked(last[1], sets[j])
+
+    return _between(check)(key, lists, pa.table(rows))
+
+
 def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose bits allow the threshold."""
     for batch in batches:
@@ -399,6 +466,11 @@ def _set(data) -> np.ndarray:
     return shingles(zlib.decompress(data).decode("utf-8", "surrogatepass"))
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= 75 * (len(x) + len(y) - common)
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok, last = [], None
@@ -406,9 +478,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = _set(x.as_buffer()), y.as_buffer()
             if last is None or last[0] != y:  # pairs with one text come one after the other
                 last = y, _set(y)
-            y = last[1]
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(100 * common >= 75 * (len(x) + len(y) - common))
+            ok.append(_linked(x, last[1]))
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -478,6 +548,20 @@ def _verified(rows: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     return links
 
 
+def _joined(rows: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links that join what is still apart of the members that came together. Many of them are dealt in parts, and any two parts meet in one task."""
+    ids = scratch.keep(members.select(F.col("rep").alias("id")).distinct())
+    shared, place = _taken(ids)
+    texts = rows.withColumn("place", place).mapInArrow(_texts(shared), "id long, x binary")
+    texts = texts.groupBy("id").agg(F.collect_set("x").alias("x"))
+    parts = members.groupBy("main").agg(F.ceil(F.sqrt(F.count("*") / _PART)).cast("int").alias("parts"))
+    dealt = members.join(parts, "main").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = dealt.join(texts.withColumnRenamed("id", "rep"), "rep")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("main", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rep", "component", "lists", "x")
+    return dealt.groupBy("main", "low", "high").applyInArrow(_joining, "a long, b long")
+
+
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_shingles and component_id, the smallest id reachable by links."""
     spark = docs.sparkSession
@@ -497,7 +581,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     # An id may have several rows; a set is a class, and an id with several sets joins their classes.
     node = members.filter("n > 0 AND id IS NOT NULL")
-    bits_of = described.filter("kind = 0 AND n > 0 AND id IS NOT NULL").select("id", "n", F.col("data").alias("sig"), "bits")
+    bits_of = described.filter("kind = 0 AND n > 0 AND id IS NOT NULL").select("id", "n", "bits")
     classes = scratch.keep(node.groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("rows")))
     named = scratch.keep(hot_join(node.select("id", "sig"), classes, "sig", "rows").select("id", "rep").distinct())
     again = named.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
@@ -508,9 +592,9 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     found = scratch.keep(dealt.groupBy("bucket").applyInArrow(_first_round, _FOUND_SQL), "kind")
 
     # One member for each set; a set that several tasks have dealt comes as often.
-    sets = found.filter("kind = 3").select("sig", F.col("a").alias("g"), F.col("b").alias("n"))
-    sets = sets.groupBy("sig").agg(F.first("g").alias("g"), F.first("n").alias("n"))
-    sets = scratch.keep(sets.join(classes.select("sig", "rep"), "sig").select("rep", "g", "n", "sig"))
+    sets = found.filter("kind = 3").select("sig", F.col("a").alias("g"))
+    sets = sets.groupBy("sig").agg(F.first("g").alias("g"))
+    sets = scratch.keep(sets.join(classes.select("sig", "rep"), "sig").select("rep", "g"))
     groups = scratch.keep(sets.groupBy("g").agg(F.min("rep").alias("head"), F.count("*").alias("size")))
 
     def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -530,7 +614,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     def tested(pairs: DataFrame) -> DataFrame:
         """The links among pairs: first the bits, then what they leave."""
-        own = _among(bits_of.drop("sig"), "id", pairs.select(F.explode(F.array("a", "b"))), scratch, _short(2))
+        own = _among(bits_of, "id", pairs.select(F.explode(F.array("a", "b"))), scratch, _short(2))
         once = own.distinct()  # rows may come again
         x = once.select(F.col("id").alias("a"), "n", F.col("bits").alias("x"))
         y = once.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
@@ -552,24 +636,13 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     lists = found.filter("kind = 1").select(cell, none.cast("long").alias("token"), none.cast("long").alias("g"), "data")
     lists = lists.unionByName(several.select("cell", "token", "g", none.cast("binary").alias("data")))
     inside = found.filter("kind = 2").select(cell, F.col("a").alias("g")).unionByName(several.select("cell", "g"))
-    # First the likeliest, then all that are left.
-    for limit in (4, None):
-        place = inside.join(sets, "g").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        place = place.select("cell", "g", "rep", "n", "sig", F.coalesce("component", "rep").alias("component"))
-        place = lists.groupBy("cell").cogroup(place.groupBy("cell")).applyInArrow(_unsettled, place.schema)
-        place = scratch.keep(place)
-        # Bits go to members of lists that are still in several components, no others.
-        open_ = place.select("cell").distinct()
-        bits = _among(bits_of, "id", place.select("rep"), scratch, _short(1))
-        once = bits.select(F.col("id").alias("rep"), "sig", "bits").distinct()
-        place = place.join(once, ["rep", "sig"]).select("cell", "g", "rep", "n", "bits", "component")
-        more = lists.join(open_, "cell", "left_semi").groupBy("cell").cogroup(place.groupBy("cell")).applyInArrow(_between(limit), "a long, b long")
-        more = scratch.keep(ordered(more, "a", "b").join(pairs, ["a", "b"], "left_anti"))
-        scratch.drop(bits)
-        if more.isEmpty():
-            continue
-        pairs, links = pairs.unionByName(more), links.unionByName(tested(more))
-        comps = scratch.keep(components(links, scratch))
+    place = inside.join(sets.select("g", "rep"), "g").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    place = place.select("cell", "g", "rep", F.coalesce("component", "rep").alias("component"))
+    open_ = lists.groupBy("cell").cogroup(place.groupBy("cell")).applyInArrow(_unsettled, "main long, rep long, component long, lists binary")
+    open_ = scratch.keep(open_.groupBy("main", "rep", "component").agg(F.collect_list("lists").alias("lists")))
+    more = scratch.keep(_joined(valid, open_, scratch))
+    if not more.isEmpty():
+        comps = scratch.keep(components(links.unionByName(more), scratch))
     scratch.drop(found)
     classes = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("sig", "rows", F.coalesce("component", "rep").alias("component"))

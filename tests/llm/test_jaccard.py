@@ -217,3 +217,74 @@ def test_of_shingles_that_look_the_same_the_first_position_counts():
         batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([data], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64())], schema=jaccard._DEALT)
         found = [r for b in jaccard._first_round((pa.scalar(0),), [batch]) for r in b.to_pylist() if r["kind"] == 0]
         assert [(r["a"], r["b"]) for r in found] == [(1, 2)]
+
+
+def near_misses(m):
+    """Documents with most of a text in common; hardly any two of them link."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(m):
+        w = list(base)
+        for k in rng.sample(range(120), 3):
+            w[k] = f"x{i}y{k}"
+        rows.append((i + 1, " ".join(w)))
+    return rows
+
+
+def test_near_copies_that_do_not_link_cost_no_rows(spark, monkeypatch):
+    rows, keep, written = near_misses(240), Scratch.keep, []
+
+    def counted(self, df, *by):
+        out = keep(self, df, *by)
+        if out.columns == ["a", "b"]:  # pairs of documents or groups
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == brute(rows)
+    assert max(written) < 8 * len(rows), written
+
+
+def test_links_of_a_cell_are_fewer_than_its_members():
+    m = 50
+    members = pa.table({"g": range(m), "rep": range(m), "n": [9] * m, "component": range(m), "bits": [b"\0" * 512] * m})
+    one = pa.table({"token": pa.array([1] * m, pa.int64()), "g": pa.array(range(m), pa.int64()), "data": pa.nulls(m, pa.binary())})
+    assert len(jaccard._between(lambda i, j: True)(None, one, members)) == m - 1
+    assert len(jaccard._between(lambda i, j: (i - j) % 2 == 0)(None, one, members)) == m - 2
+    assert len(jaccard._between(lambda i, j: False)(None, one, members)) == 0
+
+
+def test_parts_of_a_large_group_meet(spark, monkeypatch, groups):
+    rows = [(i, t) for i, t in groups if t and t.strip()]
+    ids = spark.createDataFrame(rows + rows[:9] + [(rows[0][0], rows[-3][1])], "id long, text string")
+    names = spark.createDataFrame([(i,) for i, _ in rows], "rep long").selectExpr("1L AS main", "rep", "rep AS component", "array(X'01000000', X'0100000002000000') AS lists")
+    for size in (512, 8):
+        monkeypatch.setattr(jaccard, "_PART", size)
+        links = {tuple(r) for r in jaccard._joined(ids, names, Scratch(spark, "test")).collect()}
+        parent = {i: i for i, _ in rows}
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in links:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+        again = {(rows[0][0], rows[-3][0])}  # an id with two texts links to what either links to
+        want = {i: c for i, _, c in brute(rows)}
+        assert again <= links and all(root(i) == root(want[i]) for i in parent)
+        assert len({root(i) for i in parent}) == len({c for c in want.values()}) - 1
+
+
+def test_sets_that_do_not_fit_are_made_again(monkeypatch):
+    import zlib
+
+    monkeypatch.setattr(jaccard, "_HELD", 30)
+    texts = [" ".join(f"w{k + i}" for k in range(20)) for i in range(5)]
+    sets = jaccard._Sets([zlib.compress(t.encode()) for t in texts])
+    for _ in range(2):
+        assert all((sets[i] == shingles(t)).all() for i, t in enumerate(texts))
+    assert len(sets._known) == 1

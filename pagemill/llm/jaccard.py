@@ -15,9 +15,9 @@
    stars. What their bits can't share is left out, then both texts of each pair are brought together, compressed (less than half
    as long as sets of 64-bit numbers), and their sets compared. Bits are sent folded, some two for each shingle of the set.
 5. *The rest.* Lists, now expanded to all members of their groups, are gone through once more: members in one component need
-   no further link. Members of lists that are in several components come together, once for each component that is the largest one of such a list,
-   with their compressed texts. There those outside it meet all members in other components that share a list with them: first all bits, then the sets
-   themselves. A link joins two components at once, what is joined is not compared again, and a task gives only the links that join: fewer than it
+   no further link. Members of lists that are in several components come together, once for each component that is the largest one of such a list.
+   There those outside it meet all members in other components that share a list with them: first with their bits, then those
+   that may link at all with their compressed texts, and the sets themselves are compared. A link joins two components at once, what is joined is not compared again, and a task gives only the links that join: fewer than it
    has members. So no link between components is lost, and near copies that don't link cost comparisons, but no rows.
 
 Rows: null, empty and wordless texts have no shingles, link with nothing and are their own component.
@@ -366,43 +366,51 @@ def _unsettled(key, lists, members):
     return pa.table({"main": main[starts], "rep": node[starts], "component": component[starts], "lists": pa.array(names, pa.binary())})
 
 
+def _candidates(lists: pa.Table, members: pa.Table, comp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member outside the largest component of a list, places of the members of its lists that are in other components and may link by
+    their bits, the likeliest first. Groups ascend in ``members``, with components ``comp``, which may change in between."""
+    if len(comp) == 0 or comp.min() == comp.max():
+        return
+    g, rep, n = (members[c].to_numpy() for c in ("g", "rep", "n"))
+    part = members["part"].to_numpy() if "part" in members.column_names else None  # pairs within a part are another task's
+    bits, mixed_lists, lists_of = _Bits(members["bits"].to_pylist()), [], {}
+    for at, main, _ in _mixed_lists(lists, g, comp):
+        for i in at[comp[at] != main].tolist():
+            lists_of.setdefault(i, []).append(len(mixed_lists))
+        mixed_lists.append(at)
+    there = np.zeros(len(g), bool)
+    for i, own in lists_of.items():
+        there[:] = False
+        for x in own:
+            there[mixed_lists[x]] = True
+        there &= (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= 75 * np.maximum(n, n[i]))
+        if part is not None:
+            there &= part != part[i]
+        other = np.flatnonzero(there)
+        share = _most(n[i], n[other], _differ(bits, np.full(len(other), i), bits, other))
+        ok = 175 * share >= 75 * (n[i] + n[other])
+        other, share = other[ok], share[ok]
+        yield i, other[np.lexsort((rep[other], -share))]
+
+
 def _between(check: Callable[[int, int], bool] | None):
     """Pairs of members of the lists of a cell that are in different components and whose bits allow the threshold. With a ``check`` of two
     places, members in the order of their groups, only pairs that pass it and join two components which no pair before has joined."""
 
     def run(key, lists, members):
         members = members.sort_by([("g", "ascending"), ("rep", "ascending")])
-        g, rep, n, comp = (members[c].to_numpy() for c in ("g", "rep", "n", "component"))
-        part = members["part"].to_numpy() if "part" in members.column_names else None  # pairs within a part are another task's
+        rep, comp = members["rep"].to_numpy(), members["component"].to_numpy().copy()
         a_all, b_all = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if len(g) and comp.min() != comp.max():
-            bits = _Bits(members["bits"].to_pylist())
-            mixed_lists, lists_of = [], {}
-            for at, main, _ in _mixed_lists(lists, g, comp):
-                for i in at[comp[at] != main].tolist():
-                    lists_of.setdefault(i, []).append(len(mixed_lists))
-                mixed_lists.append(at)
-            there, comp = np.zeros(len(g), bool), comp.copy()
-            for i, own in lists_of.items():
-                there[:] = False
-                for x in own:
-                    there[mixed_lists[x]] = True
-                there &= (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= 75 * np.maximum(n, n[i]))
-                if part is not None:
-                    there &= part != part[i]
-                other = np.flatnonzero(there)
-                share = _most(n[i], n[other], _differ(bits, np.full(len(other), i), bits, other))
-                ok = 175 * share >= 75 * (n[i] + n[other])
-                other, share = other[ok], share[ok]
-                if check is not None:
-                    links = []
-                    for j in other[np.lexsort((rep[other], -share))].tolist():  # the likeliest first
-                        if comp[j] != comp[i] and check(i, j):
-                            comp[comp == comp[j]] = comp[i]
-                            links.append(j)
-                    other = np.array(links, np.int64)
-                a_all.append(np.full(len(other), rep[i]))
-                b_all.append(rep[other])
+        for i, other in _candidates(lists, members, comp):
+            if check is not None:
+                links = []
+                for j in other.tolist():
+                    if comp[j] != comp[i] and check(i, j):
+                        comp[comp == comp[j]] = comp[i]
+                        links.append(j)
+                other = np.array(links, np.int64)
+            a_all.append(np.full(len(other), rep[i]))
+            b_all.append(rep[other])
         a, b = _unique_pairs(np.concatenate(a_all), np.concatenate(b_all))
         return pa.table({"a": a, "b": b})
 
@@ -425,9 +433,31 @@ class _Sets:
         return x
 
 
+def _together(key, members: pa.Table, row: np.ndarray, n: np.ndarray, bits: list[bytes]) -> tuple[pa.Table, pa.Table]:
+    """Lists and members, sets number by number, of members that came together: ``row`` tells where each set comes from."""
+    names = [np.unique(np.frombuffer(b"".join(x), np.uint32)) for x in members["lists"].to_pylist()]
+    token, at = np.concatenate([names[r] for r in row]).astype(np.int64), np.repeat(np.arange(len(row)), [len(names[r]) for r in row])
+    by = np.argsort(token, kind="stable")
+    rows = {"g": np.arange(len(row)), "n": n, "bits": pa.array(bits, pa.binary())}
+    rows |= {c: members[c].to_numpy()[row] for c in ("rep", "component")}
+    if key[1].as_py() != key[2].as_py():
+        rows["part"] = members["part"].to_numpy()[row]
+    return pa.table({"token": token[by], "g": at[by], "data": pa.nulls(len(by), pa.binary())}), pa.table(rows)
+
+
+def _hopeful(key, members):
+    """Those of the members that came together, a row for each set, that any other may link to by its bits."""
+    lists, rows = _together(key, members, np.arange(len(members)), members["n"].to_numpy(), members["bits"].to_pylist())
+    hit = np.zeros(len(rows), bool)
+    for i, other in _candidates(lists, rows, rows["component"].to_numpy()):
+        if len(other):
+            hit[i] = hit[other] = True
+    return members.select(["main", "rep"]).filter(pa.array(hit))
+
+
 def _joining(key, members):
     """The links that join components, of members that came together: a row for each id, with its texts and the names of its lists."""
-    texts, names = members["x"].to_pylist(), members["lists"].to_pylist()
+    texts = members["x"].to_pylist()
     row = np.repeat(np.arange(len(members)), [len(x) for x in texts])  # an id may have several texts
     sets = _Sets([x for own in texts for x in own])
     n, bits = [], []
@@ -435,14 +465,7 @@ def _joining(key, members):
         x = sets[place]
         n.append(len(x))
         bits.append(_bits(x).tobytes())
-    own = [np.unique(np.frombuffer(b"".join(x), np.uint32)) for x in names]
-    token, at = np.concatenate([own[r] for r in row]).astype(np.int64), np.repeat(np.arange(len(row)), [len(own[r]) for r in row])
-    by = np.argsort(token, kind="stable")
-    lists = pa.table({"token": token[by], "g": at[by], "data": pa.nulls(len(by), pa.binary())})
-    rows = {"g": np.arange(len(row)), "n": np.array(n, np.int64), "bits": pa.array(bits, pa.binary())}
-    rows |= {c: members[c].to_numpy()[row] for c in ("rep", "component")}
-    if key[1].as_py() != key[2].as_py():
-        rows["part"] = members["part"].to_numpy()[row]
+    lists, rows = _together(key, members, row, np.array(n, np.int64), bits)
     last = [None, None]
 
     def check(i: int, j: int) -> bool:
@@ -450,7 +473,7 @@ def _joining(key, members):
             last[:] = i, sets[i]
         return _linked(last[1], sets[j])
 
-    return _between(check)(key, lists, pa.table(rows))
+    return _between(check)(key, lists, rows)
 
 
 def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -548,18 +571,26 @@ def _verified(rows: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     return links
 
 
-def _joined(rows: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links that join what is still apart of the members that came together. Many of them are dealt in parts, and any two parts meet in one task."""
-    ids = scratch.keep(members.select(F.col("rep").alias("id")).distinct())
+def _joined(rows: DataFrame, bits_of: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links that join what is still apart of the members that came together. First their bits tell which of them may have a link at all; only
+    those send texts."""
+    bits = _among(bits_of, "id", members.select("rep"), scratch).distinct()  # rows may come again
+    likely = _dealt(members, bits.withColumnRenamed("id", "rep")).applyInArrow(_hopeful, "main long, rep long")
+    likely = scratch.keep(likely.distinct())
+    members = scratch.keep(members.join(likely, ["main", "rep"], "left_semi"))
+    ids = scratch.keep(likely.select(F.col("rep").alias("id")).distinct())
     shared, place = _taken(ids)
-    texts = rows.withColumn("place", place).mapInArrow(_texts(shared), "id long, x binary")
+    texts = rows.withColumn("place", place).mapInArrow(_texts(shared), "id long, x binary").join(ids, "id", "left_semi")
     texts = texts.groupBy("id").agg(F.collect_set("x").alias("x"))
+    return _dealt(members, texts.withColumnRenamed("id", "rep")).applyInArrow(_joining, "a long, b long")
+
+
+def _dealt(members: DataFrame, more: DataFrame):
+    """Members with what else ``more`` has of them, by largest component; many of them are dealt in parts, and any two parts meet in one task."""
     parts = members.groupBy("main").agg(F.ceil(F.sqrt(F.count("*") / _PART)).cast("int").alias("parts"))
     dealt = members.join(parts, "main").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = dealt.join(texts.withColumnRenamed("id", "rep"), "rep")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("main", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rep", "component", "lists", "x")
-    return dealt.groupBy("main", "low", "high").applyInArrow(_joining, "a long, b long")
+    dealt = dealt.join(more, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).groupBy("main", "low", "high")
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -640,7 +671,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     place = place.select("cell", "g", "rep", F.coalesce("component", "rep").alias("component"))
     open_ = lists.groupBy("cell").cogroup(place.groupBy("cell")).applyInArrow(_unsettled, "main long, rep long, component long, lists binary")
     open_ = scratch.keep(open_.groupBy("main", "rep", "component").agg(F.collect_list("lists").alias("lists")))
-    more = scratch.keep(_joined(valid, open_, scratch))
+    more = scratch.keep(_joined(valid, bits_of, open_, scratch))
     if not more.isEmpty():
         comps = scratch.keep(components(links.unionByName(more), scratch))
     scratch.drop(found)

@@ -260,9 +260,11 @@ def test_parts_of_a_large_group_meet(spark, monkeypatch, groups):
     rows = [(i, t) for i, t in groups if t and t.strip()]
     ids = spark.createDataFrame(rows + rows[:9] + [(rows[0][0], rows[-3][1])], "id long, text string")
     names = spark.createDataFrame([(i,) for i, _ in rows], "rep long").selectExpr("1L AS main", "rep", "rep AS component", "array(X'01000000', X'0100000002000000') AS lists")
+    sets = [(i, shingles(t)) for i, t in map(tuple, ids.collect())]
+    bits = spark.createDataFrame([(i, len(x), jaccard._bits(x).tobytes()) for i, x in sets], "id long, n long, bits binary")
     for size in (512, 8):
         monkeypatch.setattr(jaccard, "_PART", size)
-        links = {tuple(r) for r in jaccard._joined(ids, names, Scratch(spark, "test")).collect()}
+        links = {tuple(r) for r in jaccard._joined(ids, bits, names, Scratch(spark, "test")).collect()}
         parent = {i: i for i, _ in rows}
 
         def root(i):

@@ -290,3 +290,21 @@ def test_sets_that_do_not_fit_are_made_again(monkeypatch):
     for _ in range(2):
         assert all((sets[i] == shingles(t)).all() for i, t in enumerate(texts))
     assert len(sets._known) == 1
+
+
+def test_pipeline_stage_keeps_one_of_each_without_all_pairs(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows, keep, written = near_misses(200), Scratch.keep, []
+
+    def counted(self, df, *by):
+        out = keep(self, df, *by)
+        if out.columns == ["a", "b"]:  # pairs of documents or groups
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert kept == [i for i, _, c in brute(rows) if i == c]
+    assert max(written) < 8 * len(rows), written

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill import rules
+from pagemill.sources import folders
 
 PAGES = T.StructType(
     [
@@ -83,6 +86,10 @@ def _file_url(path: str, scheme: str = "https") -> Column:
     folder = path.rstrip("/").rsplit("://", 1)[-1].removeprefix("file:").lstrip("/")
     below = F.regexp_extract("_metadata.file_path", rf"(?s)/{re.escape(folder)}/(.*)\z", 1)
     name = F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B")))
+    return _url_of(name, scheme)
+
+
+def _url_of(name: Column, scheme: str) -> Column:
     return F.concat(F.lit(f"{scheme}://"), F.regexp_replace(name, r"\.gz\z", "")).alias("sitemap_url")
 
 
@@ -94,21 +101,41 @@ def read_sitemap_files(spark: SparkSession, path: str, scheme: str = "https") ->
     """The records of raw sitemap files, each named ``<host>/<path>`` below ``path``: ``sitemap_url, index, pos, kind, loc``.
 
     A record ends with each ``</loc>``, so a file of any length is read by many tasks, each from its own part on; compressed files
-    (``.gz``) are read by one, and so are ``.xml`` files of a megabyte at most. ``kind`` is ``page`` or ``child``, null for records without an entry; ``pos`` orders the records
-    of a file; ``index`` marks the record that says its file is an index. ``operators.sitemaps.from_records`` takes them from here.
+    (``.gz``) are read by one, and so are files of a megabyte at most. Tasks list the folders too (``sources.folders``): the driver holds no list of files.
+    Only what tasks can't open on their own, patterns and stores that only Spark reads, and other compressed files, are listed by Spark. ``kind`` is ``page`` or
+    ``child``, null for records without an entry; ``pos`` orders the records of a file; ``index`` marks the record that says its file is an index.
+    ``operators.sitemaps.from_records`` takes them from here.
     """
+    folder = folders.address(spark, path)
+    df = _listed_by_spark(spark, path, scheme) if folder is None else _listed_by_tasks(spark, path, folder, scheme)
+    page, child = (F.regexp_extract("v", rf"(?s){rx.removesuffix('</loc>')}\z", 1) for rx in (rules.SITEMAP_PAGE, rules.SITEMAP_CHILD))
+    df = df.withColumns({"page": page, "child": child, "index": F.col("v").contains("<sitemapindex")})
+    kind = F.when(F.col("page") != "", "page").when(F.col("child") != "", "child")
+    return df.select("sitemap_url", "index", F.struct("__part", "__row").alias("pos"), kind.alias("kind"), F.coalesce(F.nullif("page", F.lit("")), F.nullif("child", F.lit(""))).alias("loc"))
+
+
+def _listed_by_tasks(spark: SparkSession, path: str, folder: str, scheme: str) -> DataFrame:
+    files = folders.listed(spark, folder)
+    foreign = reduce(or_, [F.col("name").endswith(x) for x in folders.codecs(spark) if x != ".gz"], F.lit(False))
+    df = folders.records(files.filter(~foreign), folder, "</loc>", _SHORT_FILE)
+    df = df.select(_url_of(F.col("name"), scheme), "__part", "__row", "v")
+    literal = lambda name: re.sub(r"([\\{}\[\]*?])", r"\\\1", f"{path.rstrip('/')}/{name}")
+    if others := [literal(r["name"]) for r in files.filter(foreign).collect()]:
+        df = df.unionByName(_lines(spark, others, path, scheme, F.lit(True)))
+    return df
+
+
+def _listed_by_spark(spark: SparkSession, path: str, scheme: str) -> DataFrame:
     short = F.col("_metadata.file_path").endswith(".xml") & (F.col("_metadata.file_size") <= _SHORT_FILE)
-    end = F.lit("</loc>")
-    # Within a part the order is that of the rows of its task.
-    lines = spark.read.option("lineSep", "</loc>").option("recursiveFileLookup", "true").text(path).filter(~short)
-    lines = lines.select(_file_url(path, scheme), F.col("_metadata.file_block_start").alias("__part"), F.col("value").alias("v"), F.monotonically_increasing_id().alias("__row"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(short)
-    files = files.select(_file_url(path, scheme), F.split(F.col("content").cast("string"), end, -1).alias("__all"))
+    files = files.select(_file_url(path, scheme), F.split(F.col("content").cast("string"), F.lit("</loc>"), -1).alias("__all"))
     # What follows the last end is a record unless it is empty.
     records = F.when(F.element_at("__all", -1) == "", F.slice("__all", 1, F.size("__all") - 1)).otherwise(F.col("__all"))
     files = files.select("sitemap_url", F.lit(0).cast("long").alias("__part"), F.posexplode(records).alias("__row", "v"))
-    df = lines.unionByName(files.withColumn("__row", F.col("__row").cast("long")))
-    page, child = (F.regexp_extract("v", rf"(?s){rx.removesuffix('</loc>')}\z", 1) for rx in (rules.SITEMAP_PAGE, rules.SITEMAP_CHILD))
-    df = df.withColumns({"page": page, "child": child, "index": F.col("v").contains("<sitemapindex")})
-    kind = F.when(F.col("page") != "", "page").when(F.col("child") != "", "child")
-    return df.select("sitemap_url", "index", F.struct("__part", "__row").alias("pos"), kind.alias("kind"), F.coalesce(F.nullif("page", F.lit("")), F.nullif("child", F.lit(""))).alias("loc"))
+    return _lines(spark, path, path, scheme, ~short).unionByName(files.withColumn("__row", F.col("__row").cast("long")))
+
+
+def _lines(spark: SparkSession, paths: str | list[str], path: str, scheme: str, taken: Column) -> DataFrame:
+    # Within a part the order is that of the rows of its task.
+    lines = spark.read.option("lineSep", "</loc>").option("recursiveFileLookup", "true").text(paths).filter(taken)
+    return lines.select(_file_url(path, scheme), F.col("_metadata.file_block_start").alias("__part"), F.monotonically_increasing_id().alias("__row"), F.col("value").alias("v"))

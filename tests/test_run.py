@@ -178,6 +178,52 @@ def test_short_sitemap_files_are_read_once(spark, tmp_path, monkeypatch):
     assert [r.child for r in children.collect()] == ["https://e.com/a.xml"]
 
 
+def test_sitemap_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    import bz2
+    import gzip
+    import random
+
+    rng = random.Random(7)
+    folder = tmp_path / "maps"
+    bits = ["</loc>", "</loc", "<url><loc>", "<url> <loc>", "<sitemap><loc>", "<sitemapindex>", "https://e.com/ü", "a", "x" * 300, "</loc></loc>", "\n", "\ufeff"]
+    body = lambda n: "".join(rng.choice(bits) for _ in range(n)).encode()
+    for n, name in enumerate(["e.com/a.xml", "e.com/é+ %2B [x]{y}*?.xml", "e.com/plain", "f.com/a/b/c/d.xml", "f.com/a/_d=1.xml", "f.com/_metadata_of/x.xml"]):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(body(n * 40))
+    for name in ("e.com/_hidden.xml", "e.com/.x.xml", "e.com/x._COPYING_", "_e.com/a.xml", "f.com/_metadata"):
+        (folder / name).parent.mkdir(exist_ok=True)
+        (folder / name).write_bytes(b"<url><loc>no</loc>")
+    (folder / "e.com/g.xml.gz").write_bytes(gzip.compress(body(99)) + gzip.compress(body(99)))  # two members
+    (folder / "e.com/[b]*.xml.bz2").write_bytes(bz2.compress(body(99)))
+    (folder / "e.com/cut.xml").write_bytes("ü".encode()[:1] + b"</loc><url><loc>\xff\xfe</loc>")
+
+    def read(df):
+        return sorted((r.sitemap_url, *r.pos, r["index"], r.kind, bytes(r["loc"]) if r["loc"] is not None else None) for r in df.withColumn("loc", F.col("loc").cast("binary")).collect())
+
+    def of_files(rows):
+        return [(url, *rest) for url, _, _, *rest in rows]
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for short, part in ((1 << 20, "128m"), (-1, "997b"), (-1, "3b")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", part)
+            monkeypatch.setattr(tables, "_SHORT_FILE", short)
+            got = tables.read_sitemap_files(spark, str(folder))
+            assert not [x for x in got.inputFiles() if "/maps/" in x and ".bz2" not in x]  # no list of them in the driver
+            rows = read(got)
+            if part == "128m":
+                with monkeypatch.context() as m:
+                    m.setattr(tables.folders, "address", lambda *_: None)
+                    whole = of_files(read(tables.read_sitemap_files(spark, str(folder))))
+            assert of_files(rows) == whole and len({x[0] for x in whole}) == 8 and len(whole) > 100
+        empty = tmp_path / "none"
+        empty.mkdir()
+        assert tables.read_sitemap_files(spark, f"file:{empty}/").count() == 0
+        assert of_files(read(tables.read_sitemap_files(spark, f"{tmp_path}/m*s"))) != []  # a pattern is Spark's to read
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_rejects_are_kept_and_counted(spark, tmp_path):
     lines = ['{"url": "https://e.com/a", "adapter": "mdx", "status": 200, "body": "x"}', '{"url": "https://e.com/b", "adapter": "mdx"', "not json", '{"url": " ", "adapter": "mdx"}',
         '{"url": "https://e.com/c", "status": "many", "adapter": "jina"}', '{"url": "https://e.com/d"}', '{"url": "https://e.com/e", "adapter": "ftp"}']

@@ -39,12 +39,13 @@ def from_records(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     Returns ``(sitemap_url, is_index)``, ``(sitemap_url, child)`` and, like :func:`sitemap_urls`, ``(sitemap_url, pos, loc, …)``.
     The records are written once, so that no file is opened again for any of the three. Files are told apart by one aggregate over
-    short rows; entries are joined with the indexes among them, which are few.
+    short rows; entries are joined with the indexes among them. These may be many, and what takes little
+    room in a file, by which Spark would choose a broadcast, takes many times as much in the driver.
     """
     records = materialize(records.hint("rebalance"))
     kinds = materialize(records.groupBy("sitemap_url").agg(F.bool_or("index").alias("is_index")))
     entries = records.filter(F.col("kind").isNotNull()).withColumn("loc", urls.trimmed(F.col("loc")))
-    indexes = kinds.filter("is_index").select("sitemap_url")
+    indexes = kinds.filter("is_index").select("sitemap_url").hint("merge")
     children = entries.filter("kind = 'child'").join(indexes, "sitemap_url", "left_semi").filter("loc <> ''")
     pages = entries.filter("kind = 'page'").join(indexes, "sitemap_url", "left_anti").select("sitemap_url", "pos", "loc")
     pages = urls.with_url_parts(pages, "loc").filter(F.col("host").isNotNull())

@@ -49,7 +49,7 @@ def codecs(spark: SparkSession) -> list[str]:
 def listed(spark: SparkSession, folder: str) -> DataFrame:
     """The files below the address of a folder that aren't empty: ``name``, from the folder on, and ``size``. Hidden ones are left out as Spark does."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    level, files, left = spark.createDataFrame([("",)], "name string"), None, 1
+    level, files, left = spark.range(1).select(F.lit("").alias("name")), None, 1
     while left:
         found = materialize(level.repartition(min(n, left)).mapInArrow(partial(_list, folder), "name string, size long"))
         files = found.filter("size > 0") if files is None else files.unionByName(found.filter("size > 0"))

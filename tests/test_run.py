@@ -216,6 +216,9 @@ def test_sitemap_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
                     m.setattr(tables.folders, "address", lambda *_: None)
                     whole = of_files(read(tables.read_sitemap_files(spark, str(folder))))
             assert of_files(rows) == whole and len({x[0] for x in whole}) == 8 and len(whole) > 100
+        _, children, pages = sitemaps.from_records(tables.read_sitemap_files(spark, str(folder)))
+        for df in (children, pages):  # nor of the indexes among them
+            assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
         empty = tmp_path / "none"
         empty.mkdir()
         assert tables.read_sitemap_files(spark, f"file:{empty}/").count() == 0

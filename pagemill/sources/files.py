@@ -2,7 +2,8 @@
 
 A task writes its files below ``_temporary/<run>/<attempt>`` of the target and moves them to their places when all of them are there; what a task
 attempt that fails or is lost has written is never seen. The list of what it moved goes to ``_written/<run>`` beside the files, so the
-driver hears of attempts, not of files. If the job fails, files that finished tasks moved are removed again by these lists. Places are
+driver hears of attempts, not of files. If the job fails, files that finished tasks moved are removed again by these lists; a mark beside them
+tells tasks that are still at it to stop and to take back theirs. Places are
 paths of any file system that ``pyarrow.fs`` opens by its address: local or shared folders, HDFS, object stores.
 """
 
@@ -46,18 +47,39 @@ class FilesWriter(DataSourceWriter):
                 store.create_dir(folder, recursive=True)
                 made.add(folder)
 
-        for path, body in rows:
-            data = (body or "").encode("utf-8")
-            folder_of(f"{temporary}/{path}")
-            with store.open_output_stream(f"{temporary}/{path}") as out:
-                out.write(data)
-            written[path] = len(data)
-        self._list(store, f"{root}/_written/{self.run}/{name}.json", written, folder_of)
-        for path in written:
-            folder_of(f"{root}/{path}")
-            store.move(f"{temporary}/{path}", f"{root}/{path}")
+        moved = []
+        try:
+            for path, body in rows:
+                data = (body or "").encode("utf-8")
+                self._go_on(store, root)
+                folder_of(f"{temporary}/{path}")
+                with store.open_output_stream(f"{temporary}/{path}") as out:
+                    out.write(data)
+                written[path] = len(data)
+            self._list(store, f"{root}/_written/{self.run}/{name}.json", written, folder_of)
+            for path in written:
+                self._go_on(store, root)
+                folder_of(f"{root}/{path}")
+                store.move(f"{temporary}/{path}", f"{root}/{path}")
+                moved.append(path)
+            self._go_on(store, root)
+        except Exception:
+            # The mark comes before the lists are read: what was moved before it is removed by them, what was moved after it here.
+            if self._aborted(store, root):
+                store.delete_dir_contents(temporary, missing_dir_ok=True)
+                for path in [*moved, f"_written/{self.run}/{name}.json"]:
+                    if store.get_file_info(f"{root}/{path}").is_file:
+                        store.delete_file(f"{root}/{path}")
+            raise
         return Attempt(name)
 
+    def _aborted(self, store, root: str) -> bool:
+        return store.get_file_info(f"{root}/_written/{self.run}/_aborted").is_file
+
+    def _go_on(self, store, root: str) -> None:
+        if self._aborted(store, root):
+            raise RuntimeError(f"the job has failed: {self.run}")
+
     def _list(self, store, path: str, written: dict[str, int], folder_of) -> None:
         """Before the files are moved, so that none is in place that no list names."""
         folder_of(path)
@@ -76,6 +98,8 @@ class FilesWriter(DataSourceWriter):
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         store, root = opened(self.target)
+        store.create_dir(f"{root}/_written/{self.run}", recursive=True)
+        store.open_output_stream(f"{root}/_written/{self.run}/_aborted").close()
         for entry in self._lists(store, root):
             with store.open_input_stream(entry.path) as lines:
                 for line in lines.read().decode().splitlines():
@@ -86,7 +110,7 @@ class FilesWriter(DataSourceWriter):
         self._clean(store, root)
 
     def _lists(self, store, root: str) -> list[fs.FileInfo]:
-        return [e for e in store.get_file_info(fs.FileSelector(f"{root}/_written/{self.run}", allow_not_found=True)) if e.is_file]
+        return [e for e in store.get_file_info(fs.FileSelector(f"{root}/_written/{self.run}", allow_not_found=True)) if e.is_file and e.extension == "json"]
 
     def _clean(self, store, root: str) -> None:
         store.delete_dir_contents(f"{root}/_temporary/{self.run}", missing_dir_ok=True)

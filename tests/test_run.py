@@ -259,6 +259,40 @@ def test_export_replaces_and_failed_jobs_leave_nothing(spark, tmp_path):
     assert sum(r.n_bytes for r in sinks.export_files(df, f"file://{folder}").collect()) == sum(len(t) for _, _, t in rows)
 
 
+def test_tasks_that_go_on_after_their_job_failed_leave_nothing(tmp_path, monkeypatch):
+    from pagemill.sources import files
+
+    class Late(files.FilesWriter):
+        def _list(self, *args):
+            super()._list(*args)
+            if self.run == "list":
+                self.abort([])
+
+    def rows(run):
+        yield "a/1.md", "x"
+        if run == "rows":
+            Late(str(tmp_path), run).abort([])
+        yield "2.md", "y"
+
+    asked, told = [], files.FilesWriter._aborted
+    for run in ("rows", "list", "move"):
+        writer = Late(str(tmp_path), run)
+        if run == "move":
+
+            def aborted(self, store, root):
+                asked.append(1)
+                if len(asked) == 4:  # two files are written, one is moved
+                    self.abort([])
+                return told(self, store, root)
+
+            monkeypatch.setattr(files.FilesWriter, "_aborted", aborted)
+        with pytest.raises((RuntimeError, OSError)):
+            writer.write(rows(run))
+        assert not [*tmp_path.rglob("*.md"), *tmp_path.rglob("*.json")]
+    monkeypatch.undo()
+    assert files.FilesWriter(str(tmp_path), "next").write(rows("next")).name and len([*tmp_path.rglob("*.md")]) == 2
+
+
 def test_arrivals(spark, tmp_path):
     source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     site(spark).filter("page_id < 3").write.parquet(source)

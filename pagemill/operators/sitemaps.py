@@ -42,7 +42,7 @@ def from_records(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     short rows; entries are joined with the indexes among them. These may be many, and what takes little
     room in a file, by which Spark would choose a broadcast, takes many times as much in the driver.
     """
-    records = materialize(records.hint("rebalance"))
+    records = materialize(records)
     kinds = materialize(records.groupBy("sitemap_url").agg(F.bool_or("index").alias("is_index")))
     entries = records.filter(F.col("kind").isNotNull()).withColumn("loc", urls.trimmed(F.col("loc")))
     indexes = kinds.filter("is_index").select("sitemap_url").hint("merge")

@@ -111,7 +111,8 @@ def read_sitemap_files(spark: SparkSession, path: str, scheme: str = "https") ->
     page, child = (F.regexp_extract("v", rf"(?s){rx.removesuffix('</loc>')}\z", 1) for rx in (rules.SITEMAP_PAGE, rules.SITEMAP_CHILD))
     df = df.withColumns({"page": page, "child": child, "index": F.col("v").contains("<sitemapindex")})
     kind = F.when(F.col("page") != "", "page").when(F.col("child") != "", "child")
-    return df.select("sitemap_url", "index", F.struct("__part", "__row").alias("pos"), kind.alias("kind"), F.coalesce(F.nullif("page", F.lit("")), F.nullif("child", F.lit(""))).alias("loc"))
+    df = df.select("sitemap_url", "index", F.struct("__part", "__row").alias("pos"), kind.alias("kind"), F.coalesce(F.nullif("page", F.lit("")), F.nullif("child", F.lit(""))).alias("loc"))
+    return df.hint("rebalance") if folder is None else df  # the tasks that listed the files share them evenly
 
 
 def _listed_by_tasks(spark: SparkSession, path: str, folder: str, scheme: str) -> DataFrame:
